@@ -82,7 +82,7 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         bad = _excluded(tag, attrs)
-        if tag in BLOCKS or bad != False:
+        if tag in BLOCKS or bad:
             self.line()
         self.tags += 1
         if tag in VOID:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, quality, simhash, suffix_dedup
+from . import decontaminate, html_extract, langid, materialise, packing, quality, simhash, suffix_dedup, token_rollup, url_filters
+from .common import materialise as written
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,17 +32,51 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).drop("row")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents arrive in two batches, and the first is sent again: the totals are those of the whole table."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counted, _ = written(token_rollup.count_tokens(docs), "token_counts")
+    rows = counted.withColumn("sign", F.lit(1)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    store = new_path(spark, "token_rollup")
+    for batch in (0, 1, 0):
+        token_rollup.commit(spark, store, f"load-{batch}", rows.where(F.col("part") == batch))
+    return token_rollup.totals(spark, store).select("source", "lang", "version", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise_documents(table(spark, sf_dir, "documents").select("text"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_benchmark_decontamination, op3_suffix_array_dedup, op4_language_id, op6_quality_rules, op8_simhash_near_dedup)
+    for f in (
+        op1_best_fit_packing,
+        op2_benchmark_decontamination,
+        op3_suffix_array_dedup,
+        op4_language_id,
+        op5_url_filters,
+        op6_quality_rules,
+        op7_token_counts,
+        op8_simhash_near_dedup,
+        op9_token_id_output,
+        op10_html_extraction,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
