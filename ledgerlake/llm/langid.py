@@ -167,6 +167,21 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     return {"idf": idf, "langs": [r["lang"] for r in found], "centroids": np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]), "floors": floors}
 
 
+def judged(texts: list[str], m: dict | None):
+    """(languages, scores, rejections) of runs of ``texts``, in order."""
+    for a, z in runs_of_texts(texts):
+        if m is None:
+            yield ["und"] * (z - a), [0.0] * (z - a), [True] * (z - a)
+            continue
+        c = counts(texts[a:z])
+        some = c.any(axis=1)
+        sim = vectors(c, m["idf"]) @ m["centroids"].T
+        best = sim.argmax(axis=1)
+        top = np.clip(sim[np.arange(len(best)), best].astype(float), 0, 1)
+        names = [m["langs"][j] if s else "und" for j, s in zip(best, some, strict=True)]
+        yield names, np.where(some, top, 0.0).tolist(), (~some | (top < m["floors"][size_class(c)])).tolist()
+
+
 SCORED = "row long, doc_id long, lang_pred string, score double, rejected boolean"
 
 
@@ -175,29 +190,26 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
-        m = shared.value
         for b in batches:
-            texts = [t or "" for t in b.column(2).to_pylist()]
-            names, scores, bad = [], [], []
-            for a, z in runs_of_texts(texts):
-                if m is None:
-                    names += ["und"] * (z - a)
-                    scores += [0.0] * (z - a)
-                    bad += [True] * (z - a)
-                    continue
-                c = counts(texts[a:z])
-                some = c.any(axis=1)
-                sim = vectors(c, m["idf"]) @ m["centroids"].T
-                best = sim.argmax(axis=1)
-                top = np.clip(sim[np.arange(len(best)), best].astype(float), 0, 1)
-                names += [m["langs"][j] if s else "und" for j, s in zip(best, some, strict=True)]
-                scores += np.where(some, top, 0.0).tolist()
-                bad += (~some | (top < m["floors"][size_class(c)])).tolist()
+            names, scores, bad = (sum(x, []) for x in zip(([], [], []), *judged([t or "" for t in b.column(2).to_pylist()], shared.value), strict=True))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(bad, pa.bool_())], names=["row", "doc_id", "lang_pred", "score", "rejected"])
 
     return docs.mapInArrow(work, SCORED)
 
 
+def keep(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of ``docs`` (with a string column text) that aren't rejected, all columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches):
+        for b in batches:
+            texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            good = [not x for _, _, bad in judged(texts, shared.value) for x in bad]
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected and row for each of ``docs`` (doc_id, text, lang)."""
     prepare(docs.sparkSession)

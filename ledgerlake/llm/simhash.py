@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import materialise, prepare, remove
 from .components import components
 
 SHINGLE = 4
@@ -98,20 +98,22 @@ def _stars(radius: int):
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of fingerprints within ``radius`` bits, enough to connect all that the radius connects."""
+    """Pairs (u, v) of fingerprints within ``radius`` bits, enough to connect all that the radius connects, as a table."""
     spark = nodes.sparkSession
     kept = masks(radius)
     keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(kept)]
     tables = nodes.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.t", "k.key", "fp")
-    buckets, _ = materialise(tables.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
+    buckets, buckets_path = materialise(tables.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("n > 1"), "buckets")
     two = buckets.where(F.bit_count(F.col("lo").bitwiseXOR(F.col("hi"))) <= radius).where("n = 2").select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-    members, _ = materialise(tables.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"]), "members")
+    members, members_path = materialise(tables.join(buckets.where("n > 2").select("t", "key", "n"), ["t", "key"]), "members")
     some = members.where(F.col("n") <= block).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps").mapInArrow(_stars(radius), "u long, v long")
     half = [(t, _signed(sum(1 << i for i in c))) for t, m in enumerate(kept) for k in range(radius // 2 + 1) for c in combinations([i for i in range(64) if not m >> i & 1], k)]
     flips = spark.createDataFrame(half, "t int, flip long")  # a fixed table: it depends on the radius only
     at = members.where(F.col("n") > block).join(F.broadcast(flips), "t").select("t", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("mid"))
     many = at.withColumn("v", F.min("fp").over(Window.partitionBy("t", "mid"))).where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return two.unionByName(some).unionByName(many).distinct()
+    found, _ = materialise(two.unionByName(some).unionByName(many).distinct(), "links")
+    remove(spark, buckets_path, members_path)
+    return found
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:

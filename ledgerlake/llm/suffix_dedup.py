@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, ODD, U, chunks, materialise, prepare, sliding, span_hash, to_signed
+from .common import BYTE_TABLE, ODD, U, chunks, materialise, prepare, remove, sliding, span_hash, to_signed
 
 LENGTH = 100
 GRAM = 32
@@ -194,7 +194,8 @@ def _compress(batches):
     for b in batches:
         z = [codec.compress(x.as_py() or b"", asbytes=True) for x in b.column(2)]
         n = [len(x.as_py() or b"") for x in b.column(2)]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(z, pa.binary())], names=["doc", "sub", "n", "z"])
+        more = b.schema.names[3:]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(z, pa.binary()), *(b.column(3 + i) for i in range(len(more)))], names=["doc", "sub", "n", "z", *more])
 
 
 def _inflate(n: int, z: bytes) -> bytes:
@@ -305,6 +306,7 @@ def _finish(text: bool):
     def work(batches):
         for b in batches:
             ids, subs, sizes, zs, starts, ends = (b.column(i) for i in range(6))
+            more = b.schema.names[6:]
             out: list[list] = [[], [], [], [], [], []]
             for i in range(b.num_rows):
                 n = sizes[i].as_py()
@@ -319,46 +321,52 @@ def _finish(text: bool):
                     raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 for x, v in zip(out, (ids[i].as_py(), subs[i].as_py(), n - len(raw), spans, hashlib.sha256(raw).hexdigest(), raw.decode(errors="ignore") if text else None), strict=True):
                     x.append(v)
-            yield pa.record_batch([*(pa.array(x, t) for x, t in zip(out[:2], (pa.int64(), pa.int32()), strict=True)), sizes.cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out[2:], (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], names=["doc", "sub", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.record_batch([*(pa.array(x, t) for x, t in zip(out[:2], (pa.int64(), pa.int32()), strict=True)), sizes.cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out[2:], (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *(b.column(6 + i) for i in range(len(more)))], names=["doc", "sub", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *more])
 
     return work
 
 
-def dedup(docs: DataFrame, keep_text: bool = False, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept) for every row of ``docs`` (doc_id, text).
+def _ddl(fixed: str, more: list) -> str:
+    return ", ".join([fixed, *(f"`{f.name}` {f.dataType.simpleString()}" for f in more)])
+
+
+def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, and ``carry``) for every row of ``docs`` (doc_id, text).
 
     ``kept`` is what stays; a character whose bytes were partly removed is left out of it, but not of the hash.
+    ``carry`` names further columns that stay with their rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     again = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    src = docs.select(doc, (F.hash(text) if again else F.lit(0)).alias("sub"), text.alias("text"))
+    sub = (F.hash(text) if again else F.lit(0)).alias("sub")
+    src = docs.select(doc, sub, text.alias("text"))
+    more = docs.select(*(F.col(c).alias(f"carried_{c}") for c in carry)).schema.fields
+    texts = docs.select(doc, sub, text.cast("binary").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry)).mapInArrow(_compress, _ddl("doc long, sub int, n int, z binary", more))
 
     rows = src.mapInArrow(_anchor_rows(), ROW).repartition("h").sortWithinPartitions("h", "around", "doc", "sub", "a")
-    found, _ = materialise(rows.mapInArrow(_first_refinement, "h long, doc long, sub int, a int, b int"), "buckets")
-    texts = src.withColumn("text", F.col("text").cast("binary")).mapInArrow(_compress, "doc long, sub int, n int, z binary")
+    found, found_path = materialise(rows.mapInArrow(_first_refinement, "h long, doc long, sub int, a int, b int"), "buckets")
 
-    edges = found.where("b >= 0")
-    asked = edges.groupBy("doc", "sub").agg(F.collect_list("h").alias("h"), F.collect_list("a").alias("a"))
+    asked = found.where("b >= 0").groupBy("doc", "sub").agg(F.collect_list("h").alias("h"), F.collect_list("a").alias("a"))
     once = texts.dropDuplicates(["doc", "sub"]) if again else texts
-    contexts, _ = materialise(once.join(asked, ["doc", "sub"]).select("doc", "sub", "n", "z", "h", "a").mapInArrow(_contexts, CONTEXT), "contexts")
-    crowded = contexts.groupBy("h").count().where(F.col("count") > hot).select("h")
-    if crowded.isEmpty():
-        cold, spans = contexts, []
-    else:
-        crowded, _ = materialise(crowded, "crowded")
+    contexts, contexts_path = materialise(once.join(asked, ["doc", "sub"]).select("doc", "sub", "n", "z", "h", "a").mapInArrow(_contexts, CONTEXT), "contexts")
+    crowded, crowded_path = materialise(contexts.groupBy("h").count().where(F.col("count") > hot).select("h"), "crowded")
+    cold, spans = contexts, [found.where("b < 0").select("doc", "sub", "a", "b")]
+    if not crowded.isEmpty():
         cold = contexts.join(crowded, "h", "left_anti")
         windows = contexts.join(crowded, "h", "left_semi").mapInArrow(_window_rows, "h long, i int, w long, doc long, sub int, a int")
         first = windows.groupBy("h", "i", "w").agg(F.min(F.struct("doc", "sub", "a")).alias("first"))
         late = windows.join(first, ["h", "i", "w"]).where(F.struct("doc", "sub", "a") != F.col("first"))
-        spans = [late.select("doc", "sub", (F.col("a") - LEFT + F.col("i")).alias("a"), (-(F.col("a") - LEFT + F.col("i") + LENGTH)).alias("b"))]
+        spans.append(late.select("doc", "sub", (F.col("a") - LEFT + F.col("i")).alias("a"), (-(F.col("a") - LEFT + F.col("i") + LENGTH)).alias("b")))
     refined = cold.repartition("h").sortWithinPartitions("h", "doc", "sub", "a").mapInArrow(_second_refinement, "h long, doc long, sub int, a int, b int")
-    spans = [found.where("b < 0").select("doc", "sub", "a", "b"), refined.select("doc", "sub", "a", "b"), *spans]
-    each = spans[0]
-    for s in spans[1:]:
+    each = refined.select("doc", "sub", "a", "b")
+    for s in spans:
         each = each.unionByName(s)
-    each = each.groupBy("doc", "sub").agg(F.collect_list("a").alias("starts"), F.collect_list(-F.col("b")).alias("ends"))
-    done = texts.join(each, ["doc", "sub"], "left").select("doc", "sub", "n", "z", "starts", "ends").mapInArrow(_finish(keep_text), "doc long, sub int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return done.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else []))
+    each, _ = materialise(each.groupBy("doc", "sub").agg(F.collect_list("a").alias("starts"), F.collect_list(-F.col("b")).alias("ends")), "spans")
+    remove(spark, found_path, contexts_path, crowded_path)
+    joined = texts.join(each, ["doc", "sub"], "left").select("doc", "sub", "n", "z", "starts", "ends", *(f.name for f in more))
+    done = joined.mapInArrow(_finish(keep_text), _ddl("doc long, sub int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", more))
+    kept = ["kept"] if keep_text else []
+    return done.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *kept, *(F.col(f"carried_{c}").alias(c) for c in carry))
