@@ -1,6 +1,7 @@
 """All finance queries; importing this package registers them."""
 
 from ..plans.registry import ORACLE_SQL, QUERIES
+from ..streaming import queries as streaming
 from . import audit, budget, debt, economic, ingest, parsing
 
-__all__ = ["ORACLE_SQL", "QUERIES", "audit", "budget", "debt", "economic", "ingest", "parsing"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audit", "budget", "debt", "economic", "ingest", "parsing", "streaming"]
