@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import new_path
 from . import tokens
-from .common import U, materialise, mix, new_path, prepare
+from .common import U, materialise, mix, prepare
 
 SEQ_LEN = 2048
 KEY = 0x5EED

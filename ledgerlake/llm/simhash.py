@@ -98,7 +98,7 @@ def _stars(radius: int):
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) of fingerprints within ``radius`` bits, enough to connect all that the radius connects, as a table."""
+    """Pairs (u, v) of fingerprints that the radius connects, directly or within a bucket, as a table: enough to connect all."""
     spark = nodes.sparkSession
     kept = masks(radius)
     keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(kept)]

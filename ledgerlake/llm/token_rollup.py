@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import new_path
 from . import tokens
-from .common import _fs, exists, new_path, prepare
+from .common import _fs, exists, prepare
 
 KEYS = ["source", "lang", "version"]
 DELTA = "source string, lang string, version string, docs long, tokens long"
