@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import new_path
-from . import decontaminate, html_extract, langid, materialise, packing, quality, simhash, suffix_dedup, token_rollup, url_filters
+from . import decontaminate, html_extract, langid, materialise, oracles, packing, quality, simhash, suffix_dedup, token_rollup, url_filters
 from .common import materialise as written
 
 
@@ -79,4 +79,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_html_extraction,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL
