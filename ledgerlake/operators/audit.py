@@ -9,14 +9,17 @@ from ..plans.registry import Roles, query
 from ..sources.roles import share, to_double
 from .budget import d
 
-ZERO = F.lit(0).cast("decimal(20,4)")
+
+def zero():
+    return F.lit(0).cast("decimal(20,4)")
+
 
 
 @query(f"""SELECT count(*) AS total, {d("sum(CASE WHEN query_type = 'error' THEN coalesce(amount, 0) ELSE 0 END)")} AS irregular, {d("sum(CASE WHEN status <> 'Resolved' THEN coalesce(amount, 0) ELSE 0 END)")} AS unresolved, min(audit_year) AS first_year, max(audit_year) AS last_year FROM findings""")
 def audit_summary(r: Roles):
     """One pass; a null status is neither resolved nor counted."""
-    a = F.coalesce("amount", ZERO)
-    return r.findings.agg(F.count("*").alias("total"), to_double(F.sum(F.when(F.col("query_type") == "error", a).otherwise(ZERO))).alias("irregular"), to_double(F.sum(F.when(F.col("status") != "Resolved", a).otherwise(ZERO))).alias("unresolved"), F.min("audit_year").alias("first_year"), F.max("audit_year").alias("last_year"))
+    a = F.coalesce("amount", zero())
+    return r.findings.agg(F.count("*").alias("total"), to_double(F.sum(F.when(F.col("query_type") == "error", a).otherwise(zero()))).alias("irregular"), to_double(F.sum(F.when(F.col("status") != "Resolved", a).otherwise(zero()))).alias("unresolved"), F.min("audit_year").alias("first_year"), F.max("audit_year").alias("last_year"))
 
 
 @query("SELECT query_type, count(*) AS n FROM findings WHERE query_type IS NOT NULL GROUP BY 1")
@@ -69,7 +72,7 @@ def recurring_findings(r: Roles):
     twice = f.where("query_type is not null").groupBy("entity_id", F.col("query_type").alias("k")).agg(F.countDistinct("audit_year").alias("y")).where("y >= 2").select("entity_id", "k")
     keys = flagged.union(twice).distinct()
     rows = f.withColumn("k", F.coalesce("query_type", F.lit("Unknown"))).join(keys, ["entity_id", "k"])
-    return rows.groupBy("entity_id", F.col("k").alias("query_type")).agg(F.countDistinct("audit_year").alias("years"), to_double(F.coalesce(F.sum("amount"), ZERO)).alias("amount"), F.count("*").alias("findings"))
+    return rows.groupBy("entity_id", F.col("k").alias("query_type")).agg(F.countDistinct("audit_year").alias("years"), to_double(F.coalesce(F.sum("amount"), zero())).alias("amount"), F.count("*").alias("findings"))
 
 
 @query("""WITH y AS (SELECT DISTINCT query_type, audit_year FROM findings WHERE query_type IS NOT NULL AND entity_id = 4), g AS (SELECT *, audit_year - lag(audit_year) OVER (PARTITION BY query_type ORDER BY audit_year) AS gap FROM y) SELECT query_type, count(*) FILTER (WHERE gap = 1) AS repeats FROM g GROUP BY 1""")
@@ -115,13 +118,13 @@ def findings_page(r: Roles):
 
 @query("SELECT severity, count(*) AS n, " + d("coalesce(sum(amount), 0)") + " AS amount FROM findings GROUP BY 1")
 def audit_statistics(r: Roles):
-    return r.findings.groupBy("severity").agg(F.count("*").alias("n"), to_double(F.coalesce(F.sum("amount"), ZERO)).alias("amount"))
+    return r.findings.groupBy("severity").agg(F.count("*").alias("n"), to_double(F.coalesce(F.sum("amount"), zero())).alias("amount"))
 
 
 @query(f"SELECT entity, severity, count(*) AS n, {d('coalesce(sum(amount), 0)')} AS amount FROM findings JOIN entities USING (entity_id) WHERE entity_type = 'NATIONAL' GROUP BY 1, 2")
 def federal_audits(r: Roles):
     e = r.entities.where("entity_type = 'NATIONAL'")
-    return r.findings.join(F.broadcast(e), "entity_id").groupBy("entity", "severity").agg(F.count("*").alias("n"), to_double(F.coalesce(F.sum("amount"), ZERO)).alias("amount"))
+    return r.findings.join(F.broadcast(e), "entity_id").groupBy("entity", "severity").agg(F.count("*").alias("n"), to_double(F.coalesce(F.sum("amount"), zero())).alias("amount"))
 
 
 @query("SELECT printf('FY%d/%02d', audit_year, (audit_year + 1) % 100) AS fy, coalesce(status, 'Unknown') AS status, count(*) AS n FROM findings WHERE entity_id = 7 GROUP BY 1, 2")

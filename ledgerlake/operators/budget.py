@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from ..plans.registry import Roles, query
 from ..sources.roles import fy_label, share, to_double
 
-ALL = Window.partitionBy()
-SUMS = (F.sum("allocated").alias("allocated"), F.sum("spent").alias("spent"))
+
+def overall():
+    """The window of all rows; only over results that are already a few rows."""
+    return Window.partitionBy()
+
+
+
+def sums():
+    return F.sum("allocated").alias("allocated"), F.sum("spent").alias("spent")
 
 
 def d(x: str, n: int = 2) -> str:
-    return f"round(CAST({x} AS DOUBLE), {n})"
+    return f"CAST(round({x}, {n}) AS DOUBLE)"
 
 
 def pct(a: str, b: str, n: int, k: int = 100) -> str:
@@ -35,7 +42,7 @@ GRADE_SQL = "CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B+' WHEN scor
 
 @query(f"SELECT {d('sum(allocated)')} AS allocated, {d('sum(spent)')} AS spent, coalesce({pct('sum(spent)', 'sum(allocated)', 1)}, 0) AS execution_rate FROM budget_lines")
 def country_summary(r: Roles):
-    return r.budget_lines.agg(*SUMS).select(to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), F.coalesce(share(F.col("spent"), F.col("allocated"), 1), F.lit(0.0)).alias("execution_rate"))
+    return r.budget_lines.agg(*sums()).select(to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), F.coalesce(share(F.col("spent"), F.col("allocated"), 1), F.lit(0.0)).alias("execution_rate"))
 
 
 @query("SELECT entity_type, count(*) AS n FROM entities GROUP BY 1")
@@ -50,8 +57,8 @@ def doc_counts(r: Roles):
 
 @query(f"""SELECT category, {d('sum(allocated)')} AS allocated, {d('sum(spent)')} AS spent, {pct('sum(allocated)', 'sum(sum(allocated)) OVER ()', 1)} AS percentage, {pct('sum(spent)', 'sum(allocated)', 1)} AS utilization FROM budget_lines GROUP BY 1""")
 def national_budget_sectors(r: Roles):
-    s = r.budget_lines.groupBy("category").agg(*SUMS)
-    return s.select("category", to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), share(F.col("allocated"), F.sum("allocated").over(ALL), 1).alias("percentage"), share(F.col("spent"), F.col("allocated"), 1).alias("utilization"))
+    s = r.budget_lines.groupBy("category").agg(*sums())
+    return s.select("category", to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), share(F.col("allocated"), F.sum("allocated").over(overall()), 1).alias("percentage"), share(F.col("spent"), F.col("allocated"), 1).alias("utilization"))
 
 
 @query(f"""SELECT fy, {d("coalesce(sum(allocated) FILTER (WHERE regexp_matches(lower(category), 'steel|brass|copper')), 0)")} AS development, {d("coalesce(sum(allocated) FILTER (WHERE NOT regexp_matches(lower(category), 'steel|brass|copper')), 0)")} AS recurrent FROM budget_lines GROUP BY 1""")
@@ -69,18 +76,18 @@ SECTORS = (("STANDARD", "Health"), ("SMALL", "Education"), ("MEDIUM", "Education
     SELECT sector, {d('a')} AS allocated, {pct('b', 'a', 1)} AS execution, {pct('a', 'sum(a) OVER ()', 1)} AS percentage FROM s""")
 def budget_overview_sectors(r: Roles):
     names = F.create_map(*(F.lit(x) for pair in SECTORS for x in pair))
-    s = r.budget_lines.groupBy(F.coalesce(names[F.substring_index("category", " ", 1)], F.lit("Other")).alias("sector")).agg(*SUMS)
-    return s.select("sector", to_double(F.col("allocated")).alias("allocated"), share(F.col("spent"), F.col("allocated"), 1).alias("execution"), share(F.col("allocated"), F.sum("allocated").over(ALL), 1).alias("percentage"))
+    s = r.budget_lines.groupBy(F.coalesce(names[F.substring_index("category", " ", 1)], F.lit("Other")).alias("sector")).agg(*sums())
+    return s.select("sector", to_double(F.col("allocated")).alias("allocated"), share(F.col("spent"), F.col("allocated"), 1).alias("execution"), share(F.col("allocated"), F.sum("allocated").over(overall()), 1).alias("percentage"))
 
 
 @query(f"""SELECT category, {d('sum(committed)')} AS committed, {d('sum(allocated) - sum(spent)')} AS unspent, {pct('sum(spent)', 'sum(allocated)', 1)} AS rate FROM budget_lines WHERE committed IS NOT NULL AND allocated > 0 GROUP BY 1""")
 def execution_by_sector(r: Roles):
-    s = r.budget_lines.where("committed is not null and allocated > 0").groupBy("category").agg(F.sum("committed").alias("committed"), *SUMS)
+    s = r.budget_lines.where("committed is not null and allocated > 0").groupBy("category").agg(F.sum("committed").alias("committed"), *sums())
     return s.select("category", to_double(F.col("committed")).alias("committed"), to_double(F.col("allocated") - F.col("spent")).alias("unspent"), share(F.col("spent"), F.col("allocated"), 1).alias("rate"))
 
 
 def _utilisation(r: Roles):
-    s = r.budget_lines.groupBy("entity_id").agg(*SUMS).join(r.entities, "entity_id")
+    s = r.budget_lines.groupBy("entity_id").agg(*sums()).join(r.entities, "entity_id")
     return s.select("entity", "region", to_double(F.col("allocated")).alias("allocated"), to_double(F.col("allocated") - F.col("spent")).alias("variance"), share(F.col("spent"), F.col("allocated"), 1).alias("utilization"))
 
 
@@ -125,19 +132,19 @@ def economic_context(r: Roles):
 
 @query(f"""SELECT entity_id, printf('FY%d/%02d', fy, (fy + 1) % 100) AS period, {d('sum(allocated)')} AS allocated, {d('sum(spent)')} AS spent, count(*) AS lines FROM budget_lines GROUP BY entity_id, fy""")
 def entity_time_series(r: Roles):
-    return r.budget_lines.groupBy("entity_id", "fy").agg(*SUMS, F.count("*").alias("lines")).select("entity_id", fy_label(F.col("fy")).alias("period"), to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), "lines")
+    return r.budget_lines.groupBy("entity_id", "fy").agg(*sums(), F.count("*").alias("lines")).select("entity_id", fy_label(F.col("fy")).alias("period"), to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), "lines")
 
 
 @query(f"""SELECT printf('FY%d/%02d', fy, (fy + 1) % 100) AS period, {d('sum(allocated)')} AS revenue, {d('sum(spent)')} AS expenditure, {d('sum(allocated) - sum(spent)')} AS balance FROM budget_lines GROUP BY fy ORDER BY period DESC LIMIT 8""")
 def fiscal_outturns(r: Roles):
-    s = r.budget_lines.groupBy("fy").agg(*SUMS).withColumn("period", fy_label(F.col("fy"))).orderBy(F.desc("period")).limit(8)
+    s = r.budget_lines.groupBy("fy").agg(*sums()).withColumn("period", fy_label(F.col("fy"))).orderBy(F.desc("period")).limit(8)
     return s.select("period", to_double(F.col("allocated")).alias("revenue"), to_double(F.col("spent")).alias("expenditure"), to_double(F.col("allocated") - F.col("spent")).alias("balance"))
 
 
 @query(f"""SELECT replace(lower(category), ' ', '_') AS key, {pct('sum(allocated)', 'sum(sum(allocated)) OVER ()', 2)} AS ceiling FROM budget_lines GROUP BY category""")
 def sector_ceilings(r: Roles):
     s = r.budget_lines.groupBy("category").agg(F.sum("allocated").alias("a"))
-    return s.select(F.replace(F.lower("category"), F.lit(" "), F.lit("_")).alias("key"), share(F.col("a"), F.sum("a").over(ALL), 2).alias("ceiling"))
+    return s.select(F.replace(F.lower("category"), F.lit(" "), F.lit("_")).alias("key"), share(F.col("a"), F.sum("a").over(overall()), 2).alias("ceiling"))
 
 
 @query("SELECT line_id, category, CAST(allocated AS DOUBLE) AS allocated, count(*) OVER () AS total FROM budget_lines WHERE entity_id = 3 AND fy = 1997 ORDER BY allocated DESC, line_id LIMIT 20 OFFSET 20")
@@ -194,7 +201,7 @@ def county_rollup(r: Roles):
 
 @query(f"""WITH b AS (SELECT entity_id, fy, {pct('sum(spent)', 'sum(allocated)', 1)} AS u FROM budget_lines GROUP BY 1, 2), h AS (SELECT entity_id, fy, u, {HEALTH_SQL} AS score FROM b) SELECT entity_id, fy, score, {GRADE_SQL} AS grade FROM h""")
 def health_grade(r: Roles):
-    b = r.budget_lines.groupBy("entity_id", "fy").agg(*SUMS)
+    b = r.budget_lines.groupBy("entity_id", "fy").agg(*sums())
     s = b.select("entity_id", "fy", health(share(F.col("spent"), F.col("allocated"), 1)).alias("score"))
     return s.withColumn("grade", grade(F.col("score")))
 
@@ -240,7 +247,7 @@ def allocate_by_weight(r: Roles):
 @query("""WITH p AS (SELECT entity_id, CAST(people AS DOUBLE) AS people FROM population WHERE year = 2021) SELECT entity_id, round(1e9 * (0.5 * people / sum(people) OVER () + 0.5 / count(*) OVER ()), 2) AS amount FROM p""")
 def equitable_share(r: Roles):
     p = r.population.where("year = 2021").select("entity_id", F.col("people").cast("double").alias("people"))
-    return p.select("entity_id", F.round(1e9 * (0.5 * F.col("people") / F.sum("people").over(ALL) + 0.5 / F.count("*").over(ALL)), 2).alias("amount"))
+    return p.select("entity_id", F.round(1e9 * (0.5 * F.col("people") / F.sum("people").over(overall()) + 0.5 / F.count("*").over(overall())), 2).alias("amount"))
 
 
 @query("""WITH s AS (SELECT region, count(*) AS counties, sum(allocated) AS a FROM budget_lines JOIN entities USING (entity_id) GROUP BY 1) SELECT region, counties, round(CAST(a AS DOUBLE), 2) AS allocated FROM s""")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Roles, query
 from ..sources.roles import fy_label, share, to_double
-from .budget import ALL, d, pct
+from .budget import d, overall, pct
+
+
+def zero() -> Column:
+    return F.lit(0).cast("decimal(20,4)")
 
-Z = F.lit(0).cast("decimal(20,4)")
 AS_OF = "2001-12-31"
 
 
@@ -39,13 +42,13 @@ def debt_categories(r: Roles):
     w = Window.partitionBy("debt_category").orderBy("loan_id")
     first = known.select("debt_category", "loan_id", F.row_number().over(w).alias("k")).where("k <= 5").groupBy("debt_category").agg(F.concat_ws(",", F.array_sort(F.collect_list("loan_id")).cast("array<string>")).alias("items"))
     s = known.groupBy("debt_category").agg(F.sum("principal").alias("p"), F.sum("outstanding").alias("o"), F.count("*").alias("loans"))
-    return s.join(first, "debt_category").select("debt_category", to_double(F.col("p")).alias("principal"), to_double(F.coalesce("o", Z)).alias("outstanding"), "loans", share(F.col("p"), F.sum("p").over(ALL), 2).alias("share_pct"), "items")
+    return s.join(first, "debt_category").select("debt_category", to_double(F.col("p")).alias("principal"), to_double(F.coalesce("o", zero())).alias("outstanding"), "loans", share(F.col("p"), F.sum("p").over(overall()), 2).alias("share_pct"), "items")
 
 
 @query(f"""SELECT {d("sum(CASE WHEN debt_category LIKE 'EXTERNAL%' THEN principal ELSE 0 END)")} AS external_debt, {d("sum(CASE WHEN debt_category LIKE 'EXTERNAL%' THEN 0 ELSE principal END)")} AS domestic_debt FROM loans""")
 def debt_mix(r: Roles):
     ext = F.coalesce(F.col("debt_category").startswith("EXTERNAL"), F.lit(False))
-    return r.loans.agg(to_double(F.sum(F.when(ext, F.col("principal")).otherwise(Z))).alias("external_debt"), to_double(F.sum(F.when(ext, Z).otherwise(F.col("principal")))).alias("domestic_debt"))
+    return r.loans.agg(to_double(F.sum(F.when(ext, F.col("principal")).otherwise(zero()))).alias("external_debt"), to_double(F.sum(F.when(ext, zero()).otherwise(F.col("principal")))).alias("domestic_debt"))
 
 
 TERM = f"CASE WHEN maturity_date < DATE '{AS_OF}' THEN 'matured' ELSE 'active' END"
@@ -84,7 +87,7 @@ YEARLY = """WITH t AS (SELECT CAST(year(issue_date) AS INTEGER) AS year, sum(CAS
 
 def _yearly(r: Roles):
     ext = F.coalesce(F.col("debt_category").startswith("EXTERNAL"), F.lit(False))
-    t = r.loans.where(F.year("issue_date") < 2001).groupBy(F.year("issue_date").alias("year")).agg(F.sum(F.when(ext, F.col("principal")).otherwise(Z)).alias("ext"), F.sum("principal").alias("total"))
+    t = r.loans.where(F.year("issue_date") < 2001).groupBy(F.year("issue_date").alias("year")).agg(F.sum(F.when(ext, F.col("principal")).otherwise(zero())).alias("ext"), F.sum("principal").alias("total"))
     g = r.gdp.groupBy("year").agg((F.sum("gdp") * 2).alias("gdp"))
     return t.join(g, "year").withColumn("ratio", share(F.col("total"), F.col("gdp"), 1))
 
@@ -125,7 +128,7 @@ def pending_aging(r: Roles):
 
 @query(f"SELECT printf('FY%d/%02d', fy, (fy + 1) % 100) AS period, {d('sum(amount)')} AS amount, {d('sum(amount - coalesce(ineligible, 0))')} AS eligible FROM bills GROUP BY fy")
 def pending_trend(r: Roles):
-    s = r.bills.groupBy("fy").agg(F.sum("amount").alias("a"), F.sum(F.col("amount") - F.coalesce("ineligible", Z)).alias("e"))
+    s = r.bills.groupBy("fy").agg(F.sum("amount").alias("a"), F.sum(F.col("amount") - F.coalesce("ineligible", zero())).alias("e"))
     return s.select(fy_label(F.col("fy")).alias("period"), to_double(F.col("a")).alias("amount"), to_double(F.col("e")).alias("eligible"))
 
 
@@ -143,7 +146,7 @@ def pending_by_entity(r: Roles):
 @query(f"""SELECT {d("sum(CASE WHEN entity_type = 'NATIONAL' THEN amount ELSE 0 END)")} AS national, {d("sum(CASE WHEN entity_type = 'COUNTY' THEN amount ELSE 0 END)")} AS county, {d('sum(amount)')} AS total FROM bills JOIN entities USING (entity_id)""")
 def pending_totals(r: Roles):
     j = r.bills.join(F.broadcast(r.entities), "entity_id")  # an entity is a row of the 25-row nation table
-    return j.agg(to_double(F.sum(F.when(F.col("entity_type") == "NATIONAL", F.col("amount")).otherwise(Z))).alias("national"), to_double(F.sum(F.when(F.col("entity_type") == "COUNTY", F.col("amount")).otherwise(Z))).alias("county"), to_double(F.sum("amount")).alias("total"))
+    return j.agg(to_double(F.sum(F.when(F.col("entity_type") == "NATIONAL", F.col("amount")).otherwise(zero()))).alias("national"), to_double(F.sum(F.when(F.col("entity_type") == "COUNTY", F.col("amount")).otherwise(zero()))).alias("county"), to_double(F.sum("amount")).alias("total"))
 
 
 @query("SELECT bill_id, coalesce(entity, 'Unknown') AS entity, bill_type, CAST(amount AS DOUBLE) AS amount FROM bills LEFT JOIN (SELECT * FROM entities WHERE entity_id <> 3) e USING (entity_id) WHERE fy = 2000")

@@ -32,7 +32,8 @@ def money(c: Column) -> Column:
 
 
 def to_double(c: Column, scale: int = 2) -> Column:
-    return F.round(c.cast("double"), scale)
+    """Money as a double, rounded half up while it is still exact."""
+    return F.round(c, scale).cast("double")
 
 
 def share(part: Column, whole: Column, scale: int, factor: int = 100) -> Column:
