@@ -30,7 +30,7 @@ from .common import BYTE_TABLE, ODD, U, chunks, materialise, prepare, remove, sl
 
 LENGTH = 100
 GRAM = 32
-HOT = 20_000
+HOT = 4096
 NULL_ID = -(1 << 63)
 LEFT = LENGTH - GRAM  # bytes before an anchor that its windows can touch
 
@@ -357,7 +357,7 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (),
     if not crowded.isEmpty():
         cold = contexts.join(crowded, "h", "left_anti")
         windows = contexts.join(crowded, "h", "left_semi").mapInArrow(_window_rows, "h long, i int, w long, doc long, sub int, a int")
-        first = windows.groupBy("h", "i", "w").agg(F.min(F.struct("doc", "sub", "a")).alias("first"))
+        first = windows.groupBy("h", "i", "w").agg(F.min(F.struct("doc", "sub", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         late = windows.join(first, ["h", "i", "w"]).where(F.struct("doc", "sub", "a") != F.col("first"))
         spans.append(late.select("doc", "sub", (F.col("a") - LEFT + F.col("i")).alias("a"), (-(F.col("a") - LEFT + F.col("i") + LENGTH)).alias("b")))
     refined = cold.repartition("h").sortWithinPartitions("h", "doc", "sub", "a").mapInArrow(_second_refinement, "h long, doc long, sub int, a int, b int")
