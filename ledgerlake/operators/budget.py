@@ -61,9 +61,9 @@ def national_budget_sectors(r: Roles):
     return s.select("category", to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), share(F.col("allocated"), F.sum("allocated").over(overall()), 1).alias("percentage"), share(F.col("spent"), F.col("allocated"), 1).alias("utilization"))
 
 
-@query(f"""SELECT fy, {d("coalesce(sum(allocated) FILTER (WHERE regexp_matches(lower(category), 'steel|brass|copper')), 0)")} AS development, {d("coalesce(sum(allocated) FILTER (WHERE NOT regexp_matches(lower(category), 'steel|brass|copper')), 0)")} AS recurrent FROM budget_lines GROUP BY 1""")
+@query(f"""SELECT fy, {d("coalesce(sum(allocated) FILTER (WHERE regexp_matches(lower(category), 'large|promo')), 0)")} AS development, {d("coalesce(sum(allocated) FILTER (WHERE NOT regexp_matches(lower(category), 'large|promo')), 0)")} AS recurrent FROM budget_lines GROUP BY 1""")
 def dev_recurrent_split(r: Roles):
-    dev = F.lower("category").rlike("steel|brass|copper")
+    dev = F.lower("category").rlike("large|promo")
     zero = F.lit(0).cast("decimal(20,4)")
     return r.budget_lines.groupBy("fy").agg(to_double(F.sum(F.when(dev, F.col("allocated")).otherwise(zero))).alias("development"), to_double(F.sum(F.when(~dev, F.col("allocated")).otherwise(zero))).alias("recurrent"))
 
