@@ -135,3 +135,44 @@ def document_kind(title: Column) -> Column:
 def relevance(text: Column, strong: tuple[str, ...], weak: tuple[str, ...]) -> Column:
     t = F.lower(text)
     return reduce(lambda a, b: a + b, [F.when(t.contains(w), k).otherwise(0) for ws, k in ((strong, 10), (weak, 5)) for w in ws])
+
+
+def money_in_kes(text: Column, usd_rate: float = 129.0) -> Column:
+    """Amount in shillings of a KES or USD figure with an optional word for its size; a bare number as it is."""
+    pattern = r"(?i)\b(KES|KSh|USD)\.?\s*([\d,]+(?:\.\d+)?)\s*(billion|million|thousand)?"
+    unit = F.lower(F.regexp_extract(text, pattern, 3))
+    scale = cascade([(unit == "billion", F.lit(1e9)), (unit == "million", F.lit(1e6)), (unit == "thousand", F.lit(1e3))], F.lit(1.0))
+    rate = F.when(F.upper(F.regexp_extract(text, pattern, 1)) == "USD", usd_rate).otherwise(1.0)
+    found = number(F.regexp_extract(text, pattern, 2)) * scale * rate
+    return F.round(F.coalesce(found, number(F.regexp_extract(text, r"([\d,]*\d(?:\.\d+)?)", 1))), 2)
+
+
+def amount_before_kes(text: Column) -> Column:
+    """The figure that stands before the word KES, scaled by its B or M; null without either."""
+    pattern = r"([\d.]+)\s*([BM])\s*KES"
+    unit = F.regexp_extract(text, pattern, 2)
+    return F.round(F.regexp_extract(text, pattern, 1).try_cast("double") * F.when(unit == "B", 1e9).when(unit == "M", 1e6), 2)
+
+
+def context_amount(text: Column) -> Column:
+    """The first figure, scaled by a size word near it; small figures without one are billions, middling ones millions."""
+    v = number(F.regexp_extract(text, r"([\d,]*\d(?:\.\d+)?)", 1))
+    near = F.lower(F.regexp_extract(text, r"((?:.{0,30})\d(?:.{0,30}))", 1))
+    return F.round(F.when(near.contains("billion"), v * 1e9).when(near.contains("million"), v * 1e6).when(v < 100, v * 1e9).when(v < 1e5, v * 1e6).otherwise(v), 2)
+
+
+def response(text: Column) -> Column:
+    """What follows ``Management response:`` up to a line in capitals."""
+    found = F.regexp_extract(text, r"(?s)Management [Rr]esponse:\s*(.*?)(?:\n[A-Z][A-Z ]+\n|$)", 1)
+    return F.when(found != "", F.trim(found))
+
+
+def indicator(text: Column, word: str, low: float, high: float) -> Column:
+    """The percentage after ``word``, null outside its sane range."""
+    v = F.regexp_extract(text, rf"(?i){word}\D{{0,40}}?(\d+(?:\.\d+)?)\s*(?:%|per cent|percent)", 1).try_cast("double")
+    return F.when((v >= low) & (v <= high), v)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Levenshtein similarity in percent of the longer text."""
+    return F.round(100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))), 2)

@@ -2,6 +2,6 @@
 
 from ..plans.registry import ORACLE_SQL, QUERIES
 from ..streaming import queries as streaming
-from . import audit, budget, debt, economic, ingest, parsing, reports
+from . import audit, budget, debt, economic, ingest, parsing, parsing_more, reports
 
-__all__ = ["ORACLE_SQL", "QUERIES", "audit", "budget", "debt", "economic", "ingest", "parsing", "reports", "streaming"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audit", "budget", "debt", "economic", "ingest", "parsing", "parsing_more", "reports", "streaming"]
