@@ -1,9 +1,10 @@
 """Language identification by nearest centroid over normalised TF-IDF character n-grams.
 
-Fitting takes at most ``PER_LANGUAGE`` labelled documents of each language, those of smallest id hash (a documented
-bound: the classifier doesn't get better with more).  Document frequencies come from them; each language's vectors are
-clustered by spherical k-means in one task per language, and a text is compared with every centroid by cosine.  A text
-farther from all centroids than a share of what nearly all learned documents of its size reach is rejected.
+Fitting takes at most ``PER_LANGUAGE`` labelled documents of each language, those of smallest id hash, and of the
+``MAX_LANGUAGES`` most frequent languages (documented bounds: the classifier doesn't get better with more).  Document
+frequencies come from them; each language's vectors are clustered by spherical k-means in one task per language, and a
+text is compared with every centroid by cosine.  A text farther from all centroids than a share of what nearly all
+learned documents of its size reach is rejected.
 
 Results for unusual input: null text and text without letters are ``und`` with score 0 and rejected; rows with null
 doc_id are predicted but never learned from; with nothing to learn from, every text is ``und``; repeated rows count as
@@ -24,6 +25,7 @@ BITS = 14
 DIMENSIONS = 1 << BITS
 SIZES = 16
 PER_LANGUAGE = 1000
+MAX_LANGUAGES = 1000
 CENTROIDS = 4
 ORDERS = (1, 2, 3)
 #: A document is rejected under this share of the similarity that 99 % of the learned documents of its size reach.
@@ -116,10 +118,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     """Centroids, their languages, IDF and rejection bounds, from labelled ``docs`` (doc_id, text, lang) given."""
     spark = docs.sparkSession
     known = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = sizes.select("lang", (2.0 * per_language / F.col("count")).alias("share"))
-    few = known.select("lang", "text", u.alias("u"), "doc_id").join(F.broadcast(share), "lang").where("u < share")  # a row a language
+    few = known.select("lang", "text", u.alias("u"), "doc_id").join(F.broadcast(share), "lang").where("u < share")  # at most MAX_LANGUAGES rows
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", F.hash("text")))
     sample, _ = materialise(few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text").repartition(8), "langs")
 
