@@ -40,19 +40,30 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _KEEPS = frozenset("table ul ol dl article main section div body html nav aside footer header form".split())
 
 
-def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+#: Layout words that may also name a wrapper around the article itself: an article inside lifts them.
+LAYOUT_WORDS = frozenset("sidebar sidebars header footer nav navbar navigation menu banner topbar widget widgets toolbar modal overlay search login social share sharing".split())
+_NEGATED = frozenset("has with no without hide hides show shows".split())
+
+
+def _excluded(tag: str, attrs: list[tuple[str, str | None]]) -> int:
+    """0: content. 1: excluded. 2: excluded unless an article is inside."""
     if tag in EXCLUDED_TAGS:
-        return True
+        return 1
     if tag in ("html", "body", "main"):
-        return False
+        return 0
+    kind = 0
     for k, v in attrs:
         if v and k == "role" and v.strip().lower() in EXCLUDED_ROLES:
-            return True
+            return 1
         if v and k in ("class", "id"):
-            found = {w.lower() for w in _WORD.findall(v)}
-            if found & ({"comment", "comments", "ad", "advert", "sponsored", "related"} if tag == "article" else EXCLUDED_WORDS):
-                return True
-    return False
+            found = [w.lower() for w in _WORD.findall(v)]
+            found = {w for w, before in zip(found, ["", *found], strict=False) if before not in _NEGATED}
+            bad = found & ({"comment", "comments", "ad", "advert", "sponsored", "related"} if tag == "article" else EXCLUDED_WORDS)
+            if bad - LAYOUT_WORDS:
+                return 1
+            if bad:
+                kind = 2
+    return kind
 
 
 class Lines(HTMLParser):
@@ -62,7 +73,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # tag, number of the element
         self.hidden = 0  # open elements that are excluded
-        self.bad: list[bool] = []  # per open element
+        self.bad: list[int] = []  # per open element
         self.elements: list[str] = []
         self.out: list[tuple[str, int, tuple[int, ...], bool]] = []
         self.parts: list[str] = []
@@ -78,7 +89,7 @@ class Lines(HTMLParser):
     def close_to(self, depth: int) -> None:
         while len(self.stack) > depth:
             self.stack.pop()
-            self.hidden -= self.bad.pop()
+            self.hidden -= self.bad.pop() > 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         bad = _excluded(tag, attrs)
@@ -105,10 +116,13 @@ class Lines(HTMLParser):
                 break
         if tag not in ("head", "title") and any(t == "head" for t, _ in self.stack) and tag in BLOCKS:
             self.close_to(next(i for i, (t, _) in enumerate(self.stack) if t == "head"))
+        if tag in ("article", "main") and not bad and 1 not in self.bad:
+            self.hidden = 0
+            self.bad = [0] * len(self.bad)
         self.elements.append(tag)
         self.stack.append((tag, len(self.elements) - 1))
         self.bad.append(bad)
-        self.hidden += bad
+        self.hidden += bad > 0
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)

@@ -316,6 +316,8 @@ CASES = [
     ("<div class='post'><p>" + "word " * 60 + "</p><p>short</p><div class='sidebar-ad'>buy</div></div><div class=comments><p>" + "nice " * 50 + "</p></div>", ("word " * 60).strip() + " short"),
     ("<header>H</header><div id=content><h1>T</h1><p>" + "w " * 80 + "</p><table><tr><td>a<td>b</table></div><aside>s</aside>", "T " + ("w " * 80).strip() + " a b"),
     ("<article><header><h1>t</h1></header><p>" + "x y z " * 9 + "<section class='comments'><article>c c</article></section></article>", ("x y z " * 9).strip()),
+    ("<div class='has-sidebar'><div class='page-header'><article><p>" + "t " * 60 + "</p></article></div><div class='sidebar'><p>" + "s " * 90 + "</p></div></div>", ("t " * 60).strip()),
+    ("<div class='comments'><article><p>" + "c " * 60 + "</p></article></div><article><p>x y</article>", "x y"),
     ("<main><p>a<div class='cookie-notice'>we use</div><form><p>send</p></form><p>b</main>", "a b"),
 ]
 
