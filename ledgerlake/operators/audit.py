@@ -157,7 +157,7 @@ def accountability(r: Roles):
     op = f.where("finding_id % 7 = 0").groupBy("entity_id", "audit_year").agg(F.max(rank).alias("op")).groupBy("entity_id").agg(F.max("op").alias("worst"), F.max_by("op", "audit_year").alias("latest"))
     rec = f.where("query_type is not null").groupBy("entity_id", "query_type").agg(F.countDistinct("audit_year").alias("y")).groupBy("entity_id").agg(F.count_if(F.col("y") >= 2).alias("recurring"))
     un = f.groupBy("entity_id").agg(F.count_if(F.lower("status").isin("pending", "unresolved", "recurring")).alias("unresolved"), F.sum("amount").alias("flagged"))
-    ab = r.budget_lines.groupBy("entity_id").agg(F.sum("spent").alias("s"), F.sum("allocated").alias("a")).select("entity_id", share(F.col("s"), F.col("a"), 4, 1).alias("absorption"))
+    ab = r.execution("entity_id").groupBy("entity_id").agg(F.sum("spent").alias("s"), F.sum("allocated").alias("a")).select("entity_id", share(F.col("s"), F.col("a"), 4, 1).alias("absorption"))
     j = r.entities
     for x in (op, rec, un, ab):
         j = j.join(x, "entity_id", "left")

@@ -42,7 +42,7 @@ GRADE_SQL = "CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B+' WHEN scor
 
 @query(f"SELECT {d('sum(allocated)')} AS allocated, {d('sum(spent)')} AS spent, coalesce({pct('sum(spent)', 'sum(allocated)', 1)}, 0) AS execution_rate FROM budget_lines")
 def country_summary(r: Roles):
-    return r.budget_lines.agg(*sums()).select(to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), F.coalesce(share(F.col("spent"), F.col("allocated"), 1), F.lit(0.0)).alias("execution_rate"))
+    return r.execution().agg(*sums()).select(to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), F.coalesce(share(F.col("spent"), F.col("allocated"), 1), F.lit(0.0)).alias("execution_rate"))
 
 
 @query("SELECT entity_type, count(*) AS n FROM entities GROUP BY 1")
@@ -57,7 +57,7 @@ def doc_counts(r: Roles):
 
 @query(f"""SELECT category, {d('sum(allocated)')} AS allocated, {d('sum(spent)')} AS spent, {pct('sum(allocated)', 'sum(sum(allocated)) OVER ()', 1)} AS percentage, {pct('sum(spent)', 'sum(allocated)', 1)} AS utilization FROM budget_lines GROUP BY 1""")
 def national_budget_sectors(r: Roles):
-    s = r.budget_lines.groupBy("category").agg(*sums())
+    s = r.execution("category").groupBy("category").agg(*sums())
     return s.select("category", to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), share(F.col("allocated"), F.sum("allocated").over(overall()), 1).alias("percentage"), share(F.col("spent"), F.col("allocated"), 1).alias("utilization"))
 
 
@@ -65,7 +65,7 @@ def national_budget_sectors(r: Roles):
 def dev_recurrent_split(r: Roles):
     dev = F.lower("category").rlike("large|promo")
     zero = F.lit(0).cast("decimal(20,4)")
-    return r.budget_lines.groupBy("fy").agg(to_double(F.sum(F.when(dev, F.col("allocated")).otherwise(zero))).alias("development"), to_double(F.sum(F.when(~dev, F.col("allocated")).otherwise(zero))).alias("recurrent"))
+    return r.execution("fy", "category").groupBy("fy").agg(to_double(F.sum(F.when(dev, F.col("allocated")).otherwise(zero))).alias("development"), to_double(F.sum(F.when(~dev, F.col("allocated")).otherwise(zero))).alias("recurrent"))
 
 
 SECTORS = (("STANDARD", "Health"), ("SMALL", "Education"), ("MEDIUM", "Education"), ("LARGE", "Infrastructure"), ("ECONOMY", "Agriculture"))
@@ -76,7 +76,7 @@ SECTORS = (("STANDARD", "Health"), ("SMALL", "Education"), ("MEDIUM", "Education
     SELECT sector, {d('a')} AS allocated, {pct('b', 'a', 1)} AS execution, {pct('a', 'sum(a) OVER ()', 1)} AS percentage FROM s""")
 def budget_overview_sectors(r: Roles):
     names = F.create_map(*(F.lit(x) for pair in SECTORS for x in pair))
-    s = r.budget_lines.groupBy(F.coalesce(names[F.substring_index("category", " ", 1)], F.lit("Other")).alias("sector")).agg(*sums())
+    s = r.execution("category").groupBy(F.coalesce(names[F.substring_index("category", " ", 1)], F.lit("Other")).alias("sector")).agg(*sums())
     return s.select("sector", to_double(F.col("allocated")).alias("allocated"), share(F.col("spent"), F.col("allocated"), 1).alias("execution"), share(F.col("allocated"), F.sum("allocated").over(overall()), 1).alias("percentage"))
 
 
@@ -87,7 +87,7 @@ def execution_by_sector(r: Roles):
 
 
 def _utilisation(r: Roles):
-    s = r.budget_lines.groupBy("entity_id").agg(*sums()).join(r.entities, "entity_id")
+    s = r.execution("entity_id").groupBy("entity_id").agg(*sums()).join(r.entities, "entity_id")
     return s.select("entity", "region", to_double(F.col("allocated")).alias("allocated"), to_double(F.col("allocated") - F.col("spent")).alias("variance"), share(F.col("spent"), F.col("allocated"), 1).alias("utilization"))
 
 
@@ -112,38 +112,38 @@ def utilization_extremes(r: Roles):
 @query(f"""WITH s AS (SELECT fy, category, sum(spent) AS v FROM budget_lines GROUP BY 1, 2)
     SELECT fy, category, {d('v')} AS amount, {pct('v', 'sum(v) OVER (PARTITION BY fy)', 1)} AS share_pct, round(CAST(v - lag(v) OVER (PARTITION BY category ORDER BY fy) AS DOUBLE) / nullif(CAST(lag(v) OVER (PARTITION BY category ORDER BY fy) AS DOUBLE), 0) * 100, 1) AS yoy_pct FROM s""")
 def revenue_by_source(r: Roles):
-    s = r.budget_lines.groupBy("fy", "category").agg(F.sum("spent").alias("v"))
+    s = r.execution("fy", "category").groupBy("fy", "category").agg(F.sum("spent").alias("v"))
     before = F.lag("v").over(Window.partitionBy("category").orderBy("fy"))
     return s.select("fy", "category", to_double(F.col("v")).alias("amount"), share(F.col("v"), F.sum("v").over(Window.partitionBy("fy")), 1).alias("share_pct"), share(F.col("v") - before, before, 1).alias("yoy_pct"))
 
 
 @query(f"""SELECT category, {d("coalesce(sum(spent) FILTER (WHERE fy = 1996), 0)")} AS fy1996, {d("coalesce(sum(spent) FILTER (WHERE fy = 1997), 0)")} AS fy1997, {d("coalesce(sum(spent) FILTER (WHERE fy = 1998), 0)")} AS fy1998 FROM budget_lines WHERE fy IN (1996, 1997, 1998) GROUP BY 1""")
 def revenue_pivot(r: Roles):
-    p = r.budget_lines.where(F.col("fy").isin(1996, 1997, 1998)).groupBy("category").pivot("fy", [1996, 1997, 1998]).agg(F.sum("spent"))
+    p = r.execution("category", "fy").where(F.col("fy").isin(1996, 1997, 1998)).groupBy("category").pivot("fy", [1996, 1997, 1998]).agg(F.sum("spent"))
     return p.select("category", *(to_double(F.coalesce(F.col(f"{y}"), F.lit(0).cast("decimal(20,4)"))).alias(f"fy{y}") for y in (1996, 1997, 1998)))
 
 
 @query(f"""WITH b AS (SELECT sum(allocated) AS a, sum(spent) AS s FROM budget_lines), g AS (SELECT sum(gdp) AS g FROM gdp), p AS (SELECT sum(people) AS p FROM population WHERE year = 2021)
     SELECT {pct('a', 'g', 2)} AS budget_to_gdp, {pct('s', 'g', 2)} AS revenue_to_gdp, round(CAST(a AS DOUBLE) / CAST(p AS DOUBLE), 0) AS per_capita FROM b, g, p""")
 def economic_context(r: Roles):
-    one = r.budget_lines.agg(F.sum("allocated").alias("a"), F.sum("spent").alias("s")).crossJoin(r.gdp.agg(F.sum("gdp").alias("g"))).crossJoin(r.population.where("year = 2021").agg(F.sum("people").alias("p")))
+    one = r.execution().agg(F.sum("allocated").alias("a"), F.sum("spent").alias("s")).crossJoin(r.gdp.agg(F.sum("gdp").alias("g"))).crossJoin(r.population.where("year = 2021").agg(F.sum("people").alias("p")))
     return one.select(share(F.col("a"), F.col("g"), 2).alias("budget_to_gdp"), share(F.col("s"), F.col("g"), 2).alias("revenue_to_gdp"), F.round(F.col("a").cast("double") / F.col("p").cast("double"), 0).alias("per_capita"))
 
 
 @query(f"""SELECT entity_id, printf('FY%d/%02d', fy, (fy + 1) % 100) AS period, {d('sum(allocated)')} AS allocated, {d('sum(spent)')} AS spent, count(*) AS lines FROM budget_lines GROUP BY entity_id, fy""")
 def entity_time_series(r: Roles):
-    return r.budget_lines.groupBy("entity_id", "fy").agg(*sums(), F.count("*").alias("lines")).select("entity_id", fy_label(F.col("fy")).alias("period"), to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), "lines")
+    return r.execution("entity_id", "fy").groupBy("entity_id", "fy").agg(*sums(), F.sum("lines").alias("lines")).select("entity_id", fy_label(F.col("fy")).alias("period"), to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"), "lines")
 
 
 @query(f"""SELECT printf('FY%d/%02d', fy, (fy + 1) % 100) AS period, {d('sum(allocated)')} AS revenue, {d('sum(spent)')} AS expenditure, {d('sum(allocated) - sum(spent)')} AS balance FROM budget_lines GROUP BY fy ORDER BY period DESC LIMIT 8""")
 def fiscal_outturns(r: Roles):
-    s = r.budget_lines.groupBy("fy").agg(*sums()).withColumn("period", fy_label(F.col("fy"))).orderBy(F.desc("period")).limit(8)
+    s = r.execution("fy").groupBy("fy").agg(*sums()).withColumn("period", fy_label(F.col("fy"))).orderBy(F.desc("period")).limit(8)
     return s.select("period", to_double(F.col("allocated")).alias("revenue"), to_double(F.col("spent")).alias("expenditure"), to_double(F.col("allocated") - F.col("spent")).alias("balance"))
 
 
 @query(f"""SELECT replace(lower(category), ' ', '_') AS key, {pct('sum(allocated)', 'sum(sum(allocated)) OVER ()', 2)} AS ceiling FROM budget_lines GROUP BY category""")
 def sector_ceilings(r: Roles):
-    s = r.budget_lines.groupBy("category").agg(F.sum("allocated").alias("a"))
+    s = r.execution("category").groupBy("category").agg(F.sum("allocated").alias("a"))
     return s.select(F.replace(F.lower("category"), F.lit(" "), F.lit("_")).alias("key"), share(F.col("a"), F.sum("a").over(overall()), 2).alias("ceiling"))
 
 
@@ -158,7 +158,7 @@ WATERFALL = f"""WITH b AS (SELECT entity_id, sum(allocated) AS a, sum(spent) AS
 
 
 def _flow(r: Roles):
-    b = r.budget_lines.where("fy = 1997").groupBy("entity_id").agg(F.sum("allocated").alias("a"), F.sum("spent").alias("s"), F.sum("committed").alias("c"))
+    b = r.execution("entity_id", "fy").where("fy = 1997").groupBy("entity_id").agg(F.sum("allocated").alias("a"), F.sum("spent").alias("s"), F.sum("committed").alias("c"))
     f = r.findings.where("audit_year = 2022").groupBy("entity_id").agg(F.nullif(F.sum("amount"), F.lit(0)).alias("fl"))
     return r.entities.select("entity_id", "entity").join(b, "entity_id", "left").join(f, "entity_id", "left")
 
@@ -191,7 +191,7 @@ def money_flow_national(r: Roles):
     SELECT entity, region, {d('a')} AS allocated, {d('s')} AS spent, {d('flagged')} AS flagged, coalesce(findings, 0) AS findings, {d('debt')} AS debt, people, u AS utilization, {HEALTH_SQL} AS health, round(CAST(a AS DOUBLE) / people, 2) AS per_capita FROM j""")
 def county_rollup(r: Roles):
     """Each fact is aggregated by entity on its own, then joined to the entities: no fact meets another row by row."""
-    b = r.budget_lines.groupBy("entity_id").agg(F.sum("allocated").alias("a"), F.sum("spent").alias("s"))
+    b = r.execution("entity_id").groupBy("entity_id").agg(F.sum("allocated").alias("a"), F.sum("spent").alias("s"))
     x = r.findings.groupBy("entity_id").agg(F.sum("amount").alias("flagged"), F.count("*").alias("findings"))
     debt = r.loans.groupBy("entity_id").agg(F.sum(F.coalesce(F.nullif("outstanding", F.lit(0)), F.col("principal"))).alias("debt"))
     p = r.population.groupBy("entity_id").agg(F.max_by("people", "year").alias("people"))
@@ -201,7 +201,7 @@ def county_rollup(r: Roles):
 
 @query(f"""WITH b AS (SELECT entity_id, fy, {pct('sum(spent)', 'sum(allocated)', 1)} AS u FROM budget_lines GROUP BY 1, 2), h AS (SELECT entity_id, fy, u, {HEALTH_SQL} AS score FROM b) SELECT entity_id, fy, score, {GRADE_SQL} AS grade FROM h""")
 def health_grade(r: Roles):
-    b = r.budget_lines.groupBy("entity_id", "fy").agg(*sums())
+    b = r.execution("entity_id", "fy").groupBy("entity_id", "fy").agg(*sums())
     s = b.select("entity_id", "fy", health(share(F.col("spent"), F.col("allocated"), 1)).alias("score"))
     return s.withColumn("grade", grade(F.col("score")))
 
@@ -209,7 +209,7 @@ def health_grade(r: Roles):
 @query(f"""WITH b AS (SELECT entity_id, sum(allocated) AS a, sum(spent) AS s FROM budget_lines GROUP BY 1), l AS (SELECT entity_id, sum(outstanding) AS o FROM loans GROUP BY 1), p AS (SELECT entity_id, sum(amount) AS p FROM bills GROUP BY 1)
     SELECT entity_id, round(0.4 * least(100.0, CAST(s AS DOUBLE) / CAST(a AS DOUBLE) * 100) + 0.3 * greatest(0.0, 100 - CAST(o AS DOUBLE) / CAST(a AS DOUBLE) * 2) + 0.3 * greatest(0.0, 100 - CAST(p AS DOUBLE) / CAST(a AS DOUBLE) * 3), 1) AS score FROM b JOIN l USING (entity_id) JOIN p USING (entity_id)""")
 def weighted_health(r: Roles):
-    b = r.budget_lines.groupBy("entity_id").agg(F.sum("allocated").cast("double").alias("a"), F.sum("spent").cast("double").alias("s"))
+    b = r.execution("entity_id").groupBy("entity_id").agg(F.sum("allocated").cast("double").alias("a"), F.sum("spent").cast("double").alias("s"))
     o = r.loans.groupBy("entity_id").agg(F.sum("outstanding").cast("double").alias("o"))
     p = r.bills.groupBy("entity_id").agg(F.sum("amount").cast("double").alias("p"))
     score = 0.4 * F.least(F.lit(100.0), F.col("s") / F.col("a") * 100) + 0.3 * F.greatest(F.lit(0.0), 100 - F.col("o") / F.col("a") * 2) + 0.3 * F.greatest(F.lit(0.0), 100 - F.col("p") / F.col("a") * 3)
@@ -218,14 +218,14 @@ def weighted_health(r: Roles):
 
 @query(f"""WITH e AS (SELECT entity_id, fy, sum(allocated) - sum(committed) AS gap FROM budget_lines GROUP BY 1, 2) SELECT entity_id, {d('sum(greatest(coalesce(gap, 0), 0))')} AS positive_gap, count(gap) AS periods FROM e GROUP BY 1""")
 def positive_gap(r: Roles):
-    e = r.budget_lines.groupBy("entity_id", "fy").agg((F.sum("allocated") - F.sum("committed")).alias("gap"))
+    e = r.execution("entity_id", "fy").groupBy("entity_id", "fy").agg((F.sum("allocated") - F.sum("committed")).alias("gap"))
     zero = F.lit(0).cast("decimal(20,4)")
     return e.groupBy("entity_id").agg(to_double(F.sum(F.greatest(F.coalesce("gap", zero), zero))).alias("positive_gap"), F.count("gap").alias("periods"))
 
 
 @query(f"""WITH k AS (SELECT fy, dense_rank() OVER (ORDER BY fy DESC) AS k, allocated FROM budget_lines) SELECT k, fy, {d('sum(allocated)')} AS allocated FROM k WHERE k <= 2 GROUP BY 1, 2""")
 def period_comparison(r: Roles):
-    s = r.budget_lines.groupBy("fy").agg(F.sum("allocated").alias("a")).orderBy(F.desc("fy")).limit(2)
+    s = r.execution("fy").groupBy("fy").agg(F.sum("allocated").alias("a")).orderBy(F.desc("fy")).limit(2)
     return s.select(F.row_number().over(Window.orderBy(F.desc("fy"))).alias("k"), "fy", to_double(F.col("a")).alias("allocated"))
 
 
@@ -238,7 +238,7 @@ WEIGHTS = (("Health", "0.35"), ("Education", "0.25"), ("Roads", "0.20"))
 def allocate_by_weight(r: Roles):
     """Each total split over fixed weights, and a remainder row for what they leave."""
     w = F.array(*(F.struct(F.lit(n).alias("sector"), F.lit(x).cast("decimal(4,2)").alias("weight")) for n, x in WEIGHTS))
-    t = r.budget_lines.groupBy("entity_id").agg(F.sum("allocated").cast("decimal(20,4)").alias("total"))
+    t = r.execution("entity_id").groupBy("entity_id").agg(F.sum("allocated").cast("decimal(20,4)").alias("total"))
     a = t.select("entity_id", "total", F.explode(w).alias("w")).select("entity_id", "total", "w.sector", F.round(F.col("total") * F.col("w.weight"), 2).cast("double").alias("amount"))
     rest = a.groupBy("entity_id").agg(F.round(F.first("total").cast("double") - F.sum("amount"), 1).alias("amount")).select("entity_id", F.lit("Other").alias("sector"), "amount")
     return a.select("entity_id", "sector", "amount").unionByName(rest)
@@ -252,7 +252,7 @@ def equitable_share(r: Roles):
 
 @query("""WITH s AS (SELECT region, count(*) AS counties, sum(allocated) AS a FROM budget_lines JOIN entities USING (entity_id) GROUP BY 1) SELECT region, counties, round(CAST(a AS DOUBLE), 2) AS allocated FROM s""")
 def region_summary(r: Roles):
-    s = r.budget_lines.groupBy("entity_id").agg(F.count("*").alias("n"), F.sum("allocated").alias("a")).join(r.entities, "entity_id")
+    s = r.execution("entity_id").groupBy("entity_id").agg(F.sum("lines").alias("n"), F.sum("allocated").alias("a")).join(r.entities, "entity_id")
     return s.groupBy("region").agg(F.sum("n").alias("counties"), to_double(F.sum("a")).alias("allocated"))
 
 

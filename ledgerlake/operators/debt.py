@@ -78,7 +78,7 @@ RATIO = f"""WITH l AS (SELECT entity_id, sum({OWED}) AS debt FROM loans GROUP BY
 
 @query(RATIO + " SELECT entity_id, ratio, CASE WHEN ratio > 100 THEN 'critical' WHEN ratio > 50 THEN 'high_risk' WHEN ratio > 25 THEN 'moderate' ELSE 'sustainable' END AS risk FROM x")
 def debt_risk(r: Roles):
-    x = r.loans.groupBy("entity_id").agg(F.sum(owed()).alias("debt")).join(r.budget_lines.groupBy("entity_id").agg(F.sum("allocated").alias("budget")), "entity_id").select("entity_id", share(F.col("debt"), F.col("budget"), 1).alias("ratio"))
+    x = r.loans.groupBy("entity_id").agg(F.sum(owed()).alias("debt")).join(r.execution("entity_id").groupBy("entity_id").agg(F.sum("allocated").alias("budget")), "entity_id").select("entity_id", share(F.col("debt"), F.col("budget"), 1).alias("ratio"))
     return x.withColumn("risk", F.when(F.col("ratio") > 100, "critical").when(F.col("ratio") > 50, "high_risk").when(F.col("ratio") > 25, "moderate").otherwise("sustainable"))
 
 

@@ -90,7 +90,7 @@ def freshness_status(r: Roles):
 
 @query(f"SELECT entity_id, {HEALTH_SQL} AS score FROM (SELECT entity_id, {pct('sum(spent)', 'sum(allocated)', 1)} AS u FROM budget_lines GROUP BY 1)")
 def health_score(r: Roles):
-    return r.budget_lines.groupBy("entity_id").agg(*sums()).select("entity_id", health(share(F.col("spent"), F.col("allocated"), 1)).alias("score"))
+    return r.execution("entity_id").groupBy("entity_id").agg(*sums()).select("entity_id", health(share(F.col("spent"), F.col("allocated"), 1)).alias("score"))
 
 
 @query("""WITH b AS (SELECT entity_id, sum(allocated) AS a, sum(spent) AS s FROM budget_lines GROUP BY 1), l AS (SELECT entity_id, sum(outstanding) AS o FROM loans GROUP BY 1), p AS (SELECT entity_id, sum(amount) AS p FROM bills GROUP BY 1), x AS (SELECT entity_id, CAST(s AS DOUBLE) / CAST(a AS DOUBLE) AS e, CAST(o AS DOUBLE) / CAST(a AS DOUBLE) AS o, CAST(p AS DOUBLE) / CAST(a AS DOUBLE) AS p FROM b JOIN l USING (entity_id) JOIN p USING (entity_id))
@@ -99,7 +99,7 @@ def weighted_health_d(r: Roles):
     """Ranks over the entities (one row each) by three ratios."""
     from pyspark.sql import Window
 
-    b = r.budget_lines.groupBy("entity_id").agg(F.sum("allocated").cast("double").alias("a"), F.sum("spent").cast("double").alias("s"))
+    b = r.execution("entity_id").groupBy("entity_id").agg(F.sum("allocated").cast("double").alias("a"), F.sum("spent").cast("double").alias("s"))
     o = r.loans.groupBy("entity_id").agg(F.sum("outstanding").cast("double").alias("o"))
     p = r.bills.groupBy("entity_id").agg(F.sum("amount").cast("double").alias("p"))
     x = b.join(o, "entity_id").join(p, "entity_id")

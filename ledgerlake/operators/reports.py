@@ -94,14 +94,14 @@ def entity_union_search(r: Roles):
 @query(f"""WITH b AS (SELECT fy, sum(allocated) AS a, sum(spent) AS s, sum(committed) AS c FROM budget_lines GROUP BY 1) SELECT fy, {d('a')} AS allocated, {d('s')} AS spent FROM b WHERE CAST(coalesce(a, 0) > 0 AS INTEGER) + CAST(coalesce(s, 0) > 0 AS INTEGER) + CAST(coalesce(c, 0) > 0 AS INTEGER) + CAST(fy % 3 > 0 AS INTEGER) >= 3""")
 def fiscal_complete_years(r: Roles):
     """Years with at least three of four figures."""
-    b = r.budget_lines.groupBy("fy").agg(*sums(), F.sum("committed").alias("c"))
+    b = r.execution("fy").groupBy("fy").agg(*sums(), F.sum("committed").alias("c"))
     there = sum(((F.coalesce(F.col(c), F.lit(0)) > 0).cast("int") for c in ("spent", "c")), (F.coalesce(F.col("allocated"), F.lit(0)) > 0).cast("int")) + (F.col("fy") % 3 > 0).cast("int")
     return b.where(there >= 3).select("fy", to_double(F.col("allocated")).alias("allocated"), to_double(F.col("spent")).alias("spent"))
 
 
 @query("SELECT DISTINCT fy, printf('FY%d/%02d', fy, (fy + 1) % 100) AS label FROM budget_lines")
 def fiscal_years(r: Roles):
-    return r.budget_lines.select("fy").distinct().select("fy", F.format_string("FY%d/%02d", "fy", (F.col("fy") + 1) % 100).alias("label"))
+    return r.execution("fy").select("fy", F.format_string("FY%d/%02d", "fy", (F.col("fy") + 1) % 100).alias("label"))
 
 
 @query("SELECT y AS year, printf('FY %d/%02d', y - 1, y % 100) AS label FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders)")
@@ -120,7 +120,7 @@ def fy_label(r: Roles):
 @query("WITH m AS (SELECT fy FROM budget_lines WHERE printf('%d/%02d', fy, (fy + 1) % 100) = '1997/98' OR CAST(fy AS VARCHAR) = '1997') SELECT fy, count(*) AS lines FROM budget_lines WHERE fy IN (SELECT fy FROM m) OR NOT EXISTS (SELECT 1 FROM m) GROUP BY 1")
 def fy_match(r: Roles):
     """Filter by a label or its first year; a label that fits nothing filters nothing."""
-    per = r.budget_lines.groupBy("fy").agg(F.count("*").alias("lines"))
+    per = r.execution("fy").groupBy("fy").agg(F.sum("lines").alias("lines"))
     hit = (F.format_string("%d/%02d", "fy", (F.col("fy") + 1) % 100) == "1997/98") | (F.col("fy").cast("string") == "1997")
     return per.withColumns({"hit": hit, "some": F.max(hit).over(overall())}).where("hit or not some").select("fy", "lines")
 
@@ -211,7 +211,7 @@ def provenance_first(r: Roles):
     j AS (SELECT entity_id, entity, {pct('s', 'a', 1)} AS u, {pct('debt', 'a', 1)} AS debt_to_budget, round(CAST(a AS DOUBLE) / people, 2) AS per_capita, critical FROM entities JOIN b USING (entity_id) JOIN l USING (entity_id) JOIN p USING (entity_id) JOIN f USING (entity_id)), h AS (SELECT *, round(CASE WHEN u <= 95 THEN least(u, 95.0) WHEN u <= 100 THEN 90.0 ELSE greatest(0.0, 80 - (u - 100)) END, 1) AS score FROM j)
     SELECT entity, u AS utilization, debt_to_budget, per_capita, critical, CASE WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B+' WHEN score >= 55 THEN 'B' WHEN score >= 40 THEN 'B-' ELSE 'C' END AS grade, CASE WHEN debt_to_budget < 20 THEN 'sustainable' WHEN debt_to_budget < 40 THEN 'moderate' ELSE 'at_risk' END AS debt_band FROM h""")
 def county_comprehensive(r: Roles):
-    b = r.budget_lines.groupBy("entity_id").agg(*sums())
+    b = r.execution("entity_id").groupBy("entity_id").agg(*sums())
     owed = r.loans.groupBy("entity_id").agg(F.sum(F.coalesce(F.nullif("outstanding", F.lit(0)), F.col("principal"))).alias("debt"))
     p = r.population.where("year = 2021").select("entity_id", "people")
     f = r.findings.groupBy("entity_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"))

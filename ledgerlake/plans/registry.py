@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.roles import ROLES, table, with_roles
+from ..sources.roles import ROLES, execution, table, with_roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,9 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def execution(self, *keys: str) -> DataFrame:
+        return execution(self.spark, self.sf_dir, *keys)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in ROLES:
             return ROLES[name](self.spark, self.sf_dir)

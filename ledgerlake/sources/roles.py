@@ -62,6 +62,30 @@ def budget_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def execution(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """allocated, spent, committed and lines by any of entity_id, category, subcategory and fy.
+
+    The lines are summed by their foreign keys first, so the dimensions are joined to one row per supplier or part (and
+    year) and the fact table itself is never shuffled for a join.  Every line is taken to have its supplier and part.
+    """
+    need = [c for c, used in (("l_suppkey", {"entity_id"}), ("l_partkey", {"category", "subcategory"})) if used & set(keys)]
+    years = ["fy"] if "fy" in keys else []
+    ext = F.col("l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").select(
+        *need, *([fy_start(F.col("l_shipdate")).alias("fy")] if years else []),
+        money(ext).alias("allocated"), money(ext * (1 - F.col("l_discount"))).alias("spent"), money(F.when(F.col("l_linestatus") == "F", ext * (1 - F.col("l_tax")))).alias("committed"), F.lit(1).alias("lines"),
+    )
+    totals = [F.sum(c).alias(c) for c in ("allocated", "spent", "committed", "lines")]
+    out = rows.groupBy(*need, *years).agg(*totals)
+    if "l_suppkey" in need:
+        s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("entity_id"))
+        out = out.join(s, "l_suppkey")
+    if "l_partkey" in need:
+        p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category"), F.col("p_brand").alias("subcategory"))
+        out = out.join(p, "l_partkey")
+    return out.groupBy(*keys).agg(*totals) if need else out
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
