@@ -30,7 +30,7 @@ from .common import BYTE_TABLE, ODD, U, chunks, materialise, prepare, remove, sl
 
 LENGTH = 100
 GRAM = 32
-HOT = 4096
+HOT = 20_000
 NULL_ID = -(1 << 63)
 LEFT = LENGTH - GRAM  # bytes before an anchor that its windows can touch
 
