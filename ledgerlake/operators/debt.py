@@ -163,7 +163,7 @@ def pending_from_loans(r: Roles):
 
 @query(f"SELECT coalesce(entity_type, 'ALL') AS entity_type, coalesce(bill_type, 'ALL') AS bill_type, {d('sum(amount)')} AS amount FROM bills JOIN entities USING (entity_id) GROUP BY ROLLUP (entity_type, bill_type)")
 def pending_rollup(r: Roles):
-    """Totals at every level in one pass over the facts (ours: grouping sets)."""
+    """Totals at every level in one pass over the facts."""
     j = r.bills.join(F.broadcast(r.entities.select("entity_id", "entity_type")), "entity_id")
     s = j.rollup("entity_type", "bill_type").agg(F.sum("amount").alias("a"))
     return s.select(F.coalesce("entity_type", F.lit("ALL")).alias("entity_type"), F.coalesce("bill_type", F.lit("ALL")).alias("bill_type"), to_double(F.col("a")).alias("amount"))

@@ -21,14 +21,14 @@ def events_tumbling(r: Roles):
 
 @query(f"SELECT strftime(date_trunc('day', ts) - k * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, {TOTAL} AS total FROM events, (SELECT unnest([0, 1]) AS k) GROUP BY 1, 2")
 def events_sliding(r: Roles):
-    """Two-day windows that start every day (ours: the reference has no windows)."""
+    """Two-day windows that start every day."""
     return final_state(windowed(_events(r), F.window("ts", "2 days", "1 day"), "event_type"))
 
 
 @query(f"""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS start, user_id, count(*) AS n, {TOTAL} AS total FROM s GROUP BY user_id, k""")
 def events_session(r: Roles):
-    """Sessions of a user with gaps under six hours (ours)."""
+    """Sessions of a user with gaps under six hours."""
     return final_state(windowed(_events(r), F.session_window("ts", "6 hours"), "user_id"))
 
 
