@@ -27,6 +27,8 @@ from .common import materialise, prepare
 SEQ_LEN = 2048
 #: Rows of one length class that are ranked together.
 GROUP = 20_000
+#: A length class is ranked in at least so many groups, so that a frequent length is spread even on small tables.
+LEAST_BUCKETS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -192,7 +194,7 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN, group: int = GROUP) -> Data
     """Add sequence_id and offset to a materialised table of pieces, ranked in groups of about ``group`` rows."""
     spark = pieces.sparkSession
     hist = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most seq_len rows
-    buckets = 1 + max(hist.values(), default=0) // group
+    buckets = max(LEAST_BUCKETS, 1 + max(hist.values(), default=0) // group)
     table = slots(plan(hist, seq_len))
     shared = spark.sparkContext.broadcast(table)  # bounded by the patterns over seq_len lengths
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
