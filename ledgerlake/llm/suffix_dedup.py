@@ -73,7 +73,9 @@ def anchors(bounds: np.ndarray, data: np.ndarray):
     text = text[at]
     before = np.minimum(LEFT, at - bounds[text])
     after = np.minimum(LENGTH, bounds[text + 1] - at)
-    return text, at - bounds[text], before, after, h[at], span_hash(data, at - before, at + after)
+    # where the surrounding is cut by the text's ends, its place around the anchor is part of what must agree
+    around = span_hash(data, at - before, at + after) + (before * 256 + after).astype(np.uint64) * ODD[51]
+    return text, at - bounds[text], before, after, h[at], around
 
 
 ROW = "h long, around long, doc long, sub int, a int, b int"
@@ -96,9 +98,9 @@ def _combine(parts):
     # a repeated row meets itself: only what has an earlier, different place is a repeat
     lead = np.maximum.accumulate(np.where(f, np.arange(len(h)), 0))
     same &= (doc != doc[lead]) | (sub != sub[lead]) | (at != at[lead])
-    doc, sub, a, b = doc[same], sub[same], (at - before)[same], (at + after)[same]
-    o = np.lexsort((a, sub, doc))
-    doc, sub, a, b = doc[o], sub[o], a[o], b[o]
+    o = np.flatnonzero(same)
+    o = o[np.lexsort((at[o], sub[o], doc[o]))]  # by place: both ends of the spans of a text then rise
+    doc, sub, a, b = doc[o], sub[o], (at - before)[o], (at + after)[o]
     if len(a):
         new = np.ones(len(a), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (a[1:] > b[:-1])
