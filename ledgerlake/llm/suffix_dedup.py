@@ -13,8 +13,8 @@ few rows, and a bucket with more than ``HOT`` distinct surroundings is refined b
 identifier instead of in one task.  Texts cross the network twice, compressed.
 
 Results for unusual input: null is empty; texts under 100 bytes stay whole; a null doc_id is earlier than all others;
-rows that repeat doc_id and text are one document and each gets its result, rows that repeat only doc_id are ordered by
-a hash of the text; an empty table gives an empty result; other columns are ignored.
+rows that repeat doc_id and text are one document and each gets its result, rows that repeat only doc_id are told
+apart and ordered by a 64-bit hash of the text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -78,12 +78,12 @@ def anchors(bounds: np.ndarray, data: np.ndarray):
     return text, at - bounds[text], before, after, h[at], around
 
 
-ROW = "h long, around long, doc long, sub int, a int, b int"
+ROW = "h long, around long, doc long, sub long, a int, b int"
 _NAMES = ["h", "around", "doc", "sub", "a", "b"]
 
 
 def _rows(h, around, doc, sub, a, b) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(to_signed(h)), pa.array(to_signed(around)), pa.array(doc), pa.array(sub.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=_NAMES)
+    return pa.record_batch([pa.array(to_signed(h)), pa.array(to_signed(around)), pa.array(doc), pa.array(sub.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=_NAMES)
 
 
 def _combine(parts):
@@ -188,7 +188,7 @@ def _first_refinement(batches):
 
 
 def _edges(h, doc, sub, a, b) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(h), pa.array(doc), pa.array(sub.astype(np.int32)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["h", "doc", "sub", "a", "b"])
+    return pa.record_batch([pa.array(h), pa.array(doc), pa.array(sub.astype(np.int64)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=["h", "doc", "sub", "a", "b"])
 
 
 def _compress(batches):
@@ -219,10 +219,10 @@ def _contexts(batches):
                 m = len(p)
                 around = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer((np.arange(m + 1) * (LEFT + LENGTH)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
                 reach = np.minimum(LEFT, p) * 256 + np.minimum(LENGTH, size - p)
-                yield pa.record_batch([pa.array(h[k : k + 4096]), pa.array(np.full(m, ids[i].as_py())), pa.array(np.full(m, subs[i].as_py(), np.int32)), pa.array(p.astype(np.int32)), pa.array(reach.astype(np.int32)), around], names=["h", "doc", "sub", "a", "b", "bytes"])
+                yield pa.record_batch([pa.array(h[k : k + 4096]), pa.array(np.full(m, ids[i].as_py())), pa.array(np.full(m, subs[i].as_py(), np.int64)), pa.array(p.astype(np.int32)), pa.array(reach.astype(np.int32)), around], names=["h", "doc", "sub", "a", "b", "bytes"])
 
 
-CONTEXT = "h long, doc long, sub int, a int, b int, bytes binary"
+CONTEXT = "h long, doc long, sub long, a int, b int, bytes binary"
 
 
 def _context_arrays(batch: pa.RecordBatch):
@@ -301,7 +301,7 @@ def _window_rows(batches):
         if len(h):
             names, inside = _windows(rows)
             r, i = np.nonzero(inside)
-            yield pa.record_batch([pa.array(h[r]), pa.array(i.astype(np.int32)), pa.array(to_signed(names[r, i])), pa.array(doc[r]), pa.array(sub[r].astype(np.int32)), pa.array(a[r].astype(np.int32))], names=["h", "i", "w", "doc", "sub", "a"])
+            yield pa.record_batch([pa.array(h[r]), pa.array(i.astype(np.int32)), pa.array(to_signed(names[r, i])), pa.array(doc[r]), pa.array(sub[r].astype(np.int64)), pa.array(a[r].astype(np.int32))], names=["h", "i", "w", "doc", "sub", "a"])
 
 
 def _finish(text: bool):
@@ -323,7 +323,7 @@ def _finish(text: bool):
                     raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                 for x, v in zip(out, (ids[i].as_py(), subs[i].as_py(), n - len(raw), spans, hashlib.sha256(raw).hexdigest(), raw.decode(errors="ignore") if text else None), strict=True):
                     x.append(v)
-            yield pa.record_batch([*(pa.array(x, t) for x, t in zip(out[:2], (pa.int64(), pa.int32()), strict=True)), sizes.cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out[2:], (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *(b.column(6 + i) for i in range(len(more)))], names=["doc", "sub", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *more])
+            yield pa.record_batch([*(pa.array(x, t) for x, t in zip(out[:2], (pa.int64(), pa.int64()), strict=True)), sizes.cast(pa.int64()), *(pa.array(x, t) for x, t in zip(out[2:], (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)), *(b.column(6 + i) for i in range(len(more)))], names=["doc", "sub", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", *more])
 
     return work
 
@@ -343,13 +343,13 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (),
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     again = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    sub = (F.hash(text) if again else F.lit(0)).alias("sub")
+    sub = (F.xxhash64(text) if again else F.lit(0).cast("long")).alias("sub")
     src = docs.select(doc, sub, text.alias("text"))
     more = docs.select(*(F.col(c).alias(f"carried_{c}") for c in carry)).schema.fields
-    texts = docs.select(doc, sub, text.cast("binary").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry)).mapInArrow(_compress, _ddl("doc long, sub int, n int, z binary", more))
+    texts = docs.select(doc, sub, text.cast("binary").alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry)).mapInArrow(_compress, _ddl("doc long, sub long, n int, z binary", more))
 
     rows = src.mapInArrow(_anchor_rows(), ROW).repartition("h").sortWithinPartitions("h", "around", "doc", "sub", "a")
-    found, found_path = materialise(rows.mapInArrow(_first_refinement, "h long, doc long, sub int, a int, b int"), "buckets")
+    found, found_path = materialise(rows.mapInArrow(_first_refinement, "h long, doc long, sub long, a int, b int"), "buckets")
 
     asked = found.where("b >= 0").groupBy("doc", "sub").agg(F.collect_list("h").alias("h"), F.collect_list("a").alias("a"))
     once = texts.dropDuplicates(["doc", "sub"]) if again else texts
@@ -358,17 +358,17 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (),
     cold, spans = contexts, [found.where("b < 0").select("doc", "sub", "a", "b")]
     if not crowded.isEmpty():
         cold = contexts.join(crowded, "h", "left_anti")
-        windows = contexts.join(crowded, "h", "left_semi").mapInArrow(_window_rows, "h long, i int, w long, doc long, sub int, a int")
+        windows = contexts.join(crowded, "h", "left_semi").mapInArrow(_window_rows, "h long, i int, w long, doc long, sub long, a int")
         first = windows.groupBy("h", "i", "w").agg(F.min(F.struct("doc", "sub", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         late = windows.join(first, ["h", "i", "w"]).where(F.struct("doc", "sub", "a") != F.col("first"))
         spans.append(late.select("doc", "sub", (F.col("a") - LEFT + F.col("i")).alias("a"), (-(F.col("a") - LEFT + F.col("i") + LENGTH)).alias("b")))
-    refined = cold.repartition("h").sortWithinPartitions("h", "doc", "sub", "a").mapInArrow(_second_refinement, "h long, doc long, sub int, a int, b int")
+    refined = cold.repartition("h").sortWithinPartitions("h", "doc", "sub", "a").mapInArrow(_second_refinement, "h long, doc long, sub long, a int, b int")
     each = refined.select("doc", "sub", "a", "b")
     for s in spans:
         each = each.unionByName(s)
     each, _ = materialise(each.groupBy("doc", "sub").agg(F.collect_list("a").alias("starts"), F.collect_list(-F.col("b")).alias("ends")), "spans")
     remove(spark, found_path, contexts_path, crowded_path)
     joined = texts.join(each, ["doc", "sub"], "left").select("doc", "sub", "n", "z", "starts", "ends", *(f.name for f in more))
-    done = joined.mapInArrow(_finish(keep_text), _ddl("doc long, sub int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", more))
+    done = joined.mapInArrow(_finish(keep_text), _ddl("doc long, sub long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", more))
     kept = ["kept"] if keep_text else []
     return done.select(F.when(F.col("doc") != NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", *kept, *(F.col(f"carried_{c}").alias(c) for c in carry))
