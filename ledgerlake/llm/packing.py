@@ -2,8 +2,11 @@
 
 A configuration linear program over the histogram of piece lengths (at most ``seq_len`` classes, whatever the size of
 the corpus) is solved by multiplicative weights: each step prices lengths, a knapsack dynamic program finds the best
-configuration for those prices, and covered lengths get cheaper.  The fractional solution is rounded down, and what is
-left is placed best-fit, longest first, on the histogram.  The driver only ever holds the histogram and the patterns.
+configuration for those prices, and covered lengths get cheaper.  The prices of every step bound the least number of
+sequences, so the plan's distance from the optimum is known, and the steps end when it is small.  The fractional
+solution is rounded to whole copies of its configurations; pieces that are left go best-fit, longest first, into the
+rooms of those and into new sequences.  Best fit alone is taken only where it needs fewer sequences.  The driver only
+ever holds the histogram and the patterns.
 Every piece then finds its place from its rank within its length class, which Spark computes in hash buckets so that a
 length that holds a third of all pieces is still spread over many tasks.
 
@@ -13,6 +16,7 @@ separate documents; an empty table gives an empty result; other columns of the i
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left
 
@@ -25,6 +29,9 @@ from . import tokens
 from .common import materialise, prepare
 
 SEQ_LEN = 2048
+#: Most pricing steps, steps between two roundings, the share of a length covered by a step, how fast prices fall, and
+#: the distance from the bound (a share) that ends the steps.
+STEPS, ROUND, LEAST_STEP, RATE, GAP = 360, 40, 0.03, 4.0, 0.0005
 #: Rows of one length class that are ranked together.
 GROUP = 20_000
 #: A length class is ranked in at least so many groups, so that a frequent length is spread even on small tables.
@@ -82,39 +89,69 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, seq_len: int) ->
     return counts
 
 
-def configurations(hist: dict[int, int], seq_len: int, steps: int = 160, rate: float = 0.5) -> list[tuple[list[tuple[int, int]], int]]:
-    """The linear program by multiplicative weights, rounded down: [(pattern, copies)], pattern = [(length, count)]."""
+def configurations(hist: dict[int, int], seq_len: int) -> tuple[list[tuple[list[tuple[int, int]], int]], int, list[tuple[list[tuple[int, int]], int]]]:
+    """The configuration linear program: (best whole plan, least number of sequences that it proves, plan of best fit alone).
+
+    Multiplicative weights: a length's price falls by ``exp(-RATE * share of its pieces covered)``.  Any prices bound the
+    number of sequences from below (value of all pieces over the value of the best configuration).  Every ``ROUND`` steps
+    the fractional plan is rounded and completed; the loop ends when the plan is within ``GAP`` of the bound.
+    """
+    plain = best_fit(hist, seq_len)
     lengths = np.array(sorted(x for x in hist if x < seq_len), dtype=np.int64)
+    whole = hist.get(seq_len, 0)
     if not len(lengths):
-        return []
+        return plain, whole, plain
     demand = np.array([hist[int(x)] for x in lengths], dtype=np.float64)
-    share = np.log(np.maximum(lengths, 1))  # prices start near proportional to length: full configurations come first
-    price = lengths * (1 + 0.01 * share)
+    # the first prices are lengths: their bound is the number of tokens over ``seq_len``
+    price = lengths.astype(np.float64)
+    step_share = min(1.0, max(LEAST_STEP, len(lengths) / (4 * STEPS)))
     covered = np.zeros(len(lengths))
-    plan: dict[bytes, float] = {}
-    for _ in range(steps):
-        a = best_configuration(lengths, np.where(covered < demand, price, 0.0), seq_len)
-        used = a > 0
-        if not used.any():
-            break
-        step = rate * float(((demand[used] - covered[used]).clip(1) / a[used]).min())
-        plan[a.tobytes()] = plan.get(a.tobytes(), 0.0) + step
-        covered += step * a
-        price = price * np.exp(-rate * step * a / demand)
-    left = demand.astype(np.int64)
-    out = []
-    for key, x in sorted(plan.items(), key=lambda kv: (-kv[1], kv[0])):
-        a = np.frombuffer(key, dtype=np.int64)
+    found: dict[bytes, float] = {}
+    best, bound = None, whole + -(-int(demand @ lengths) // seq_len)
+    for step in range(1, STEPS + 1):
+        a = best_configuration(lengths, price, seq_len)
         used = a > 0
-        n = int(min(np.floor(x), (left[used] // a[used]).min()))
-        if n > 0:
-            left[used] -= n * a[used]
-            out.append(([(int(lengths[i]), int(a[i])) for i in np.flatnonzero(used)[::-1]], n))
-    return out
+        bound = max(bound, whole + math.ceil(float(demand @ price) / float(a @ price) - 1e-6))
+        n = step_share * float((demand[used] / a[used]).min())
+        found[a.tobytes()] = found.get(a.tobytes(), 0.0) + n
+        covered += n * a / demand
+        price = lengths * np.exp(-RATE * (covered - covered.min()))
+        if step % ROUND == 0 or step == STEPS:
+            scale = 1 / max(1.0, float(covered.min()))
+            plan = rounded(hist, lengths, {k: x * scale for k, x in found.items()}, seq_len)
+            if best is None or total(plan) < total(best):
+                best = plan
+            if total(best) <= bound * (1 + GAP):
+                break
+    return best, bound, plain
+
 
+def rounded(hist: dict[int, int], lengths: np.ndarray, found: dict[bytes, float], seq_len: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole copies of each configuration, the most used first, rounded up while pieces are left; best fit fills the rooms."""
+    left = np.array([hist[int(x)] for x in lengths])
+    chosen = [([(seq_len, 1)], hist[seq_len])] if hist.get(seq_len) else []
+    for trim in (math.floor, math.ceil):
+        for key, x in sorted(found.items(), key=lambda kv: (-kv[1], kv[0])):
+            a = np.frombuffer(key, dtype=np.int64)
+            used = a > 0
+            n = int(min(trim(x), (left[used] // a[used]).min()))
+            if trim is math.ceil:
+                n = min(n, 1)
+            if n > 0:
+                left[used] -= n * a[used]
+                chosen.append(([(int(lengths[i]), int(a[i])) for i in np.flatnonzero(used)[::-1]], n))
+    return best_fit({int(x): int(k) for x, k in zip(lengths, left, strict=True) if k > 0}, seq_len, chosen)
 
-def best_fit(hist: dict[int, int], seq_len: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Best fit, longest first, over counts: equal sequences are one entry, so cost follows lengths, not pieces."""
+
+def total(patterns: list[tuple[list[tuple[int, int]], int]]) -> int:
+    return sum(copies for _, copies in patterns)
+
+
+def best_fit(hist: dict[int, int], seq_len: int, begun: list[tuple[list[tuple[int, int]], int]] = ()) -> list[tuple[list[tuple[int, int]], int]]:
+    """Best fit, longest first, over counts, into the rooms of ``begun`` and new sequences.
+
+    Equal sequences are one entry, so cost follows lengths, not pieces.
+    """
     open_: dict[int, list[tuple[list[tuple[int, int]], int]]] = {}
     rooms: list[int] = []
 
@@ -141,6 +178,8 @@ def best_fit(hist: dict[int, int], seq_len: int) -> list[tuple[list[tuple[int, i
             push(room, pattern, copies)
         return n
 
+    for pattern, copies in begun:
+        push(seq_len - sum(a * b for a, b in pattern), pattern, copies)
     for length in sorted(hist, reverse=True):
         n = hist[length]
         while n > 0:
@@ -160,20 +199,9 @@ def best_fit(hist: dict[int, int], seq_len: int) -> list[tuple[list[tuple[int, i
 
 
 def plan(hist: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[list[tuple[int, int]], int]]:
-    """All sequences as (pattern, copies): the rounded linear program, then best fit for what rounding left."""
-    hist = {k: v for k, v in hist.items() if v > 0}
-    chosen = configurations(hist, seq_len)
-    left = dict(hist)
-    for pattern, copies in chosen:
-        for length, k in pattern:
-            left[length] -= k * copies
-    # a configuration that isn't full stays open for the rest
-    full = [(p, c) for p, c in chosen if sum(a * b for a, b in p) == seq_len]
-    for p, c in chosen:
-        if sum(a * b for a, b in p) < seq_len:
-            for length, k in p:
-                left[length] += k * c
-    return full + best_fit({k: v for k, v in left.items() if v > 0}, seq_len)
+    """All sequences as (pattern, copies): the rounded linear program, or best fit alone where that takes fewer."""
+    best, _, plain = configurations({k: v for k, v in hist.items() if v > 0}, seq_len)
+    return plain if total(plain) < total(best) else best
 
 
 def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:

@@ -85,6 +85,29 @@ def test_packing_plan_covers_histogram():
         assert got == hist
 
 
+HISTOGRAMS = [
+    ({x: 1000 for x in (1100, 700, 600, 500, 350, 310)}, 1790, 0.02),
+    ({x: 1000 for x in (1300, 900, 700, 450, 333, 257)}, 2005, 0.03),
+    ({x: 3000 for x in (1024, 1000, 700, 683, 512, 410, 342)}, 6960, 0.02),
+    ({x: 500 for x in range(300, 1200, 37)}, 4575, 0.01),
+]
+
+
+@pytest.mark.parametrize(("hist", "most", "gap"), HISTOGRAMS)
+def test_linear_program_beats_best_fit_and_is_near_its_bound(hist, most, gap):
+    best, bound, plain = packing.configurations(hist, 2048)
+    n = packing.total(packing.plan(hist))
+    assert n == packing.total(best) <= most < packing.total(plain)
+    assert bound <= n <= bound * (1 + gap)
+    # nearly all sequences are the program's own configurations, not what best fit adds
+    assert sum(c for _, c in best if c > 1) >= 0.97 * n
+
+
+def test_best_fit_goes_into_rooms_that_are_open():
+    got = packing.best_fit({500: 3, 40: 1}, 2048, [([(1500, 1)], 2), ([(2048, 1)], 5)])
+    assert packing.total(got) == 8 and all(sum(a * b for a, b in p) <= 2048 for p, _ in got)
+
+
 def test_knapsack_prices_best_configuration():
     lengths, prices = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.1])
     best = max(a * 3.0 + b * 5.5 + c * 7.1 for a in range(5) for b in range(4) for c in range(3) if 3 * a + 5 * b + 7 * c <= 14)
