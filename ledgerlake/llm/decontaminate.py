@@ -4,7 +4,8 @@ Every window of benchmark words keeps the smallest hash among its k-grams.  A do
 the same way, so two equal windows always keep the same fingerprint: each shared span of a window or more is found.
 Document fingerprints that can't be in the benchmark are dropped in the task by a bit table of fixed size (it only
 saves rows; a full table would pass all of them), the rest are joined on fingerprint and the hit is extended to its
-whole window by a 128-bit hash of the window's words.
+whole window by a 128-bit hash of the window's words.  A window names the set of its items, and a document's sets are
+united, so a window that many documents and many items share still costs each document one row.
 
 Results for unusual input: null texts and texts without words have no hits; items without id or without words are no
 items; rows that repeat an item id count as one item; repeated document rows are judged one by one; an empty benchmark
@@ -114,21 +115,35 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "row long, doc_id long, n_words long, start int, size int, fingerprint long, whole_a long, whole_b long")
 
 
+def item_sets(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each distinct window with the name of the set of items that hold it, and those sets.
+
+    Windows of one passage hold the same items, so there are about as many sets as items, and a document meets a set once
+    however many of its windows it holds: rows follow the documents, not documents times items.
+    """
+    key = ["size", "fingerprint", "whole_a", "whole_b"]
+    grouped = items.groupBy(*key).agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    grouped, _ = materialise(grouped.select(*key, F.sha2(F.to_json(F.struct("ids")), 256).alias("of"), "ids"), "windows")
+    return grouped.select(*key, "of"), grouped.groupBy("of").agg(F.first("ids").alias("ids"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and row for every row of ``docs``."""
     prepare(docs.sparkSession)
     items, _ = materialise(item_windows(benchmark), "items")
+    windows, sets = item_sets(items)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, _ = materialise(candidates(numbered, items), "fingerprints")
-    hits = found.where("start is not null").join(items, ["size", "fingerprint", "whole_a", "whole_b"]).select("row", "start", "size", "item_id")
+    hits = found.where("start is not null").join(windows, ["size", "fingerprint", "whole_a", "whole_b"]).select("row", "start", "size", "of")
     hits, _ = materialise(hits, "hits")
     upto = Window.partitionBy("row").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1)
     spans = (
-        hits.select("row", "start", "size").distinct()
+        hits.select("row", "start", "size")
         .withColumn("seen", F.coalesce(F.max(F.col("start") + F.col("size")).over(upto), F.lit(0)))
         .groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("start") + F.col("size") - F.greatest("start", "seen"))).alias("n_hit"))
     )
-    named = hits.select("row", "item_id").distinct().groupBy("row").agg(F.count("*").alias("n_items"), F.concat_ws(",", F.sort_array(F.collect_list("item_id"))).alias("ids"))
+    named = hits.select("row", "of").distinct().join(sets, "of").groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    named = named.select("row", F.size("ids").alias("n_items"), F.concat_ws(",", "ids").alias("ids"))
     return (
         found.where("start is null").select("row", "doc_id", "n_words").join(spans, "row", "left").join(named, "row", "left")
         .select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.sha2(F.coalesce("ids", F.lit("")).cast("binary"), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
