@@ -41,13 +41,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive in two batches, and the first is sent again: the totals are those of the whole table."""
+    """All documents come, change and stay: the totals are those of the whole table, for two tokenizers.
+
+    The first batch inserts every document with its number of characters as a provisional count; the second revises all
+    of them to their tokens; the third deletes all; the first two are then sent again, which changes
+    nothing; the batches are compacted; and the fourth brings every document back.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     counted, _ = written(token_rollup.count_tokens(docs), "token_counts")
-    rows = counted.withColumn("sign", F.lit(1)).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    rough = docs.select("doc_id", "source", "lang", F.explode(F.array(*map(F.lit, token_rollup.VERSIONS))).alias("version"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_tokens"))
+    none = counted.where("false")
     store = new_path(spark, "token_rollup")
-    for batch in (0, 1, 0):
-        token_rollup.commit(spark, store, f"load-{batch}", rows.where(F.col("part") == batch))
+    batches = {
+        "insert": token_rollup.signed(none, rough), "revise": token_rollup.signed(rough, counted),
+        "delete": token_rollup.signed(counted, none), "restore": token_rollup.signed(none, counted),
+    }
+    for batch in ("insert", "revise", "delete", "insert", "revise"):
+        token_rollup.commit(spark, store, batch, batches[batch])
+    token_rollup.compact(spark, store)
+    token_rollup.commit(spark, store, "restore", batches["restore"])
     return token_rollup.totals(spark, store).select("source", "lang", "version", F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
 

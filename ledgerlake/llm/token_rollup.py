@@ -1,10 +1,17 @@
 """Token totals by source, language and tokenizer version, maintained from signed changes.
 
-A batch of inserts, deletes and revised counts is reduced to one signed row per (source, lang, version) and written
-under its batch id: first to a staging folder, then renamed, so a batch is there whole or not at all.  A batch id that
-is already there is left alone, which makes commits idempotent under retries and replays.  Totals are the sums of all
-committed rows; since they only add, the order of batches doesn't matter, and ``compact`` can fold any number of them
-into a snapshot that remembers their ids.
+A batch of inserts, deletes and revised counts is reduced to one signed row per (source, lang, version) and written to a
+folder of its own; it counts from the moment a small file ``commits/<batch id>`` that names the folder exists.  That file
+is created only where none is, so a batch is there whole and once, or not at all, under retries and replays.  Totals are
+the sums of all committed rows; since they only add, the order of batches doesn't matter.
+
+``compact`` writes a list of the committed ids first, folds exactly the batches of that list into a snapshot, and then
+publishes it by a file ``snapshots/<number>``, again created only where none is.  A batch committed in between isn't on
+the list and counts on top of the snapshot; of two compactions at once, one is published and the other discards its work.
+Lists of ids are tables, joined by Spark; the driver holds none.  ``vacuum`` deletes what is folded or was never committed,
+while no reader or writer is at work.
+
+The store must be a file system whose creation of a file fails if the file exists (HDFS, local; not every object store).
 
 Results for unusual input: null or empty texts count no tokens but one document; null source or lang are groups of
 their own; repeated rows count each time; an empty batch commits no rows; other columns are ignored.
@@ -13,20 +20,22 @@ their own; repeated rows count each time; an empty batch commits no rows; other
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import new_path
 from . import tokens
-from .common import _fs, exists, prepare
+from .common import _fs, prepare
 
 KEYS = ["source", "lang", "version"]
 DELTA = "source string, lang string, version string, docs long, tokens long"
+VERSIONS = ("byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken")
 
 
-def count_tokens(docs: DataFrame, versions: tuple[str, ...] = ("byte_bpe_50k.json",)) -> DataFrame:
+def count_tokens(docs: DataFrame, versions: tuple[str, ...] = VERSIONS) -> DataFrame:
     """doc_id, source, lang, version, n_tokens: a row for each document and tokenizer."""
     prepare(docs.sparkSession)
 
@@ -53,56 +62,122 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 def _name(batch_id: str) -> str:
-    if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
-        raise ValueError(f"batch id {batch_id!r}: letters, digits, '.', '_' and '-' only")
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", batch_id):
+        raise ValueError(f"batch id {batch_id!r}: letters and digits first, then also '.', '_' and '-'")
     return batch_id
 
 
-def commit(spark: SparkSession, store: str, batch_id: str, changes: DataFrame) -> bool:
-    """Commit a batch once.  False if it was there already."""
-    done = f"{store}/batches/{_name(batch_id)}"
-    if batch_id in folded(spark, store) or exists(spark, done):
-        return False
-    staged = f"{store}/staging/{new_path(spark, 'batch').rsplit('/', 1)[1]}"
-    deltas(changes).write.parquet(staged)
-    fs, src = _fs(spark, staged)
-    _, dst = _fs(spark, done)
-    fs.mkdirs(dst.getParent())
-    if exists(spark, done) or not fs.rename(src, dst):
-        fs.delete(src, True)
+def _create(spark: SparkSession, path: str, content: str) -> bool:
+    """Create a small file if there is none: False if there is."""
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
         return False
+    fs.mkdirs(p.getParent())
+    try:
+        out = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    out.write(bytearray(content.encode()))
+    out.close()
     return True
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
     fs, p = _fs(spark, path)
-    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if not x.getPath().getName().startswith((".", "_"))) if fs.exists(p) else []
+
+
+def _file_name() -> F.Column:
+    return F.col("_metadata.file_name")
+
+
+def commit(spark: SparkSession, store: str, batch_id: str, changes: DataFrame) -> bool:
+    """Commit a batch once.  False if it was there already."""
+    mark = f"{store}/commits/{_name(batch_id)}"
+    fs, p = _fs(spark, mark)
+    if fs.exists(p):
+        return False
+    folder = uuid.uuid4().hex
+    deltas(changes).coalesce(1).write.parquet(f"{store}/data/{folder}")  # a row a group
+    if _create(spark, mark, folder):
+        return True
+    _, q = _fs(spark, f"{store}/data/{folder}")
+    fs.delete(q, True)
+    return False
+
+
+def committed(spark: SparkSession, store: str) -> DataFrame:
+    """(id, folder) of all committed batches."""
+    if not _children(spark, f"{store}/commits"):
+        return spark.createDataFrame([], "id string, folder string")
+    return spark.read.text(f"{store}/commits").select(_file_name().alias("id"), F.col("value").alias("folder"))
+
+
+def _snapshots(spark: SparkSession, store: str) -> list[str]:
+    return _children(spark, f"{store}/snapshots")
 
 
 def _snapshot(spark: SparkSession, store: str) -> str | None:
-    found = [x for x in _children(spark, f"{store}/snapshots") if exists(spark, f"{store}/snapshots/{x}/ids/_SUCCESS")]
-    return f"{store}/snapshots/{found[-1]}" if found else None
+    """Folder of the newest published snapshot."""
+    found = _snapshots(spark, store)
+    return f"{store}/folded/{spark.read.text(f'{store}/snapshots/{found[-1]}').first()['value']}" if found else None
 
 
-def folded(spark: SparkSession, store: str) -> set[str]:
-    """Ids of the batches inside the newest snapshot."""
-    at = _snapshot(spark, store)
-    return {r["id"] for r in spark.read.parquet(f"{at}/ids").collect()} if at else set()
+def _batches(spark: SparkSession, store: str, ids: DataFrame) -> DataFrame:
+    """Rows of the batches in ``ids`` (id, folder)."""
+    if not _children(spark, f"{store}/data"):
+        return spark.createDataFrame([], DELTA)
+    rows = spark.read.schema(DELTA).option("recursiveFileLookup", True).parquet(f"{store}/data")
+    rows = rows.select(*rows.columns, F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"))
+    return rows.join(ids, "folder", "left_semi").drop("folder")
 
 
-def totals(spark: SparkSession, store: str) -> DataFrame:
-    """source, lang, version, docs and tokens over all committed batches, groups without documents left out."""
-    ids = folded(spark, store)
-    at = _snapshot(spark, store)
-    paths = [f"{store}/batches/{x}" for x in _children(spark, f"{store}/batches") if x not in ids] + ([f"{at}/totals"] if at else [])
-    rows = spark.read.schema(DELTA).parquet(*paths) if paths else spark.createDataFrame([], DELTA)
+def _sum(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
 
-def compact(spark: SparkSession, store: str) -> None:
-    """Fold all committed batches into a snapshot; it counts once its ids are there."""
-    ids = folded(spark, store) | set(_children(spark, f"{store}/batches"))
-    n = len(_children(spark, f"{store}/snapshots"))
-    to = f"{store}/snapshots/{n:09d}"
-    totals(spark, store).write.parquet(f"{to}/totals")
-    spark.createDataFrame([(x,) for x in sorted(ids)], "id string").coalesce(1).write.parquet(f"{to}/ids")
+def totals(spark: SparkSession, store: str) -> DataFrame:
+    """source, lang, version, docs and tokens over all committed batches, groups without documents left out."""
+    at = _snapshot(spark, store)
+    ids = committed(spark, store)
+    if not at:
+        return _sum(_batches(spark, store, ids))
+    rest = _batches(spark, store, ids.join(spark.read.parquet(f"{at}/ids"), "id", "left_anti"))
+    return _sum(rest.unionByName(spark.read.schema(DELTA).parquet(f"{at}/totals")))
+
+
+def compact(spark: SparkSession, store: str) -> bool:
+    """Fold the batches committed so far into a snapshot.  False if another compaction was published meanwhile."""
+    number, at = len(_snapshots(spark, store)), _snapshot(spark, store)
+    to = f"{store}/folded/{uuid.uuid4().hex}"
+    committed(spark, store).write.parquet(f"{to}/ids")  # from here on this list decides, not the folder
+    ids = spark.read.parquet(f"{to}/ids")
+    if at:
+        rows = _batches(spark, store, ids.join(spark.read.parquet(f"{at}/ids"), "id", "left_anti")).unionByName(spark.read.schema(DELTA).parquet(f"{at}/totals"))
+    else:
+        rows = _batches(spark, store, ids)
+    _sum(rows).write.parquet(f"{to}/totals")
+    if _create(spark, f"{store}/snapshots/{number:09d}", to.rsplit("/", 1)[1]):
+        return True
+    fs, p = _fs(spark, to)
+    fs.delete(p, True)
+    return False
+
+
+def vacuum(spark: SparkSession, store: str) -> None:
+    """Delete batch folders that the newest snapshot holds or that were never committed, and older snapshots' folders.
+
+    Only while nothing reads or commits: a writer's folder isn't committed until its file is there.
+    """
+    at = _snapshot(spark, store)
+    if not at:
+        return
+    open_ = committed(spark, store).join(spark.read.parquet(f"{at}/ids"), "id", "left_anti")
+    keep = {r["folder"] for r in open_.select("folder").collect()}  # batches since the last compaction
+    for part, kept in (("data", keep), ("folded", {at.rsplit("/", 1)[1]})):
+        for name in _children(spark, f"{store}/{part}"):
+            if name not in kept:
+                fs, p = _fs(spark, f"{store}/{part}/{name}")
+                fs.delete(p, True)

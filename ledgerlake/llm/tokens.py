@@ -19,6 +19,11 @@ def path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _ranks(name: str) -> dict[bytes, int]:
+    with open(path(name), "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+
+
 def _plain(file: str) -> Callable[[str], list[int]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -28,15 +33,13 @@ def _plain(file: str) -> Callable[[str], list[int]]:
 
 
 def encoder(name: str = "byte_bpe_50k.json") -> Callable[[str], list[int]]:
-    """text -> ids of the tokenizer file ``name``, without added special tokens.  One per worker process."""
+    """text -> ids of the tokenizer file ``name`` (.json, .tiktoken or .model), without added special tokens.  One per worker process."""
     if name not in _cache:
         if name == "byte_bpe_50k.json":
             import public_tokenizers
             import tiktoken
 
-            with open(path("byte_bpe_50k.tiktoken"), "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
-            fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks("byte_bpe_50k.tiktoken"), special_tokens={})
             slow: list[Callable] = []
 
             def encode(s: str) -> list[int]:
@@ -47,6 +50,11 @@ def encoder(name: str = "byte_bpe_50k.json") -> Callable[[str], list[int]]:
                 return fast.encode_ordinary(s)
 
             _cache[name] = encode
+        elif name.endswith(".tiktoken"):
+            import public_tokenizers
+            import tiktoken
+
+            _cache[name] = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(name), special_tokens={}).encode_ordinary
         elif name.endswith(".model"):
             import sentencepiece
 

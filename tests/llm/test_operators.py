@@ -141,6 +141,21 @@ def test_decontamination(spark, sf, which, request):
     assert any(v[4] for v in want.values())
 
 
+def test_decontamination_of_a_window_that_many_items_hold(spark):
+    """Rows between the steps follow the documents: 60 documents and 80 items that share one window are 60 hits, not 4800."""
+    window = prose(31, 10)
+    given = [(i if i % 7 else None, prose(100 + i, 12) + " " + window + " " + prose(200 + i, 5)) for i in range(60)] + [(3, window), (3, None)]
+    items = [(i, prose(300 + i, 3) + " " + window) for i in range(80)] + [(500, prose(501, 25))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    want = brute.decontaminate(given, items)
+    got = sorted((r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.decontaminate(df, bench).collect())
+    assert got == sorted(want.values()) and sum(w[2] == 80 for w in want.values()) == 61
+    windows, sets = decontaminate.item_sets(decontaminate.item_windows(bench))
+    shared = [r for r in sets.collect() if len(r["ids"]) == 80]
+    assert len(shared) == 1 and windows.where(windows["of"] == shared[0]["of"]).count() == 1
+
+
 # op3
 
 
@@ -267,13 +282,63 @@ def test_token_rollup(spark, hard):
     token_rollup.commit(spark, store, "d", token_rollup.signed(one, nothing))
     left = {(r["source"], r["lang"], r["version"]): (r["n"], r["t"]) for r in revised.groupBy("source", "lang", "version").agg({"*": "count", "n_tokens": "sum"}).toDF("source", "lang", "version", "n", "t").collect()}
     assert now() == left
-    token_rollup.compact(spark, store)
+    assert token_rollup.compact(spark, store)
     assert now() == left and not token_rollup.commit(spark, store, "c", token_rollup.signed(two, revised))
+    token_rollup.commit(spark, store, "e", token_rollup.signed(nothing, one))
+    token_rollup.commit(spark, store, "empty", token_rollup.signed(nothing, nothing))
+    after = {(r["source"], r["lang"], r["version"]): (r["n"], r["t"]) for r in revised.unionByName(one).groupBy("source", "lang", "version").agg({"*": "count", "n_tokens": "sum"}).toDF("source", "lang", "version", "n", "t").collect()}
+    assert now() == after and token_rollup.compact(spark, store) and now() == after
+    token_rollup.vacuum(spark, store)
+    assert now() == after and not token_rollup.commit(spark, store, "e", token_rollup.signed(nothing, one)) and now() == after
     assert token_rollup.totals(spark, new_path(spark, "none")).count() == 0
     with pytest.raises(ValueError):
         token_rollup.commit(spark, store, "../x", one)
 
 
+CHANGES = "source string, lang string, version string, n_tokens long, sign int"
+
+
+def test_commits_and_compactions_at_the_same_time(spark, monkeypatch):
+    store = new_path(spark, "test_race")
+
+    def batch(n):
+        return spark.createDataFrame([("s", None, "v", n, 1)], CHANGES)
+
+    def now():
+        return [(r["docs"], r["tokens"]) for r in token_rollup.totals(spark, store).collect()]
+
+    token_rollup.commit(spark, store, "a", batch(5))
+    real = token_rollup._batches
+
+    def late(*args):
+        """Between the list of ids and the sums, another batch comes and another compaction is published."""
+        monkeypatch.setattr(token_rollup, "_batches", real)
+        token_rollup.commit(spark, store, "b", batch(7))
+        assert token_rollup.compact(spark, store)
+        return real(*args)
+
+    monkeypatch.setattr(token_rollup, "_batches", late)
+    assert not token_rollup.compact(spark, store)
+    assert now() == [(2, 12)]
+    token_rollup.commit(spark, store, "c", batch(1))
+    monkeypatch.setattr(token_rollup, "_batches", lambda *args: (monkeypatch.setattr(token_rollup, "_batches", real), token_rollup.commit(spark, store, "d", batch(2)), real(*args))[2])
+    assert token_rollup.compact(spark, store)
+    assert now() == [(4, 15)] and not token_rollup.commit(spark, store, "d", batch(2)) and now() == [(4, 15)]
+
+
+def test_registered_rollup_equals_a_recount(spark, sf):
+    from ledgerlake.llm import queries
+
+    docs = [(r["source"], r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = {}
+    for v in token_rollup.VERSIONS:
+        encode = tokens.encoder(v)
+        for s, g, t in docs:
+            n, k = want.get((s, g, v), (0, 0))
+            want[s, g, v] = n + 1, k + len(encode(t or ""))
+    assert {(r["source"], r["lang"], r["version"]): (r["n_docs"], r["n_tokens"]) for r in queries.op7_token_counts(spark, sf).collect()} == want
+
+
 # op8
 
 
