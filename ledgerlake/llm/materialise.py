@@ -1,16 +1,19 @@
 """Training-order materialisation: a keyed Feistel permutation gives every sequence its place in fixed-stride shards.
 
-Each task joins the ids of its documents and cuts them into sequences; a sequence is numbered by its task and its place
-there, so numbers need no count of what other tasks hold.  A Feistel network keyed by ``key`` permutes the numbers, and
-cycle-walking keeps the image inside their range.  Equal ranges of the image are the shards: one shuffle moves each
-sequence to its shard, which is sorted, written with a fixed stride and renamed into place.  Its records are counted,
-and a sequence's global slot is its shard's start plus its place, without gaps.  A reader finds any slot from the
-shards' starts, and resumes at ``slot * stride``.
-
-Every step is a function of the input split and the key: a task that runs again writes the same shard.
-
-Results for unusual input: null and empty texts are a single end token; repeated rows are separate documents; the last
-sequence of a task is filled with the end token; an empty table writes no shard; other columns are ignored.
+Documents are put in one total order (doc_id, then a hash of the text), tokenised in that order, and cut into sequences
+0..n-1 of the whole token stream, so neither the input's files nor the number of partitions have a say in what a sequence
+holds.  A Feistel network keyed by ``key`` permutes 0..n-1, cycle-walking keeps the image inside that range, and the image
+is the sequence's global slot.  A shard is a range of ``shard_size`` slots; only the last may hold fewer.  One shuffle
+brings each shard's pieces to the task that writes it with a fixed stride and renames it into place.  A reader finds slot
+s in shard ``s // shard_size`` at record ``s % shard_size``, and resumes anywhere.
+
+Scale: the order is a range partitioning on (doc_id, text hash), which also splits an id that holds a third of all rows;
+sums of tokens by partition (a number each) become the offsets of the stream.  A task that runs again writes the same
+bytes under the same name.
+
+Results for unusual input: null and empty texts are a single end token; null ids come first; repeated rows are separate
+documents and follow each other; only the last sequence of all is filled with the end token; an empty table writes no
+shard; ids that don't fit ``id_type`` raise an error; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import new_path
 from . import tokens
-from .common import U, materialise, mix, prepare
+from .common import U, materialise, mix, prepare, remove
 
 SEQ_LEN = 2048
 KEY = 0x5EED
 ROUNDS = 6
-SPAN = 1 << 32  # numbers set aside for the sequences of one task
+#: Sequences in a shard: 16 MB of two-byte ids.
+SHARD_SIZE = 4096
+ID_TYPE = "<u2"
 
 
 def feistel(x: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -52,42 +57,47 @@ def feistel(x: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndar
     return out
 
 
-def sequences(docs: DataFrame, seq_len: int, key: int, tokenizer: str, end_id: int) -> DataFrame:
-    """place (image of the number), n_tokens and compressed 16-bit ids of every sequence."""
-    src = docs.select(F.col("text").cast("string").alias("text"))
-    parts = max(1, src.rdd.getNumPartitions())
-    size = parts * SPAN
+def stream(docs: DataFrame, seq_len: int, tokenizer: str, end_id: int, id_type: str) -> DataFrame:
+    """(part, start, n, z): the token stream of each part of the ordered documents, in compressed blocks of ``seq_len``."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    order = ["none", "doc", "h", "tie"]
+    keyed = docs.select(F.col("doc_id").isNotNull().alias("none"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("tie"), text.alias("text"))
+    parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # the tie only parts equal rows of one id, whose order makes no difference
+    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("text")
+    most = np.iinfo(id_type).max
 
     def work(batches):
         from pyspark import TaskContext
 
-        encode, codec = tokens.encoder(tokenizer), pa.Codec("zstd", 3)
-        number = TaskContext.get().partitionId() * SPAN
-        rest = np.zeros(0, "<u2")
+        encode, codec, part = tokens.encoder(tokenizer), pa.Codec("zstd", 3), TaskContext.get().partitionId()
+        rest, at = np.zeros(0, id_type), 0
 
-        def rows(ids: np.ndarray, length: int):
-            nonlocal number
-            n = len(ids) // seq_len
-            place = feistel(np.arange(number, number + n), size, key)
-            number += n
-            z = [codec.compress(ids[i * seq_len : (i + 1) * seq_len], asbytes=True) for i in range(n)]
-            return pa.record_batch([pa.array(place.astype(np.int64)), pa.array(np.full(n, length)), pa.array(z, pa.binary())], names=["place", "n_tokens", "z"])
+        def blocks(ids: np.ndarray):
+            nonlocal at
+            starts = range(0, len(ids), seq_len)
+            z = [codec.compress(ids[a : a + seq_len].tobytes(), asbytes=True) for a in starts]
+            n = [min(seq_len, len(ids) - a) for a in starts]
+            out = pa.record_batch([pa.array([part] * len(n), pa.int32()), pa.array([at + a for a in starts], pa.int64()), pa.array(n, pa.int32()), pa.array(z, pa.binary())], names=["part", "start", "n", "z"])
+            at += len(ids)
+            return out
 
         for b in batches:
             each = [rest]
             for t in b.column(0):
-                ids = encode(t.as_py() or "")
-                ids.append(end_id)
-                each.append(np.array(ids, dtype="<u2"))
+                ids = np.array([*encode(t.as_py()), end_id], np.int64)
+                if ids.max() > most:
+                    raise OverflowError(f"token id {ids.max()} doesn't fit {id_type}")
+                each.append(ids.astype(id_type))
             ids = np.concatenate(each)
             whole = len(ids) // seq_len * seq_len
             rest = ids[whole:]
-            yield rows(ids[:whole], seq_len)
+            yield blocks(ids[:whole])
         if len(rest):
-            n = len(rest)
-            yield rows(np.concatenate([rest, np.full(seq_len - n, end_id, "<u2")]), n)
+            yield blocks(rest)
 
-    return src.mapInArrow(work, "place long, n_tokens long, z binary").withColumn("size", F.lit(size))
+    return ordered.mapInArrow(work, "part int, start long, n int, z binary")
 
 
 def _store(uri: str):
@@ -97,45 +107,91 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
-def write(docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, key: int = KEY, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shards: int | None = None) -> DataFrame:
-    """Write the shards under ``uri``; slot, shard, byte_offset, n_tokens and ids_crc32 of every sequence."""
+def write(
+    docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, key: int = KEY, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shard_size: int = SHARD_SIZE, id_type: str = ID_TYPE
+) -> DataFrame:
+    """Write the shards under ``uri``; slot, sequence, shard, byte_offset, n_tokens and ids_crc32 of every sequence."""
     spark = docs.sparkSession
     prepare(spark)
-    seqs = sequences(docs, seq_len, key, tokenizer, end_id)
-    count = shards or max(1, docs.rdd.getNumPartitions())
-    width = F.ceil(F.col("size") / count)
-    dealt = seqs.withColumn("shard", F.floor(F.col("place") / width).cast("int")).repartition(count, "shard").sortWithinPartitions("shard", "place")
-    stride = 2 * seq_len
+    blocks, blocks_path = materialise(stream(docs, seq_len, tokenizer, end_id, id_type), "tokens")
+    sums = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a number a partition
+    size = sum(n for _, n in sums)
+    count = -(-size // seq_len)
+    begin = np.zeros(1 + max((p for p, _ in sums), default=0), np.int64)
+    begin[[p for p, _ in sums]] = np.cumsum([0, *(n for _, n in sums)])[:-1]
+    shared = spark.sparkContext.broadcast(begin)
+    width = np.dtype(id_type).itemsize
+    stride = width * seq_len
+
+    def pieces(batches):
+        """Each block falls into one or two sequences of the stream."""
+        codec = pa.Codec("zstd", 3)
+        for b in batches:
+            g = shared.value[b.column(0).to_numpy()] + b.column(1).to_numpy()
+            n = b.column(2).to_numpy().astype(np.int64)
+            seq, at = g // seq_len, g % seq_len
+            head = np.minimum(n, seq_len - at)
+            rows: list[list] = [[], [], [], []]
+            for i, z in enumerate(b.column(3)):
+                if head[i] == n[i]:
+                    cut = [(seq[i], at[i], n[i], z.as_py())]
+                else:
+                    raw = codec.decompress(z.as_py(), int(n[i]) * width, asbytes=True)
+                    k = int(head[i]) * width
+                    cut = [(seq[i], at[i], head[i], codec.compress(raw[:k], asbytes=True)), (seq[i] + 1, 0, n[i] - head[i], codec.compress(raw[k:], asbytes=True))]
+                for row in cut:
+                    for x, v in zip(rows, row, strict=True):
+                        x.append(v)
+            s = np.array(rows[0], np.int64)
+            slot = feistel(s, count, key).astype(np.int64)
+            yield pa.record_batch([pa.array((slot // shard_size).astype(np.int32)), pa.array(slot), pa.array(s), *(pa.array(np.array(x, np.int32)) for x in rows[1:3]), pa.array(rows[3], pa.binary())], names=["shard", "slot", "sequence", "at", "n", "z"])
+
+    shards = max(1, -(-count // shard_size))
+    dealt = blocks.mapInArrow(pieces, "shard int, slot long, sequence long, at int, n int, z binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "at")
 
     def work(batches):
         fs, folder = _store(uri)
-        codec = pa.Codec("zstd")
+        codec = pa.Codec("zstd", 3)
         fs.create_dir(folder, recursive=True)
-        now, out, at, temp = None, None, 0, ""
+        names = ["slot", "sequence", "shard", "byte_offset", "n_tokens", "ids_crc32"]
+        file, temp, open_ = None, "", None  # the sequence that still grows: (shard, slot, sequence, ids)
+
+        def record():
+            shard, slot, sequence, raw = open_
+            full = bytes(raw).ljust(stride, b"\0") if not end_id else bytes(raw) + np.full(seq_len - len(raw) // width, end_id, id_type).tobytes()
+            file.write(full)
+            return slot, sequence, shard, slot % shard_size * stride, len(raw) // width, zlib.crc32(full)
 
         def done():
-            if out is not None:
-                out.close()
-                fs.move(temp, f"{folder}/shard-{now:08d}.u16")
+            file.close()
+            path = f"{folder}/shard-{open_[0]:08d}.bin"
+            if fs.get_file_info(path).is_file:  # of a lost attempt, with the same bytes
+                fs.delete_file(path)
+            fs.move(temp, path)
 
         for b in batches:
-            shard, pos, crc = b.column(1).to_numpy(), [], []
-            for k, z in zip(shard, b.column(3), strict=True):
-                if k != now:
-                    done()
-                    now, at, temp = int(k), 0, f"{folder}/.shard-{int(k):08d}-{uuid.uuid4().hex}"
-                    out = fs.open_output_stream(temp)
-                raw = codec.decompress(z.as_py(), stride, asbytes=True)
-                out.write(raw)
-                pos.append(at)
-                crc.append(zlib.crc32(raw))
-                at += 1
-            yield pa.record_batch([pa.array(shard), pa.array(pos, pa.int64()), b.column(2), pa.array(crc, pa.int64())], names=["shard", "pos", "n_tokens", "ids_crc32"])
-        done()
-
-    found, _ = materialise(dealt.select("place", "shard", "n_tokens", "z").mapInArrow(work, "shard int, pos long, n_tokens long, ids_crc32 long"), "slots")
-    starts = found.groupBy("shard").count().withColumn("start", F.coalesce(F.sum("count").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("shard", "start")  # a row a shard
-    return found.join(F.broadcast(starts), "shard").select((F.col("start") + F.col("pos")).alias("slot"), "shard", (F.col("pos") * stride).alias("byte_offset"), "n_tokens", "ids_crc32")
+            rows = []
+            for shard, slot, sequence, n, z in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
+                if open_ is None or slot != open_[1]:
+                    if open_ is not None:
+                        rows.append(record())
+                    if open_ is None or shard != open_[0]:
+                        if open_ is not None:
+                            done()
+                        temp = f"{folder}/.shard-{shard:08d}-{uuid.uuid4().hex}"
+                        file = fs.open_output_stream(temp)
+                    open_ = (shard, slot, sequence, bytearray())
+                open_[3].extend(codec.decompress(z, n * width, asbytes=True))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, TYPES, strict=True)], names=names)
+        if open_ is not None:
+            last = record()
+            done()
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(last, TYPES, strict=True)], names=names)
+
+    TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    found, _ = materialise(dealt.mapInArrow(work, "slot long, sequence long, shard int, byte_offset long, n_tokens long, ids_crc32 long"), "slots")
+    remove(spark, blocks_path)
+    return found
 
 
 def materialise_documents(docs: DataFrame) -> DataFrame:
@@ -143,21 +199,21 @@ def materialise_documents(docs: DataFrame) -> DataFrame:
     return write(docs, new_path(docs.sparkSession, "shards"))
 
 
-def read_slots(uri: str, first: int, count: int, seq_len: int = SEQ_LEN) -> Iterator[np.ndarray]:
-    """Sequences from global slot ``first`` on, read in order: what a resumed training run does."""
+def read_slots(uri: str, first: int, count: int, seq_len: int = SEQ_LEN, shard_size: int = SHARD_SIZE, id_type: str = ID_TYPE) -> Iterator[np.ndarray]:
+    """Sequences from global slot ``first`` on, read in order: what a resumed training run does.  Ends with the last slot."""
     from pyarrow import fs as pafs
 
     fs, folder = _store(uri)
-    stride, start = 2 * seq_len, 0
-    files = sorted((f for f in fs.get_file_info(pafs.FileSelector(folder)) if f.base_name.startswith("shard-")), key=lambda f: f.base_name)
-    for f in files:
-        n = f.size // stride
-        if count and start <= first < start + n:
-            with fs.open_input_file(f.path) as src:
-                src.seek((first - start) * stride)
-                take = min(count, start + n - first)
-                for _ in range(take):
-                    yield np.frombuffer(src.read(stride), "<u2")
-                first, count = first + take, count - take
-        start += n
-
+    stride = np.dtype(id_type).itemsize * seq_len
+    while count > 0:
+        path = f"{folder}/shard-{first // shard_size:08d}.bin"
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            return
+        with fs.open_input_file(path) as src:
+            src.seek(first % shard_size * stride)
+            for _ in range(min(count, shard_size - first % shard_size)):
+                raw = src.read(stride)
+                if not raw:
+                    return
+                yield np.frombuffer(raw, id_type)
+                first, count = first + 1, count - 1
