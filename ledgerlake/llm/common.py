@@ -18,6 +18,7 @@ from ..sources.storage import new_path
 
 U = np.uint64
 CHUNK_BYTES = 1 << 19
+BLOCK_BYTES = 1 << 19
 _shipped: set[str] = set()
 
 
@@ -114,23 +115,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _pow or len(_pow["p"]) < n:
-        m = max(n, CHUNK_BYTES + 65536)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    if "p" not in _pow:
         for k, b in (("p", _BASE), ("q", _INV)):
-            x = np.full(m, U(b), dtype=np.uint64)
+            x = np.full(BLOCK_BYTES + 1, U(b), dtype=np.uint64)
             x[0] = U(1)
             _pow[k] = np.multiply.accumulate(x)
     return _pow["p"], _pow["q"]
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes, from one prefix sum over ``data``."""
-    n = len(data)
-    p, q = _powers(n + 1)
-    acc = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_TABLE[data] * p[:n], out=acc[1:])
-    return mix((acc[ends] - acc[starts]) * q[starts] + (ends - starts).astype(np.uint64) * ODD[41])
+    """A 64-bit hash of each byte span, equal for equal bytes, from one prefix sum over ``data``.
+
+    The sum is taken in blocks and kept at the spans' ends only, so a very long text costs memory by its spans, not bytes.
+    ``starts`` and ``ends`` rise.
+    """
+    p, q = _powers()
+    out = np.zeros(len(starts), np.uint64)
+    back = np.empty(len(starts), np.uint64)
+    before, up, down = U(0), 1, 1
+    mask = (1 << 64) - 1
+    step, unstep = pow(_BASE, BLOCK_BYTES, 1 << 64), pow(_INV, BLOCK_BYTES, 1 << 64)
+    for a in range(0, max(len(data), 1), BLOCK_BYTES):
+        part = data[a : a + BLOCK_BYTES]
+        last = a + len(part) == len(data)
+        acc = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_TABLE[part] * p[: len(part)] * U(up), out=acc[1:])
+        acc += before
+        z = a + len(part) + last  # a place at the end of a block belongs to the next, that of the data to the last
+        i, j = np.searchsorted(starts, (a, z), "left")
+        out[i:j] -= acc[starts[i:j] - a]
+        back[i:j] = q[starts[i:j] - a] * U(down)
+        i, j = np.searchsorted(ends, (a, z), "left")
+        out[i:j] += acc[ends[i:j] - a]
+        before, up, down = acc[-1], up * step & mask, down * unstep & mask
+    return mix(out * back + (ends - starts).astype(np.uint64) * ODD[41])
 
 
 def runs(flag: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
