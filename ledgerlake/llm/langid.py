@@ -1,10 +1,12 @@
 """Language identification by nearest centroid over normalised TF-IDF character n-grams.
 
-Fitting takes at most ``PER_LANGUAGE`` labelled documents of each language, those of smallest id hash, and of the
-``MAX_LANGUAGES`` most frequent languages (documented bounds: the classifier doesn't get better with more).  Document
-frequencies come from them; each language's vectors are clustered by spherical k-means in one task per language, and a
-text is compared with every centroid by cosine.  A text farther from all centroids than a share of what nearly all
-learned documents of its size reach is rejected.
+Fitting takes at most ``PER_LANGUAGE`` labelled documents of each language, those of smallest id hash (a documented bound:
+the classifier doesn't get better with more).  Document frequencies come from them; the vectors of ``1 - CALIBRATION`` of
+each language's documents are clustered by spherical k-means in one task per language, and a text is compared with every
+centroid by cosine.  The rest of the learned documents, which no centroid has seen, calibrate the rejection: a text is
+rejected if it is farther from all centroids than all but ``FALSE_REJECTS`` of the calibration documents of about its size.
+
+Scale: prediction is a map; the model has ``CENTROIDS`` vectors of 64 KB a language and grows with nothing else.
 
 Results for unusual input: null text and text without letters are ``und`` with score 0 and rejected; rows with null
 doc_id are predicted but never learned from; with nothing to learn from, every text is ``und``; repeated rows count as
@@ -25,11 +27,13 @@ BITS = 14
 DIMENSIONS = 1 << BITS
 SIZES = 16
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 1000
 CENTROIDS = 4
+#: A table of languages of at most so many rows is broadcast; a longer one is joined as Spark sees fit.
+BROADCAST_LANGUAGES = 10_000
 ORDERS = (1, 2, 3)
-#: A document is rejected under this share of the similarity that 99 % of the learned documents of its size reach.
-REJECT_SHARE = 0.25
+#: Share of the learned documents that only calibrate, and of those that the distance bound may reject.
+CALIBRATION = 0.3
+FALSE_REJECTS = 0.002
 _letters: list[np.ndarray] = []
 
 
@@ -118,10 +122,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     """Centroids, their languages, IDF and rejection bounds, from labelled ``docs`` (doc_id, text, lang) given."""
     spark = docs.sparkSession
     known = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    sizes = known.groupBy("lang").count()
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = sizes.select("lang", (2.0 * per_language / F.col("count")).alias("share"))
-    few = known.select("lang", "text", u.alias("u"), "doc_id").join(F.broadcast(share), "lang").where("u < share")  # at most MAX_LANGUAGES rows
+    share, _ = materialise(sizes.select("lang", (2.0 * per_language / F.col("count")).alias("share")), "shares")
+    if share.count() <= BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
+    few = known.select("lang", "text", u.alias("u"), "doc_id").join(share, "lang").where("u < share")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", F.hash("text")))
     sample, _ = materialise(few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text").repartition(8), "langs")
 
@@ -150,9 +156,12 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
         v, size = v[size > 0], size[size > 0]
         if not len(v):
             return pd.DataFrame({"lang": [], "centroid": [], "reached": [], "sizes": []})
-        c = k_means(v, centroids)
-        reached = (v @ c.T).max(axis=1).astype(np.float64)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.astype(np.float32).tobytes() for x in c], "reached": reached.tobytes(), "sizes": size.astype(np.int64).tobytes()})
+        held = np.arange(len(v)) % 10 < 10 * CALIBRATION if len(v) >= 10 else np.zeros(len(v), bool)
+        c = k_means(v[~held], centroids)
+        if not held.any():
+            held[:] = True
+        reached = (v[held] @ c.T).max(axis=1).astype(np.float64)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [x.astype(np.float32).tobytes() for x in c], "reached": reached.tobytes(), "sizes": size[held].astype(np.int64).tobytes()})
 
     found = sample.groupBy("lang").applyInPandas(clusters, "lang string, centroid binary, reached binary, sizes binary").collect()  # a few rows a language
     found.sort(key=lambda r: (r["lang"], r["centroid"]))
@@ -164,8 +173,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     floors = np.zeros(SIZES)
     for k in range(SIZES):  # with the nearest smaller and larger sizes where a size is rare
         near = np.abs(sizes - k)
-        few = reached[near <= max(1, np.sort(near)[min(50, len(near) - 1)])]
-        floors[k] = REJECT_SHARE * np.quantile(few, 0.01)
+        some = np.sort(reached[near <= np.sort(near)[min(199, len(near) - 1)]])
+        # fewer than 1 / FALSE_REJECTS documents can't show so small a share: a step below the least of them
+        n = FALSE_REJECTS * len(some)
+        floors[k] = some[int(n)] if n >= 1 else some[0] - (1 - n) * (np.median(some) - some[0]) / 4
     return {"idf": idf, "langs": [r["lang"] for r in found], "centroids": np.stack([np.frombuffer(r["centroid"], np.float32) for r in found]), "floors": floors}
 
 

@@ -69,7 +69,7 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise.materialise_documents(table(spark, sf_dir, "documents").select("text"))
+    return materialise.materialise_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,3 +105,10 @@ def longest_repeat(w):
         if not c or max(c.values()) < 2:
             return n
         n += 1
+
+
+def repeat_chars(w, least=8):
+    """Characters of the words that lie in a string of ``least`` words or more that occurs twice in ``w``."""
+    c = Counter(tuple(w[j : j + least]) for j in range(len(w) - least + 1))
+    inside = {k for j in range(len(w) - least + 1) if c[tuple(w[j : j + least])] > 1 for k in range(j, j + least)}
+    return sum(len(w[k]) for k in inside)

@@ -195,6 +195,22 @@ def test_language_id(spark, sf):
     assert langid.predict(far, langid.fit(d)).first()["rejected"]
 
 
+def test_language_rejection_is_calibrated(spark):
+    """Few of the learned languages go; foreign scripts, foreign languages and letter salad of 100 words do."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(d)
+    r = random.Random(1)
+    pools = ["абвгдежзиклмнопрст", "αβγδεζηθικλμνοπρσ", "aąbcćdeęłńoóprsśtuwyzźżijk", "qwrtzpsdfghjklxcvbnm", "가나다라마바사아자차카"]
+    words = ["het is een van de en niet dat te in voor met zijn op ook maar door als dan nog wel geen zo om", "ja on ei se että hän oli joka mutta niin kun mukaan myös ovat sen kuin tämä vain jos koska"]
+    foreign = [" ".join("".join(r.choice(p) for _ in range(r.randint(2, 9))) for _ in range(100)) for p in pools for _ in range(10)] + [" ".join(r.choice(w.split()) for _ in range(100)) for w in words for _ in range(10)]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(foreign)], "row long, doc_id long, text string")
+    assert langid.predict(df, model).where("rejected").count() >= 0.95 * len(foreign)
+    own = langid.predict(d.selectExpr("doc_id AS row", "doc_id", "text").where("length(text) > 0"), model)
+    assert own.where("rejected").count() <= 0.01 * own.count()
+    many = d.selectExpr("doc_id", "text", "concat('l', doc_id) AS lang")  # each document a language of its own
+    assert langid.fit(many, centroids=1)["centroids"].shape[0] > 500
+
+
 def test_language_id_hard(hard, spark):
     out = {r["doc_id"]: r for r in langid.identify(hard).collect()}
     assert len(out) == hard.count()
@@ -257,7 +273,41 @@ def test_quality(which, request):
         w = brute.WORD.findall(t or "")
         if len(w) < 600:
             assert r["longest_repeat"] == brute.longest_repeat(w)
-        assert not (r["kept"] and r["base_failed"])
+        covered = brute.repeat_chars(w)
+        assert r["repeat_chars"] == covered
+        assert r["kept"] == (not r["base_failed"] and covered <= 0.3 * r["word_chars"] and r["longest_repeat"] <= 100)
+
+
+def test_quality_of_repeats_and_of_one_very_long_text(spark):
+    """Passages said again at both sides of the limits, ids that repeat or are null, and two million equal words."""
+    a, b, c = prose(41, 300), prose(42, 300), prose(43, 90)
+    texts = [a, a + " " + a[:200], a + " " + a, a + " " + c + " x " + c, c + " y " + b + " " + c, a + "\n" + b + "\n" + " ".join(a.split()[50:151]), a + " " + b + " " + " ".join(a.split()[50:150]), "w " * 60, None, "", c + " " + " ".join(c.split()[:7])]
+    df = spark.createDataFrame([(5 if i % 2 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        w, base = brute.WORD.findall(t or ""), brute.quality(t)
+        n, k = brute.longest_repeat(w), brute.repeat_chars(w)
+        want.append((5 if i % 2 else None, *base[:5], n, k, base[5], not base[5] and k <= 0.3 * base[1] and n <= 100))
+    got = [(r["doc_id"], *(r[k] for k in quality.COUNTS), r["base_failed"], r["kept"]) for r in quality.score(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {w[-1] for w in want if not w[-2]} == {True, False}
+    words = np.full(2_000_000, 7, np.uint64)
+    ends = np.full(len(words), len(words))
+    assert (quality.repeats(words, ends) == np.concatenate([[len(words) - 1], np.arange(len(words) - 1, 0, -1)])).all()
+    text = np.frombuffer(b"word " * 2_000_000, np.uint8)
+    found = quality.measure(np.array([0, len(text)]), text)
+    assert found["longest_repeat"][0] == 1_999_999 and found["repeat_chars"][0] == 8_000_000
+
+
+def test_span_hash_across_blocks():
+    from ledgerlake.llm import common
+
+    n = 3 * common.BLOCK_BYTES + 17
+    data = np.frombuffer(random.Random(6).randbytes(n), np.uint8).copy()
+    data[-common.BLOCK_BYTES :] = data[: common.BLOCK_BYTES]
+    one = common.span_hash(data, np.array([0, 5, n - common.BLOCK_BYTES]), np.array([common.BLOCK_BYTES, common.BLOCK_BYTES + 5, n]))
+    assert one[0] == one[2] != one[1]
+    assert one[1] == common.span_hash(data[5:].copy(), np.array([0]), np.array([common.BLOCK_BYTES]))[0]
+    assert len(common.span_hash(data[:0], np.array([0]), np.array([0]))) == 1
 
 
 # op7
@@ -381,18 +431,38 @@ def test_feistel_is_a_keyed_permutation(n):
     assert n < 100 or (a != b).any()
 
 
-def test_shards_hold_every_token(spark, hard):
-    uri = new_path(spark, "test_shards")
-    out = materialise.write(hard, uri, seq_len=64, shards=3).toPandas().sort_values("slot")
-    assert list(out.slot) == list(range(len(out)))
-    read = list(materialise.read_slots(uri, 0, len(out), 64))
-    assert [zlib.crc32(x.tobytes()) for x in read] == list(out.ids_crc32)
-    assert [x.tolist() for x in materialise.read_slots(uri, 5, 7, 64)] == [x.tolist() for x in read[5:12]]
+def test_shards_equal_the_permuted_stream(spark, hard):
+    """Against a plain version: the stream in document order, cut, and put where the permutation says."""
     encode = tokens.encoder()
-    total = sum(len(encode(t or "")) + 1 for _, t in rows(hard))
-    assert out.n_tokens.sum() == total and (out.groupby("shard").byte_offset.apply(lambda s: list(s) == [128 * i for i in range(len(s))])).all()
-    want = sorted(x for _, t in rows(hard) for x in [*encode(t or ""), 0])
-    assert sorted(int(x) for s, n in zip(read, out.n_tokens) for x in s[:n]) == want
+    plain = np.concatenate([np.array([*encode(t or ""), 0], "<u2") for _, t in sorted(rows(hard))])
+    n = -(-len(plain) // 64)
+    full = np.concatenate([plain, np.zeros(n * 64 - len(plain), "<u2")]).reshape(n, 64)
+    slot = materialise.feistel(np.arange(n), n, 99)
+    want = np.empty_like(full)
+    want[slot.astype(int)] = full
+    for split in (1, 3, 4, 11):
+        uri = new_path(spark, "test_shards")
+        docs_ = hard.repartition(split)
+        for _ in range(2 if split == 3 else 1):  # a second run replaces every shard with the same bytes
+            out = materialise.write(docs_, uri, seq_len=64, key=99, shard_size=50).toPandas().sort_values("slot")
+            assert list(out.slot) == list(range(n)) and list(out.shard) == [i // 50 for i in range(n)] and list(out.byte_offset) == [i % 50 * 128 for i in range(n)]
+            assert out.n_tokens.sum() == len(plain) and (out.n_tokens < 64).sum() <= 1
+            assert list(slot[out.sequence.to_numpy()]) == list(out.slot)
+            read = list(materialise.read_slots(uri, 0, n + 5, 64, 50))
+            assert (np.array(read) == want).all() and [zlib.crc32(x.tobytes()) for x in read] == list(out.ids_crc32)
+            assert (np.array(list(materialise.read_slots(uri, 45, 17, 64, 50))) == want[45:62]).all()
+
+
+def test_shards_of_null_and_repeated_ids(spark):
+    given = [(None, "b c"), (None, None), (2, "x"), (2, "x"), (2, "y z"), (1, ""), (None, "b c")]
+    found = []
+    for split in (1, 5):
+        uri = new_path(spark, "test_shards")
+        out = materialise.write(spark.createDataFrame(given, "doc_id long, text string").repartition(split), uri, seq_len=4, shard_size=2)
+        found.append((out.count(), [x.tolist() for x in materialise.read_slots(uri, 0, 99, 4, 2)]))
+    assert found[0] == found[1]
+    with pytest.raises(Exception, match="doesn't fit"):
+        materialise.write(spark.createDataFrame(given, "doc_id long, text string"), new_path(spark, "test_shards"), id_type="<u1").count()
 
 
 # op10
