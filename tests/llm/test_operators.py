@@ -485,6 +485,51 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+FORM = "<form action='x'><input type=hidden>{0}</form>"
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>go {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+def test_articles_in_forms_and_parts_that_the_ratio_decides():
+    text = ("long words here " * 20).strip()
+    for page in (f"<article><h1>T</h1><p>{text}</p></article>", f"<div><h1>T</h1><p>{text}</p><p>{text}</p></div>"):
+        want = "T " + " ".join([text] * page.count(text))
+        assert html_extract.main_text(FORM.format(page)) == want == html_extract.main_text(FORM.format("<nav>m</nav>" + page + "<label>name</label><footer>f</footer>"))
+        assert html_extract.main_text(page + FORM.format("<p>your mail</p>")) == want
+    work = f"<article><p>{text}</p><div class='related-work'><p>{text}</p></div><div class='related'>{MENU}</div></article>"
+    assert html_extract.main_text(work) == text + " " + text
+
+
+def test_the_ratio_chooses_the_region_where_nothing_is_named(monkeypatch):
+    text = ("long words here " * 20).strip()
+    page = f"<body><div>{MENU}</div><div><h1>T</h1><p>{text}</p><p>short</p><p>{text}</p>{MENU}</div><div><p>small print</p></div></body>"
+    assert html_extract.main_text(page) == f"T {text} short {text}"
+    monkeypatch.setattr(html_extract, "content_lines", lambda size, tags, open_: open_)
+    assert html_extract.main_text(page) != f"T {text} short {text}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 16000 + "x", "<div>a" * 16000, "<article>a" * 16000, "<p><span>" * 16000, "<b><div>" + "<span>" * 16000 + "</b>" * 16000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    begin = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - begin < 1
+
+
+def test_extract_without_names_and_with_odd_columns(spark, sf):
+    """Pages whose tags and classes say nothing, and a table with clashing columns, nulls and repeated rows."""
+    import re
+
+    pages = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/pages.parquet").collect()
+    same = 0
+    for p in pages:
+        plain = re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(r"(</?)(article|nav|aside|footer|header|form|section|main)\b", r"\1div", p["html"]))
+        same += html_extract.main_text(plain) == html_extract.main_text(p["html"])
+    assert same >= 0.88 * len(pages)
+    odd = spark.createDataFrame([(1, "u", "<p>a b", "x", 9), (1, "u", "<p>a b", "x", 9), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted(((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_extract.extract(odd).collect())) == [(0, "", 0), (1, "a b", 3), (1, "a b", 3)]
+
+
 def test_extract_pages(spark, sf):
     import html
     import re
