@@ -31,7 +31,7 @@ SIGMA = 1.0
 APART = float(np.log(2))
 #: A region or wrapper holds this share of the content.
 HOLDS = 0.8
-#: A part without content whose text is links by this share is a menu.
+#: A part mostly without content whose text is links by this share is a menu.
 MENU = 0.6
 CONTENT, LINKS, LAYOUT, EXCLUDED = range(4)
 
@@ -250,7 +250,7 @@ def main_text(html: str) -> str:
     else:
         # the innermost container of nearly all content, without its lists of links
         region = {max((e for e in range(1, n) if p.tag[e] in _KEEPS and weight[e] >= HOLDS * weight[0]), default=0)}
-        menus = [p.tag[e] in _KEEPS and 0 < all_[e] and not weight[e] and linked[e] >= MENU * all_[e] for e in range(n)]
+        menus = [p.tag[e] in _KEEPS and 0 < all_[e] > 2 * weight[e] and linked[e] >= MENU * all_[e] for e in range(n)]
     keep = np.array(inside([e in region for e in range(n)])) & ~np.array(inside(menus))
     return " ".join(t for t, k in zip(p.text, (keep[at] & good).tolist(), strict=True) if k)
 
