@@ -68,6 +68,23 @@ def test_recall_and_precision_against_all_pairs(spark, block):
     assert got == {i for i, k in least(texts, pairs).items() if i == k}
 
 
+def test_covering_tables_meet_within_the_radius():
+    """Equal fingerprints share all tables; texts whose SimHash differs in up to four bits share one at least."""
+    import numpy as np
+
+    from ledgerlake.llm.simhash import RADIUS
+
+    texts = [t or "" for t in edited_texts().values()]
+    raw = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    v, at = near_copies.shingles(bounds, np.frombuffer(b"".join(raw), np.uint8))
+    keys = near_copies.covering_keys(v, at[:-1])
+    fps = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in v[a:z]) > z - a) for a, z in zip(at, at[1:])]
+    near = [(i, j, (fps[i] ^ fps[j]).bit_count()) for i, j in combinations(range(len(fps)), 2)]
+    assert all((keys[i] == keys[j]).any() for i, j, d in near if d <= RADIUS)
+    assert sum(0 < d <= RADIUS for _, _, d in near) > 5 and not all((keys[i] == keys[j]).any() for i, j, _ in near)
+
+
 def test_stage_on_documents(spark):
     """Of sf0.01: every pair of 0.8 or more is told, and nothing else goes."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
