@@ -3,14 +3,21 @@
 Initial buckets: suffixes are put in buckets by the identifier of their first 32 bytes, built by doubling from the
 identifiers at later offsets.  Only anchors are kept: in each window of 100 bytes the suffix of smallest identifier.
 Equal windows choose equal anchors at equal places, so two equal windows always meet in a bucket, and buckets of one
-suffix are final at once.  Refinement: a bucket is sorted on the identifier of everything a window through its anchor
-can touch (68 bytes before, 100 from it).  Anchors that agree there with an earlier one are repeats in full.  What
-is left of a bucket, one anchor for each distinct surrounding, is refined window by window with identifiers of 64 bytes
-made from those of 32, and of 100 from two of 64 at offsets 0 and 36; the first of each class stays.
-
-Scale: copies inside a task are combined before the shuffle, the buckets are streamed in sorted order with state of a
-few rows, and a bucket with more than ``HOT`` distinct surroundings is refined by a partial minimum per window
-identifier instead of in one task.  Texts cross the network twice, compressed.
+suffix are final at once.
+
+Refinement: a bucket is sorted on the identifier of everything a window through its anchor can touch (68 bytes before, 100
+from it).  Anchors that agree there with an earlier one are repeats in full.  What is left, one anchor for each distinct
+surrounding, is refined by halves: the windows of a bucket, those that start 68 to 0 bytes before the anchor, are split into
+the earlier and the later half, and each half's bucket identifier is that of its bucket with the identifiers of the bytes
+that all windows of the half hold besides (34 bytes at an earlier or later offset, then 17 more, and so on).  In each new
+bucket, anchors that agree in all bytes of the half are repeats for that half, the first of them goes on, and a bucket of
+one is final.  After seven splits a bucket is one window.  Identifiers are names of contents by 64-bit hash instead of
+places in a sorted array, so that a split needs no global sort.
+
+Scale: every split deals a bucket anew by its contents, so a passage that a third of all rows hold is spread after one or
+two splits, each of which is a map, a partial minimum and a join.  A task refines buckets of up to ``BLOCK`` anchors to the
+end on its own, with the same halves, as they need no more splitting to fit.  Copies inside a task are combined before the
+first shuffle, and sorted buckets are streamed with state of a few rows.  Texts cross the network twice, compressed.
 
 Results for unusual input: null is empty; texts under 100 bytes stay whole; a null doc_id is earlier than all others;
 rows that repeat doc_id and text are one document and each gets its result, rows that repeat only doc_id are told
@@ -26,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, ODD, U, chunks, materialise, prepare, remove, sliding, span_hash, to_signed
+from .common import BYTE_TABLE, ODD, U, chunks, materialise, mix, prepare, remove, sliding, span_hash, to_signed
 
 LENGTH = 100
 GRAM = 32
-HOT = 20_000
+#: Anchors of one bucket that a task refines on its own.
+BLOCK = 1024
 NULL_ID = -(1 << 63)
 LEFT = LENGTH - GRAM  # bytes before an anchor that its windows can touch
 
@@ -223,36 +231,32 @@ def _contexts(batches):
 
 
 CONTEXT = "h long, doc long, sub long, a int, b int, bytes binary"
+NODE = CONTEXT + ", lo int, hi int"
+_NODE_NAMES = ["h", "doc", "sub", "a", "b", "bytes", "lo", "hi"]
 
 
 def _context_arrays(batch: pa.RecordBatch):
-    h, doc, sub, a, b = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+    """h, doc, sub, a, b, lo, hi and the bytes around, a row each; lo and hi are the windows asked for that lie in the text."""
+    h, doc, sub, a, b, lo, hi = (batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2, 3, 4, 6, 7))
     raw = batch.column(5)
     flat = np.frombuffer(raw.buffers()[2], np.uint8) if len(raw) else np.zeros(0, np.uint8)
     start = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset] if len(raw) else 0
     wide = LEFT + LENGTH
-    return h, doc, sub, a, b, flat[start : start + len(raw) * wide].reshape(-1, wide)
-
-
-def _windows(rows):
-    """Identifier of each window of each context, and which of them lie within their text."""
-    _, _, _, _, b, around = rows
-    i = np.arange(LEFT + 1)  # window i starts LEFT - i before the anchor
-    inside = (LEFT - i[None, :] <= (b >> 8)[:, None]) & (LENGTH - LEFT + i[None, :] <= (b & 255)[:, None])
-    return name_windows(around), inside
+    lo, hi = np.maximum(lo, LEFT - (b >> 8)), np.minimum(hi, (b & 255) - GRAM)  # window i starts LEFT - i before the anchor
+    return h, doc, sub, a, b, lo, hi, flat[start : start + len(raw) * wide].reshape(-1, wide)
 
 
 def _repeats(rows) -> pa.RecordBatch | None:
     """Spans of the windows that are not the first of their class; rows in order of bucket and place."""
-    h, doc, sub, a, b, around = rows
-    names, inside = _windows(rows)
+    h, doc, sub, a, b, lo, hi, around = rows
+    names = name_windows(around)
     k = len(h)
     place = np.zeros(k, np.int64)
     place[1:] = np.cumsum((doc[1:] != doc[:-1]) | (sub[1:] != sub[:-1]) | (a[1:] != a[:-1]) | (h[1:] != h[:-1]))
-    lo = np.full(k, LEFT + 1)
-    hi = np.full(k, -1)
+    first_, last_ = np.full(k, LEFT + 1), np.full(k, -1)
+    names += mix(h.view(np.uint64))[:, None]  # buckets may share bytes and differ in windows
     for i in range(LEFT + 1):
-        r = np.flatnonzero(inside[:, i])
+        r = np.flatnonzero((lo <= i) & (i <= hi))
         if len(r) < 2:
             continue
         o = r[np.argsort(names[r, i], kind="stable")]
@@ -261,15 +265,15 @@ def _repeats(rows) -> pa.RecordBatch | None:
         new[1:] = s[1:] != s[:-1]
         first = o[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
         again = o[place[o] != place[first]]
-        lo[again] = np.minimum(lo[again], i)
-        hi[again] = np.maximum(hi[again], i)
-    f = hi >= 0
+        first_[again] = np.minimum(first_[again], i)
+        last_[again] = np.maximum(last_[again], i)
+    f = last_ >= 0
     # windows of one anchor always overlap, so their union is one span
-    return _edges(h[f], doc[f], sub[f], (a - LEFT + lo)[f], -(a - LEFT + hi + LENGTH)[f]) if f.any() else None
+    return _edges(h[f], doc[f], sub[f], (a - LEFT + first_)[f], -(a - LEFT + last_ + LENGTH)[f]) if f.any() else None
 
 
-def _second_refinement(batches):
-    """Contexts sorted by (h, doc, sub, a): refine whole buckets, several thousand rows at a time."""
+def _whole_buckets(batches):
+    """Nodes sorted by (h, doc, sub, a): refine whole buckets, several thousand rows at a time."""
     held: list = []
     n = 0
 
@@ -294,14 +298,53 @@ def _second_refinement(batches):
         yield out
 
 
-def _window_rows(batches):
+def _halves(batches):
+    """Each node as two: the windows of either half, in the bucket of the bytes that all windows of that half hold.
+
+    ``around`` names all bytes of the half's windows that lie in the text, and how many these are.
+    """
     for batch in batches:
-        rows = _context_arrays(batch)
-        h, doc, sub, a, b, _ = rows
-        if len(h):
-            names, inside = _windows(rows)
-            r, i = np.nonzero(inside)
-            yield pa.record_batch([pa.array(h[r]), pa.array(i.astype(np.int32)), pa.array(to_signed(names[r, i])), pa.array(doc[r]), pa.array(sub[r].astype(np.int64)), pa.array(a[r].astype(np.int32))], names=["h", "i", "w", "doc", "sub", "a"])
+        h, doc, sub, a, b, lo, hi, around = _context_arrays(batch)
+        if not len(h):
+            continue
+        asked_lo, asked_hi = (batch.column(i).to_numpy().astype(np.int64) for i in (6, 7))
+        mid = (asked_lo + asked_hi) // 2
+        wide = LEFT + LENGTH
+        flat = np.ascontiguousarray(around).ravel()
+        row = np.arange(len(h)) * wide
+        for start, end in ((asked_lo, mid), (mid + 1, asked_hi)):
+            l, r = np.maximum(lo, start), np.minimum(hi, end)
+            f = np.flatnonzero((start <= end) & (l <= r))
+            if not len(f):
+                continue
+            s, e, l, r = start[f], end[f], l[f], r[f]
+            # window i holds the context's bytes i to i + LENGTH
+            core = span_hash(flat, row[f] + e, row[f] + s + LENGTH)
+            key = mix(h[f].view(np.uint64) * ODD[52] + core + (s * 128 + e).astype(np.uint64) * ODD[53])
+            whole = span_hash(flat, row[f] + l, row[f] + r + LENGTH) + (l * 128 + r).astype(np.uint64) * ODD[54]
+            take = pa.array(f)
+            yield pa.record_batch([pa.array(to_signed(key)), *(batch.column(i).take(take) for i in range(1, 6)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(to_signed(whole)), pa.array(l.astype(np.int32)), pa.array(r.astype(np.int32))], names=[*_NODE_NAMES, "around", "from_", "to_"])
+
+
+def refine(contexts: DataFrame, block: int = BLOCK) -> tuple[list[DataFrame], list[str]]:
+    """Tables of the spans (doc, sub, a, b) that repeat, with b = -end, and the paths of what may go once they are read."""
+    nodes, spans, paths = contexts.select("*", F.lit(0).alias("lo"), F.lit(LEFT).alias("hi")), [], []
+    while True:
+        sizes, path = materialise(nodes.groupBy("h").count().where(F.col("count") > block).select("h"), "large_buckets")
+        paths.append(path)
+        done = sizes.isEmpty()
+        whole = nodes if done else nodes.join(sizes, "h", "left_anti")
+        spans.append(whole.select(_NODE_NAMES).repartition("h").sortWithinPartitions("h", "doc", "sub", "a").mapInArrow(_whole_buckets, "h long, doc long, sub long, a int, b int").select("doc", "sub", "a", "b"))
+        if done:
+            return spans, paths
+        halves, path = materialise(nodes.join(sizes, "h", "left_semi").select(_NODE_NAMES).mapInArrow(_halves, NODE + ", around long, from_ int, to_ int"), "halves")
+        paths.append(path)
+        place = F.struct("doc", "sub", "a")
+        first = halves.groupBy("h", "around").agg(F.min(place).alias("first"))
+        told, path = materialise(halves.join(first, ["h", "around"]).withColumn("again", place != F.col("first")).drop("first", "around"), "told")
+        paths.append(path)
+        spans.append(told.where("again").select("doc", "sub", (F.col("a") - LEFT + F.col("from_")).alias("a"), (-(F.col("a") - LEFT + F.col("to_") + LENGTH)).alias("b")))
+        nodes = told.where("not again").select(_NODE_NAMES)
 
 
 def _finish(text: bool):
@@ -332,7 +375,7 @@ def _ddl(fixed: str, more: list) -> str:
     return ", ".join([fixed, *(f"`{f.name}` {f.dataType.simpleString()}" for f in more)])
 
 
-def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, and ``carry``) for every row of ``docs`` (doc_id, text).
 
     ``kept`` is what stays; a character whose bytes were partly removed is left out of it, but not of the hash.
@@ -354,20 +397,12 @@ def dedup(docs: DataFrame, keep_text: bool = False, carry: tuple[str, ...] = (),
     asked = found.where("b >= 0").groupBy("doc", "sub").agg(F.collect_list("h").alias("h"), F.collect_list("a").alias("a"))
     once = texts.dropDuplicates(["doc", "sub"]) if again else texts
     contexts, contexts_path = materialise(once.join(asked, ["doc", "sub"]).select("doc", "sub", "n", "z", "h", "a").mapInArrow(_contexts, CONTEXT), "contexts")
-    crowded, crowded_path = materialise(contexts.groupBy("h").count().where(F.col("count") > hot).select("h"), "crowded")
-    cold, spans = contexts, [found.where("b < 0").select("doc", "sub", "a", "b")]
-    if not crowded.isEmpty():
-        cold = contexts.join(crowded, "h", "left_anti")
-        windows = contexts.join(crowded, "h", "left_semi").mapInArrow(_window_rows, "h long, i int, w long, doc long, sub long, a int")
-        first = windows.groupBy("h", "i", "w").agg(F.min(F.struct("doc", "sub", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        late = windows.join(first, ["h", "i", "w"]).where(F.struct("doc", "sub", "a") != F.col("first"))
-        spans.append(late.select("doc", "sub", (F.col("a") - LEFT + F.col("i")).alias("a"), (-(F.col("a") - LEFT + F.col("i") + LENGTH)).alias("b")))
-    refined = cold.repartition("h").sortWithinPartitions("h", "doc", "sub", "a").mapInArrow(_second_refinement, "h long, doc long, sub long, a int, b int")
-    each = refined.select("doc", "sub", "a", "b")
-    for s in spans:
-        each = each.unionByName(s)
+    spans, paths = refine(contexts, block)
+    each = found.where("b < 0").select("doc", "sub", "a", "b")
+    for x in spans:
+        each = each.unionByName(x)
     each, _ = materialise(each.groupBy("doc", "sub").agg(F.collect_list("a").alias("starts"), F.collect_list(-F.col("b")).alias("ends")), "spans")
-    remove(spark, found_path, contexts_path, crowded_path)
+    remove(spark, found_path, contexts_path, *paths)
     joined = texts.join(each, ["doc", "sub"], "left").select("doc", "sub", "n", "z", "starts", "ends", *(f.name for f in more))
     done = joined.mapInArrow(_finish(keep_text), _ddl("doc long, sub long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string", more))
     kept = ["kept"] if keep_text else []

@@ -26,11 +26,11 @@ def pieces(seed: int):
     return list(docs.items())
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("block", [1024, 40, 2])
+def test_suffix_dedup(spark, block):
     docs = pieces(11)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df, hot=hot).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df, block=block).collect()}
     assert got == brute.suffix_dedup(docs)[0]
 
 

@@ -159,13 +159,13 @@ def test_decontamination_of_a_window_that_many_items_hold(spark):
 # op3
 
 
-@pytest.mark.parametrize(("which", "hot"), [("hard", 20_000), ("hard", 1), ("docs", 20_000), ("docs", 2)])
-def test_suffix_dedup(which, hot, request):
+@pytest.mark.parametrize(("which", "block"), [("hard", 1024), ("hard", 1), ("docs", 1024), ("docs", 2)])
+def test_suffix_dedup(which, block, request):
     df = request.getfixturevalue(which)
     if which == "hard":
         df = df.where("length(coalesce(text, '')) < 20000")
     want, kept = brute.suffix_dedup(rows(df))
-    got = suffix_dedup.dedup(df, keep_text=True, hot=hot).collect()
+    got = suffix_dedup.dedup(df, keep_text=True, block=block).collect()
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
     assert all(r["kept"] == kept[r["doc_id"]].decode(errors="ignore") for r in got)
     assert sum(v[1] for v in want.values()) > 0
