@@ -57,6 +57,13 @@ def feistel(x: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndar
     return out
 
 
+def _compress(batches):
+    codec = pa.Codec("zstd", 6)
+    for b in batches:
+        raw = [t.encode() for t in b.column(4).to_pylist()]
+        yield pa.record_batch([*(b.column(i) for i in range(4)), pa.array([len(t) for t in raw], pa.int32()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], names=["none", "doc", "h", "tie", "size", "z"])
+
+
 def stream(docs: DataFrame, seq_len: int, tokenizer: str, end_id: int, id_type: str) -> DataFrame:
     """(part, start, n, z): the token stream of each part of the ordered documents, in compressed blocks of ``seq_len``."""
     spark = docs.sparkSession
@@ -65,7 +72,8 @@ def stream(docs: DataFrame, seq_len: int, tokenizer: str, end_id: int, id_type:
     keyed = docs.select(F.col("doc_id").isNotNull().alias("none"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("tie"), text.alias("text"))
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the tie only parts equal rows of one id, whose order makes no difference
-    ordered = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("text")
+    small = keyed.mapInArrow(_compress, "none boolean, doc long, h long, tie long, size int, z binary")
+    ordered = small.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("size", "z")
     most = np.iinfo(id_type).max
 
     def work(batches):
@@ -85,8 +93,8 @@ def stream(docs: DataFrame, seq_len: int, tokenizer: str, end_id: int, id_type:
 
         for b in batches:
             each = [rest]
-            for t in b.column(0):
-                ids = np.array([*encode(t.as_py()), end_id], np.int64)
+            for size, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = np.array([*encode(codec.decompress(t, size, asbytes=True).decode()), end_id], np.int64)
                 if ids.max() > most:
                     raise OverflowError(f"token id {ids.max()} doesn't fit {id_type}")
                 each.append(ids.astype(id_type))
