@@ -96,25 +96,45 @@ def name_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.replace(t, F.lit("-"), F.lit(" ")), r"\s+county$", ""), r"\s+", " "))
 
 
-OPINIONS = (("Disclaimer", r"(?i)\bdisclaimer of opinion\b|\bdisclaim"), ("Adverse", r"(?i)\badverse opinion\b"), ("Unqualified", r"(?i)\bunqualified\b|\bunmodified opinion\b"), ("Qualified", r"(?i)\bqualified opinion\b"))
+# The phrases, classes, names and their order decide the results.
+OPINIONS = (("Disclaimer", r"(?i)\bdisclaimer\s+of\s+opinion\b"), ("Adverse", r"(?i)\badverse\s+opinion\b"), ("Unqualified", r"(?i)\bunqualified\s+opinion\b"), ("Qualified", r"(?i)\bqualified\s+opinion\b"))
+SEVERITY = (
+    ("critical", ("irregular expenditure", "unsupported payment", "unaccounted", "embezzlement", "misappropriation", "fraud")),
+    ("warning", ("non-compliance", "late submission", "procurement issue", "weak controls", "pending bills")),
+)
+QUERY_TYPES = (
+    ("Financial Irregularity", ("missing funds", "unaccounted", "irregular payment", "unsupported payment", "unsupported expenditure", "irregular expenditure", "misappropriation", "embezzlement", "fraud", "loss of funds")),
+    ("Asset Management", ("missing asset", "unverified asset", "disposal without authority", "asset register", "unaccounted assets", "idle assets", "asset management")),
+    ("Procurement", ("tender irregular", "single sourc", "price inflation", "procurement irregular", "procurement process", "direct procurement", "restricted tender", "procurement plan")),
+    ("Non-Compliance", ("non-compliance", "failure to comply", "contrary to", "violation of", "statutory requirement", "not in accordance", "failed to follow")),
+    ("Payroll/HR", ("ghost worker", "salary irregular", "unapproved allowance", "payroll", "staff cost", "personnel emolument", "human resource")),
+    ("Revenue Under-Collection", ("revenue under-collection", "own-source revenue", "revenue shortfall", "revenue target", "uncollected revenue", "below target")),
+    ("Cash Management", ("bank reconciliation", "overdraft", "cash management", "cash book", "unreconciled", "cash balance", "imprest")),
+    ("Weak Internal Controls", ("missing documentation", "approval gap", "weak internal control", "weak controls", "internal control", "lack of documentation", "inadequate documentation", "segregation of duties")),
+)
+COUNTIES = (
+    "Nairobi", "Mombasa", "Kisumu", "Nakuru", "Kiambu", "Machakos", "Uasin Gishu", "Kajiado", "Kakamega", "Bungoma", "Kericho", "Bomet", "Turkana", "West Pokot", "Samburu", "Trans Nzoia",
+    "Elgeyo Marakwet", "Nandi", "Baringo", "Laikipia", "Narok", "Siaya", "Homa Bay", "Migori", "Kisii", "Nyamira", "Busia", "Vihiga", "Embu", "Meru", "Tharaka Nithi", "Kitui", "Makueni",
+    "Nyandarua", "Nyeri", "Kirinyaga", "Garissa", "Wajir", "Mandera", "Marsabit", "Isiolo", "Kilifi", "Tana River", "Lamu", "Taita Taveta",
+)
 
 
 def opinion(text: Column) -> Column:
     return cascade([(text.rlike(p), n) for n, p in OPINIONS])
 
 
-SEVERITY = (("critical", r"(?i)fraud|embezzl|loss of (?:public )?funds|irregular payment|misappropriat"), ("warning", r"(?i)delay|unsupported|non-compliance|weakness|unreconciled"))
+def holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, [low.contains(w) for w in words])
 
 
 def severity(text: Column, amount: Column) -> Column:
-    return cascade([(text.rlike(p), n) for n, p in SEVERITY] + [(amount >= 50e6, "critical"), (amount >= 5e6, "warning")], "info")
-
-
-QUERY_TYPES = (("Procurement", r"(?i)procure|tender"), ("Payroll", r"(?i)payroll|salar"), ("Pending Bills", r"(?i)pending bill"), ("Assets", r"(?i)\basset"), ("Revenue", r"(?i)revenue"), ("Financial Irregularity", r"(?i)irregular|unsupported"), ("Project", r"(?i)project|stalled"))
+    """By the first class with a phrase in the text, else by the amount."""
+    return cascade([(holds_any(text, w), n) for n, w in SEVERITY] + [(amount >= 50e6, "critical"), (amount >= 5e6, "warning")], "info")
 
 
 def query_type(text: Column) -> Column:
-    return cascade([(text.rlike(p), n) for n, p in QUERY_TYPES])
+    return cascade([(holds_any(text, w), n) for n, w in QUERY_TYPES])
 
 
 LENDERS = (("multilateral", r"(?i)world bank|ida|imf|adb|afdb"), ("bilateral", r"(?i)china|japan|france|government of"), ("commercial", r"(?i)eurobond|bank|syndicat"), ("domestic", r"(?i)treasury (?:bond|bill)"))
@@ -176,3 +196,26 @@ def indicator(text: Column, word: str, low: float, high: float) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Levenshtein similarity in percent of the longer text."""
     return F.round(100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))), 2)
+
+
+def strict_amount(text: Column) -> Column:
+    """An amount that is nothing but a number, with an optional KES before it and a B or M in it; anything else is 0."""
+    t = F.trim(F.replace(text, F.lit("KES"), F.lit("")))
+    plain = F.when(F.regexp_replace(t, "[.,]", "").rlike(r"^\d+$"), number(t))
+    value = F.when(t.contains("B"), F.replace(t, F.lit("B"), F.lit("")).try_cast("double") * 1e9).when(t.contains("M"), F.replace(t, F.lit("M"), F.lit("")).try_cast("double") * 1e6).otherwise(plain)
+    return F.round(F.coalesce(value, F.lit(0.0)), 2)
+
+
+def bill_amount(text: Column) -> Column:
+    """A pending bill's amount: a number with an optional currency before it; null for dashes and words."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(text), "[, ]", ""), r"(?i)^(?:KES|Kshs?\.?)\s*", "")
+    return F.when(t.rlike(r"^[-+]?\d+(\.\d+)?$"), t.try_cast("double"))
+
+
+def flexible_time(text: Column) -> Column:
+    """ISO date or time, ``YYYY-MM``, ``YYYY`` or epoch seconds, in UTC."""
+    day = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2})?$"), F.replace(text, F.lit("T"), F.lit(" ")).try_cast("timestamp"))
+    month = F.when(text.rlike(r"^\d{4}-\d{2}$"), F.concat(text, F.lit("-01")).try_cast("timestamp"))
+    year = F.when(text.rlike(r"^\d{4}$"), F.concat(text, F.lit("-01-01")).try_cast("timestamp"))
+    epoch = F.when(text.rlike(r"^\d{9,10}$"), F.timestamp_seconds(text.try_cast("bigint")))
+    return F.coalesce(day, month, year, epoch)

@@ -124,7 +124,7 @@ def audit_statistics(r: Roles):
 @query(f"SELECT entity, severity, count(*) AS n, {d('coalesce(sum(amount), 0)')} AS amount FROM findings JOIN entities USING (entity_id) WHERE entity_type = 'NATIONAL' GROUP BY 1, 2")
 def federal_audits(r: Roles):
     e = r.entities.where("entity_type = 'NATIONAL'")
-    return r.findings.join(F.broadcast(e), "entity_id").groupBy("entity", "severity").agg(F.count("*").alias("n"), to_double(F.coalesce(F.sum("amount"), zero())).alias("amount"))
+    return r.findings.join(e, "entity_id").groupBy("entity", "severity").agg(F.count("*").alias("n"), to_double(F.coalesce(F.sum("amount"), zero())).alias("amount"))
 
 
 @query("SELECT printf('FY%d/%02d', audit_year, (audit_year + 1) % 100) AS fy, coalesce(status, 'Unknown') AS status, count(*) AS n FROM findings WHERE entity_id = 7 GROUP BY 1, 2")
@@ -140,7 +140,7 @@ def audit_status(r: Roles):
     return s.select("entity_id", F.when(F.col("w") == 3, "adverse").when(F.col("w") == 2, "qualified").when(F.col("w") == 1, "clean").otherwise("pending").alias("audit_status"))
 
 
-ACCOUNT = """WITH o AS (SELECT entity_id, audit_year, max(CASE opinion WHEN 'Disclaimer' THEN 4 WHEN 'Adverse' THEN 3 WHEN 'Qualified' THEN 2 WHEN 'Unqualified' THEN 1 END) AS op FROM findings WHERE finding_id % 7 = 0 GROUP BY 1, 2),
+ACCOUNT = """WITH o AS (SELECT entity_id, audit_year, max(CASE opinion WHEN 'Disclaimer' THEN 4 WHEN 'Adverse' THEN 3 WHEN 'Qualified' THEN 2 WHEN 'Unqualified' THEN 1 END) AS op FROM findings GROUP BY 1, 2),
     oo AS (SELECT entity_id, max(op) AS worst, arg_max(op, audit_year) AS latest FROM o GROUP BY 1),
     rec AS (SELECT entity_id, count(*) FILTER (WHERE y >= 2) AS recurring FROM (SELECT entity_id, query_type, count(DISTINCT audit_year) AS y FROM findings WHERE query_type IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
     un AS (SELECT entity_id, count(*) FILTER (WHERE lower(status) IN ('pending', 'unresolved', 'recurring')) AS unresolved, sum(amount) AS flagged FROM findings GROUP BY 1),
@@ -154,7 +154,7 @@ def accountability(r: Roles):
     """Scorecard of each entity with the means of its region."""
     f = r.findings
     rank = F.when(F.col("opinion") == "Disclaimer", 4).when(F.col("opinion") == "Adverse", 3).when(F.col("opinion") == "Qualified", 2).when(F.col("opinion") == "Unqualified", 1)
-    op = f.where("finding_id % 7 = 0").groupBy("entity_id", "audit_year").agg(F.max(rank).alias("op")).groupBy("entity_id").agg(F.max("op").alias("worst"), F.max_by("op", "audit_year").alias("latest"))
+    op = f.groupBy("entity_id", "audit_year").agg(F.max(rank).alias("op")).groupBy("entity_id").agg(F.max("op").alias("worst"), F.max_by("op", "audit_year").alias("latest"))
     rec = f.where("query_type is not null").groupBy("entity_id", "query_type").agg(F.countDistinct("audit_year").alias("y")).groupBy("entity_id").agg(F.count_if(F.col("y") >= 2).alias("recurring"))
     un = f.groupBy("entity_id").agg(F.count_if(F.lower("status").isin("pending", "unresolved", "recurring")).alias("unresolved"), F.sum("amount").alias("flagged"))
     ab = r.execution("entity_id").groupBy("entity_id").agg(F.sum("spent").alias("s"), F.sum("allocated").alias("a")).select("entity_id", share(F.col("s"), F.col("a"), 4, 1).alias("absorption"))
@@ -187,10 +187,20 @@ def audit_queries_filter(r: Roles):
     return r.findings.where((F.lower("query_type") == "purchase") & F.lower("severity").isin("critical", "warning")).groupBy("severity", "status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT finding_id, entity_id, CAST(amount AS DOUBLE) AS amount FROM findings WHERE amount IS NOT NULL), s AS (SELECT *, count(*) OVER w AS n, avg(amount) OVER w AS m, stddev_samp(amount) OVER w AS sd FROM e WINDOW w AS (PARTITION BY entity_id)) SELECT entity_id, count(*) FILTER (WHERE n >= 4 AND abs(amount - (m * n - amount) / (n - 1)) > 2 * sd) AS outliers FROM s GROUP BY 1""")
+@query("""WITH e AS (SELECT finding_id, entity_id, CAST(amount AS DECIMAL(38,4)) AS x FROM findings WHERE amount IS NOT NULL), s AS (SELECT entity_id, count(*) AS n, sum(x) AS s, sum(CAST(x * x AS DECIMAL(38,8))) AS q FROM e GROUP BY 1),
+    z AS (SELECT entity_id, n - 1 AS m, CAST(x AS DOUBLE) AS x, CAST(s - x AS DOUBLE) / (n - 1) AS mean, CAST(q - CAST(x * x AS DECIMAL(38,8)) AS DOUBLE) AS q FROM e JOIN s USING (entity_id) WHERE n > 3), v AS (SELECT *, greatest(q - m * mean * mean, 0) / (m - 1) AS var FROM z)
+    SELECT entity_id, count(*) AS checked, count(*) FILTER (WHERE CASE WHEN var = 0 THEN x <> mean ELSE abs(x - mean) / sqrt(var) > 3 END) AS outliers FROM v GROUP BY 1""")
 def outliers(r: Roles):
-    """Values far from the mean of the others of their entity."""
-    w = Window.partitionBy("entity_id")
-    s = r.findings.where("amount is not null").select("entity_id", F.col("amount").cast("double").alias("amount")).withColumns({"n": F.count("*").over(w), "m": F.avg("amount").over(w), "sd": F.stddev_samp("amount").over(w)})
-    far = (F.col("n") >= 4) & (F.abs(F.col("amount") - (F.col("m") * F.col("n") - F.col("amount")) / (F.col("n") - 1)) > 2 * F.col("sd"))
-    return s.groupBy("entity_id").agg(F.count_if(far).alias("outliers"))
+    """Amounts over three standard deviations from the mean of the entity's others, of which there must be three.
+
+    One aggregate of the entities' sums serves every row: its own amount is taken out of them.
+    """
+    x = F.col("amount").cast("decimal(38,4)")
+    square = lambda c: (c.cast("decimal(19,4)") * c.cast("decimal(19,4)")).cast("decimal(38,8)")
+    e = r.findings.where("amount is not null").select("entity_id", x.alias("x"))
+    s = e.groupBy("entity_id").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(square(F.col("x"))).alias("q"))
+    m, mean = F.col("n") - 1, (F.col("s") - F.col("x")).cast("double") / (F.col("n") - 1)
+    z = e.join(s, "entity_id").where("n > 3").select("entity_id", m.alias("m"), mean.alias("mean"), (F.col("q") - square(F.col("x"))).cast("double").alias("q"), F.col("x").cast("double").alias("x"))
+    var = F.greatest(F.col("q") - F.col("m") * F.col("mean") * F.col("mean"), F.lit(0.0)) / (F.col("m") - 1)
+    far = F.when(var == 0, F.col("x") != F.col("mean")).otherwise(F.abs(F.col("x") - F.col("mean")) / F.sqrt(var) > 3)
+    return z.groupBy("entity_id").agg(F.count("*").alias("checked"), F.count_if(far).alias("outliers"))
\ No newline at end of file

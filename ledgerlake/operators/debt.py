@@ -145,14 +145,14 @@ def pending_by_entity(r: Roles):
 
 @query(f"""SELECT {d("sum(CASE WHEN entity_type = 'NATIONAL' THEN amount ELSE 0 END)")} AS national, {d("sum(CASE WHEN entity_type = 'COUNTY' THEN amount ELSE 0 END)")} AS county, {d('sum(amount)')} AS total FROM bills JOIN entities USING (entity_id)""")
 def pending_totals(r: Roles):
-    j = r.bills.join(F.broadcast(r.entities), "entity_id")  # an entity is a row of the 25-row nation table
+    j = r.bills.join(r.entities, "entity_id")  # an entity is a row of the 25-row nation table
     return j.agg(to_double(F.sum(F.when(F.col("entity_type") == "NATIONAL", F.col("amount")).otherwise(zero()))).alias("national"), to_double(F.sum(F.when(F.col("entity_type") == "COUNTY", F.col("amount")).otherwise(zero()))).alias("county"), to_double(F.sum("amount")).alias("total"))
 
 
 @query("SELECT bill_id, coalesce(entity, 'Unknown') AS entity, bill_type, CAST(amount AS DOUBLE) AS amount FROM bills LEFT JOIN (SELECT * FROM entities WHERE entity_id <> 3) e USING (entity_id) WHERE fy = 2000")
 def pending_bills_list(r: Roles):
     known = r.entities.where("entity_id <> 3")
-    return r.bills.where("fy = 2000").join(F.broadcast(known), "entity_id", "left").select("bill_id", F.coalesce("entity", F.lit("Unknown")).alias("entity"), "bill_type", F.col("amount").cast("double").alias("amount"))
+    return r.bills.where("fy = 2000").join(known, "entity_id", "left").select("bill_id", F.coalesce("entity", F.lit("Unknown")).alias("entity"), "bill_type", F.col("amount").cast("double").alias("amount"))
 
 
 @query(f"""SELECT CASE WHEN lender IN ('BUILDING', 'MACHINERY') THEN 'Suppliers' WHEN lender = 'HOUSEHOLD' THEN 'Statutory' ELSE 'Other' END AS bill_type, '180d+' AS age, {d(f'sum({OWED})')} AS amount FROM loans WHERE debt_category = 'PENDING_BILLS' GROUP BY 1""")
@@ -164,6 +164,6 @@ def pending_from_loans(r: Roles):
 @query(f"SELECT coalesce(entity_type, 'ALL') AS entity_type, coalesce(bill_type, 'ALL') AS bill_type, {d('sum(amount)')} AS amount FROM bills JOIN entities USING (entity_id) GROUP BY ROLLUP (entity_type, bill_type)")
 def pending_rollup(r: Roles):
     """Totals at every level in one pass over the facts."""
-    j = r.bills.join(F.broadcast(r.entities.select("entity_id", "entity_type")), "entity_id")
+    j = r.bills.join(r.entities.select("entity_id", "entity_type"), "entity_id")
     s = j.rollup("entity_type", "bill_type").agg(F.sum("amount").alias("a"))
     return s.select(F.coalesce("entity_type", F.lit("ALL")).alias("entity_type"), F.coalesce("bill_type", F.lit("ALL")).alias("bill_type"), to_double(F.col("a")).alias("amount"))

@@ -126,8 +126,18 @@ def county_search(r: Roles):
 
 @query("SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS best, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS worst FROM supplier")
 def metric_ranks(r: Roles):
-    w = Window.partitionBy("s_nationkey")
-    return r.table("supplier").select("s_nationkey", "s_suppkey", F.row_number().over(w.orderBy(F.desc("s_acctbal"), "s_suppkey")).alias("best"), F.row_number().over(w.orderBy("s_acctbal", "s_suppkey")).alias("worst"))
+    """Ranks in both directions: rows are ranked within ranges of the metric, and ranges by their counts.
+
+    An entity's rows are dealt over its ranges, so 25 entities are not 25 tasks.
+    """
+    s = r.table("supplier").select("s_nationkey", "s_suppkey", "s_acctbal", F.floor(F.col("s_acctbal") / 100).alias("range"))
+    n = s.groupBy("s_nationkey", "range").agg(F.count("*").alias("n"))
+    others = Window.partitionBy("s_nationkey").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("s_nationkey", "range", *(F.coalesce(F.sum("n").over(others.orderBy(o)), F.lit(0)).alias(name) for name, o in (("above", F.desc("range")), ("below", F.asc("range")))))
+    w = Window.partitionBy("s_nationkey", "range")
+    best, worst = (F.row_number().over(w.orderBy(o, "s_suppkey")) for o in (F.desc("s_acctbal"), F.asc("s_acctbal")))
+    ranked = s.select("s_nationkey", "s_suppkey", "range", best.alias("b"), worst.alias("w")).join(n, ["s_nationkey", "range"])
+    return ranked.select("s_nationkey", "s_suppkey", (F.col("b") + F.col("above")).cast("int").alias("best"), (F.col("w") + F.col("below")).cast("int").alias("worst"))
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END, 999), c_custkey LIMIT 30")

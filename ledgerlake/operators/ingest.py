@@ -44,10 +44,10 @@ def row_hash(r: Roles):
     return r.table("documents").select("doc_id", F.md5(F.concat_ws("|", *cols).cast("binary")).alias("m"), F.sha2(F.concat_ws(":", *cols).cast("binary"), 256).alias("s"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
 def new_docs(r: Roles):
     seen = r.table("lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
-    return r.table("orders").where("o_orderkey % 3 = 0").select("o_orderkey").join(seen, "o_orderkey", "left_anti")
+    return r.table("orders").select("o_orderkey").join(seen, "o_orderkey", "left_anti")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
@@ -100,9 +100,16 @@ def json_metric_fallback(r: Roles):
     return r.table("events").select("event_id", p["k"].alias("k"), F.coalesce(p["missing"], p["k"]).alias("fallback"))
 
 
-@query("SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS bucket, count(*) AS n FROM events GROUP BY 1")
+@query("""WITH f AS (SELECT entity_id, CASE WHEN severity = 'critical' THEN ['severity:critical', 'type:' || query_type, 'status:' || status] ELSE ['type:' || query_type, 'status:' || status] END AS issues FROM findings), x AS (SELECT entity_id, unnest(issues) AS issue FROM f), t AS (SELECT count(DISTINCT entity_id) AS n FROM findings)
+    SELECT issue, count(*) AS n, count(DISTINCT entity_id) AS entities, round(100.0::DOUBLE * count(DISTINCT entity_id) / max(t.n), 1) AS coverage FROM x, t WHERE issue IS NOT NULL GROUP BY 1""")
 def issue_frequency(r: Roles):
-    return r.table("events").groupBy((F.get_json_object("props", "$.k").cast("bigint") % 10).alias("bucket")).agg(F.count("*").alias("n"))
+    """How often each issue of the findings' lists occurs, and the share of entities it affects."""
+    tag = lambda name, c: F.concat(F.lit(name + ":"), c)
+    issues = F.array(F.when(F.col("severity") == "critical", "severity:critical"), tag("type", F.col("query_type")), tag("status", F.col("status")))
+    f = r.findings.select("entity_id", F.explode(F.array_compact(issues)).alias("issue")).groupBy("issue", "entity_id").agg(F.count("*").alias("n"))
+    total = r.findings.agg(F.countDistinct("entity_id").alias("total"))  # one row
+    g = f.groupBy("issue").agg(F.sum("n").alias("n"), F.count("*").alias("entities"))
+    return g.crossJoin(total).select("issue", "n", "entities", F.round(100.0 * F.col("entities") / F.col("total"), 1).alias("coverage"))
 
 
 @query("SELECT user_id, count(*) AS events, count(DISTINCT CAST(json_extract_string(props, '$.k') AS BIGINT)) AS keys FROM events WHERE event_type = 'error' GROUP BY 1")
@@ -173,11 +180,11 @@ def learning_streak(r: Roles):
     return d.withColumn("island", island).groupBy("user_id", "island").agg(F.count("*").alias("n")).groupBy("user_id").agg(F.max("n").alias("streak"))
 
 
-@query("SELECT e.event_id, c.c_custkey FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 'purchase' AND e.value > 100 AND c.c_custkey % 2 = 0")
+@query("SELECT e.event_id, c.c_custkey FROM events e JOIN customer c ON e.user_id = c.c_custkey WHERE e.event_type = 'purchase' AND e.value > 100 AND c.c_mktsegment <> 'MACHINERY'")
 def notify_watchers(r: Roles):
-    """Fan-out of events to those who watch them."""
+    """Fan-out of events to those who watch them: all segments but one."""
     e = r.table("events").where("event_type = 'purchase' and value > 100").select("event_id", F.col("user_id").alias("c_custkey"))
-    return e.join(r.table("customer").where("c_custkey % 2 = 0").select("c_custkey"), "c_custkey").select("event_id", "c_custkey")
+    return e.join(r.table("customer").where("c_mktsegment <> 'MACHINERY'").select("c_custkey"), "c_custkey").select("event_id", "c_custkey")
 
 
 @query("SELECT coalesce(a.n_name, b.n_name) AS name, CASE WHEN a.n_name IS NULL THEN 'extra' ELSE 'missing' END AS side FROM (SELECT n_name FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_name FROM nation WHERE n_nationkey >= 5) b ON a.n_name = b.n_name WHERE a.n_name IS NULL OR b.n_name IS NULL")

@@ -1,4 +1,4 @@
-"""The text functions at work: on stated literals (the prose of the test tables holds no money or periods) and documents."""
+"""The text functions at work: on the remarks of all orders, documents and pages."""
 
 from __future__ import annotations
 
@@ -8,16 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.registry import Roles, query
 
-#: Inputs of the parsing queries, the same rows for Spark and the oracle.
-SAMPLES = (
-    "KES 1,200 million was not supported", "Ksh. 3.5 billion irregular payment in FY2023/24", "KES 450,000", "no amount in 2021/2022", "KES 2.5B", "KES 300M", "75%", "N/A", "(1,234.5)", "−987", "12,5", "1,234,567", "2022-Q3", "2021-07", "2020",
-    "Nairobi City County", "MURANG'A county", "Trans-Nzoia", "Health & Sanitation", "Disclaimer of Opinion", "an adverse opinion was issued", "Unqualified opinion", "Qualified opinion", "fraud in procurement of tender", "delay in payroll", "stalled project", "World Bank IDA", "Government of China", "Treasury Bond 2031", "Eurobond", "Audit Report 2019", "Budget Estimates", "Debt review", "",
-)
-VALUES = "(SELECT unnest([" + ", ".join("'" + x.replace("'", "''") + "'" for x in SAMPLES) + "]) AS t)"
-
-
-def _samples(r: Roles) -> DataFrame:
-    return r.spark.createDataFrame([(x,) for x in SAMPLES], "t string")
+VALUES = "remarks"
 
 
 def num(x: str) -> str:
@@ -27,98 +18,132 @@ def num(x: str) -> str:
 KES = r"'(?i)(?:KES|KSh\.?|Kshs\.?)\s*([\d,]+(?:\.\d+)?)\s*(trillion|billion|million|thousand|T|B|M|K)?\b'"
 
 
-@query(f"""SELECT t, round({num(f"nullif(regexp_extract(t, {KES}, 1), '')")} * CASE lower(regexp_extract(t, {KES}, 2)) WHEN 'trillion' THEN 1e12 WHEN 't' THEN 1e12 WHEN 'billion' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1 END, 2) AS amount FROM {VALUES}""")
+@query(f"""SELECT k, t, round({num(f"nullif(regexp_extract(t, {KES}, 1), '')")} * CASE lower(regexp_extract(t, {KES}, 2)) WHEN 'trillion' THEN 1e12 WHEN 't' THEN 1e12 WHEN 'billion' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1 END, 2) AS amount FROM {VALUES}""")
 def kes_amount(r: Roles):
-    return _samples(r).select("t", T.kes_amount(F.col("t")).alias("amount"))
+    return r.remarks.select("k", "t", T.kes_amount(F.col("t")).alias("amount"))
 
 
-@query(f"""SELECT t, coalesce(round(TRY_CAST(regexp_replace(upper(t), '[^0-9.]', '', 'g') AS DOUBLE) * CASE upper(right(trim(t), 1)) WHEN 'T' THEN 1e12 WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 WHEN 'K' THEN 1e3 ELSE 1 END, 2), 0) AS amount FROM {VALUES}""")
+@query(f"""SELECT k, t, coalesce(round(TRY_CAST(regexp_replace(upper(t), '[^0-9.]', '', 'g') AS DOUBLE) * CASE upper(right(trim(t), 1)) WHEN 'T' THEN 1e12 WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 WHEN 'K' THEN 1e3 ELSE 1 END, 2), 0) AS amount FROM {VALUES}""")
 def suffix_amount(r: Roles):
-    return _samples(r).select("t", T.suffix_amount(F.col("t")).alias("amount"))
+    return r.remarks.select("k", "t", T.suffix_amount(F.col("t")).alias("amount"))
 
 
 @query(f"""SELECT count(*) FILTER (WHERE regexp_matches(t, 'KES\\s*[\\d,]+')) AS n, sum({num("nullif(regexp_extract(t, 'KES\\s*([\\d,]+)', 1), '')")}) AS total FROM {VALUES}""")
 def kes_regex_sum(r: Roles):
-    return _samples(r).agg(F.count_if(F.col("t").rlike(r"KES\s*[\d,]+")).alias("n"), F.sum(T.plain_kes(F.col("t"))).alias("total"))
+    return r.remarks.agg(F.count_if(F.col("t").rlike(r"KES\s*[\d,]+")).alias("n"), F.sum(T.plain_kes(F.col("t"))).alias("total"))
 
 
-@query(f"""SELECT t, CASE WHEN upper(trim(replace(t, '%', ''))) NOT IN ('N/A', 'NA', '-', '') THEN {num("upper(trim(replace(t, '%', '')))")} END AS pct FROM {VALUES}""")
+@query(f"""SELECT k, t, CASE WHEN upper(trim(replace(t, '%', ''))) NOT IN ('N/A', 'NA', '-', '') THEN {num("upper(trim(replace(t, '%', '')))")} END AS pct FROM {VALUES}""")
 def parse_percentage(r: Roles):
-    return _samples(r).select("t", T.percentage(F.col("t")).alias("pct"))
+    return r.remarks.select("k", "t", T.percentage(F.col("t")).alias("pct"))
 
 
-@query(f"SELECT t, coalesce(nullif(regexp_extract(t, '\\b([A-Z]{{3}})\\b', 1), ''), 'KES') AS code FROM {VALUES}")
+@query(f"SELECT k, t, coalesce(nullif(regexp_extract(t, '\\b([A-Z]{{3}})\\b', 1), ''), 'KES') AS code FROM {VALUES}")
 def parse_currency(r: Roles):
-    return _samples(r).select("t", T.currency_code(F.col("t")).alias("code"))
+    return r.remarks.select("k", "t", T.currency_code(F.col("t")).alias("code"))
 
 
-@query(f"""SELECT t, CASE WHEN regexp_matches(x, '^\\(.*\\)$') THEN -TRY_CAST(regexp_replace(x, '[()]', '', 'g') AS DOUBLE) ELSE TRY_CAST(x AS DOUBLE) END AS v FROM (SELECT t, replace(replace(trim(t), '−', '-'), ',', '') AS x FROM {VALUES})""")
+@query(f"""SELECT k, t, CASE WHEN regexp_matches(x, '^\\(.*\\)$') THEN -TRY_CAST(regexp_replace(x, '[()]', '', 'g') AS DOUBLE) ELSE TRY_CAST(x AS DOUBLE) END AS v FROM (SELECT k, t, replace(replace(trim(t), '−', '-'), ',', '') AS x FROM {VALUES})""")
 def clean_numeric(r: Roles):
-    return _samples(r).select("t", T.accounting_number(F.col("t")).alias("v"))
+    return r.remarks.select("k", "t", T.accounting_number(F.col("t")).alias("v"))
 
 
-@query(f"""SELECT t, TRY_CAST(CASE WHEN regexp_matches(trim(t), '^-?\\d+,\\d{{1,2}}$') THEN replace(trim(t), ',', '.') ELSE replace(trim(t), ',', '') END AS DOUBLE) AS v FROM {VALUES}""")
+@query(f"""SELECT k, t, TRY_CAST(CASE WHEN regexp_matches(trim(t), '^-?\\d+,\\d{{1,2}}$') THEN replace(trim(t), ',', '.') ELSE replace(trim(t), ',', '') END AS DOUBLE) AS v FROM {VALUES}""")
 def decimal_comma(r: Roles):
-    return _samples(r).select("t", T.decimal_comma(F.col("t")).alias("v"))
+    return r.remarks.select("k", "t", T.decimal_comma(F.col("t")).alias("v"))
 
 
 FYP = r"'(?i)(?:FY\s*)?((?:19|20)\d{2})\s*[/-]\s*(?:(?:19|20)?(\d{2}))\b'"
 
 
-@query(f"""SELECT t, CASE WHEN a <> '' THEN 'FY' || a || '/' || b WHEN y <> '' THEN printf('FY%d/%02d', CAST(y AS INTEGER), (CAST(y AS INTEGER) + 1) % 100) END AS label, CASE WHEN a <> '' THEN 0.9::DOUBLE WHEN y <> '' THEN 0.5::DOUBLE END AS confidence
-    FROM (SELECT t, regexp_extract(t, {FYP}, 1) AS a, regexp_extract(t, {FYP}, 2) AS b, regexp_extract(t, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y FROM {VALUES})""")
+@query(f"""SELECT k, t, CASE WHEN a <> '' THEN 'FY' || a || '/' || b WHEN y <> '' THEN printf('FY%d/%02d', CAST(y AS INTEGER), (CAST(y AS INTEGER) + 1) % 100) END AS label, CASE WHEN a <> '' THEN 0.9::DOUBLE WHEN y <> '' THEN 0.5::DOUBLE END AS confidence
+    FROM (SELECT k, t, regexp_extract(t, {FYP}, 1) AS a, regexp_extract(t, {FYP}, 2) AS b, regexp_extract(t, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y FROM {VALUES})""")
 def fiscal_period_parse(r: Roles):
-    return _samples(r).select("t", T.fiscal_label(F.col("t")).alias("label"), T.fiscal_confidence(F.col("t")).alias("confidence"))
+    return r.remarks.select("k", "t", T.fiscal_label(F.col("t")).alias("label"), T.fiscal_confidence(F.col("t")).alias("confidence"))
 
 
-@query(f"""SELECT t, CASE WHEN regexp_matches(t, '^\\d{{4}}-\\d{{2}}$') THEN make_date(CAST(left(t, 4) AS BIGINT), CAST(right(t, 2) AS BIGINT), 1) WHEN regexp_matches(t, '^\\d{{4}}-Q[1-4]$') THEN make_date(CAST(left(t, 4) AS BIGINT), CAST(right(t, 1) AS BIGINT) * 3 - 2, 1) WHEN regexp_matches(t, '^\\d{{4}}') THEN make_date(CAST(left(t, 4) AS BIGINT), 1, 1) END AS day FROM {VALUES}""")
+@query(f"""SELECT k, t, CASE WHEN regexp_matches(t, '^\\d{{4}}-\\d{{2}}$') THEN make_date(CAST(left(t, 4) AS BIGINT), CAST(right(t, 2) AS BIGINT), 1) WHEN regexp_matches(t, '^\\d{{4}}-Q[1-4]$') THEN make_date(CAST(left(t, 4) AS BIGINT), CAST(right(t, 1) AS BIGINT) * 3 - 2, 1) WHEN regexp_matches(t, '^\\d{{4}}') THEN make_date(CAST(left(t, 4) AS BIGINT), 1, 1) END AS day FROM {VALUES}""")
 def period_to_date(r: Roles):
-    return _samples(r).select("t", T.period_date(F.col("t")).alias("day"))
+    return r.remarks.select("k", "t", T.period_date(F.col("t")).alias("day"))
+
+
+@query(r"""SELECT k, t, round(coalesce(CASE WHEN contains(x, 'B') THEN TRY_CAST(replace(x, 'B', '') AS DOUBLE) * 1e9 WHEN contains(x, 'M') THEN TRY_CAST(replace(x, 'M', '') AS DOUBLE) * 1e6 WHEN regexp_matches(regexp_replace(x, '[.,]', '', 'g'), '^\d+$') THEN TRY_CAST(replace(x, ',', '') AS DOUBLE) END, 0), 2) AS amount FROM (SELECT k, t, trim(replace(t, 'KES', '')) AS x FROM remarks)""")
+def strict_amount(r: Roles):
+    return r.remarks.select("k", "t", T.strict_amount(F.col("t")).alias("amount"))
+
+
+@query(r"""SELECT k, t, CASE WHEN regexp_matches(x, '^[-+]?\d+(\.\d+)?$') THEN TRY_CAST(x AS DOUBLE) END AS amount FROM (SELECT k, t, regexp_replace(regexp_replace(trim(t), '[, ]', '', 'g'), '(?i)^(?:KES|Kshs?\.?)\s*', '') AS x FROM remarks)""")
+def bill_amount(r: Roles):
+    return r.remarks.select("k", "t", T.bill_amount(F.col("t")).alias("amount"))
+
+
+@query(r"""SELECT k, t, CASE WHEN regexp_matches(t, '^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2})?$') THEN strftime(TRY_CAST(t AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') WHEN regexp_matches(t, '^\d{4}-\d{2}$') THEN t || '-01 00:00:00' WHEN regexp_matches(t, '^\d{4}$') THEN t || '-01-01 00:00:00' WHEN regexp_matches(t, '^\d{9,10}$') THEN strftime(make_timestamp(CAST(t AS BIGINT) * 1000000), '%Y-%m-%d %H:%M:%S') END AS moment FROM remarks""")
+def flexible_date(r: Roles):
+    """Any of several forms of a date, as UTC text."""
+    return r.remarks.select("k", "t", F.date_format(T.flexible_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("moment"))
+
 
+@query("SELECT k, t[1:200] AS start, replace(t, ' County', '') AS short, string_split(t, ' ')[1] AS first_word FROM remarks")
+def text_cut(r: Roles):
+    """The first 200 characters, the name without its suffix, and the first word."""
+    t = F.col("t")
+    return r.remarks.select("k", F.substring(t, 1, 200).alias("start"), F.replace(t, F.lit(" County"), F.lit("")).alias("short"), F.get(F.split(t, " ", -1), 0).alias("first_word"))
 
-@query(f"SELECT t, regexp_replace(replace(replace(lower(trim(t)), '&', 'and'), ' ', '-'), '[^a-z0-9-]', '', 'g') AS slug FROM {VALUES}")
+
+@query(f"SELECT k, t, regexp_replace(replace(replace(lower(trim(t)), '&', 'and'), ' ', '-'), '[^a-z0-9-]', '', 'g') AS slug FROM {VALUES}")
 def slugify(r: Roles):
-    return _samples(r).select("t", T.slug(F.col("t")).alias("slug"))
+    return r.remarks.select("k", "t", T.slug(F.col("t")).alias("slug"))
+
 
+NAMES = ", ".join("('" + x + "')" for x in T.COUNTIES)
+KEY = r"trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(trim({0})), '[‘’''`´]', '', 'g'), '-', ' '), '\s+county$', ''), '\s+', ' ', 'g'))"
 
-ENTITIES = (("nairobi city", "Nairobi"), ("nairobi", "Nairobi"), ("muranga", "Murang'a"), ("trans nzoia", "Trans Nzoia"))
 
+def names(r: Roles) -> DataFrame:
+    """The gazetteer: a fixed list of 45 names, with their comparable forms."""
+    return r.spark.createDataFrame([(x,) for x in T.COUNTIES], "name string").withColumn("key", T.name_key(F.col("name")))
 
-@query(f"""WITH k AS (SELECT t, trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(trim(t)), '[‘’''`´]', '', 'g'), '-', ' '), '\\s+county$', ''), '\\s+', ' ', 'g')) AS key FROM {VALUES}), e AS (SELECT * FROM (VALUES {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in ENTITIES)}) v(key, name))
-    SELECT t, name, CASE WHEN name IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM k LEFT JOIN e USING (key)""")
+
+@query(f"""WITH q AS (SELECT k, t, {KEY.format("t")} AS key FROM {VALUES}), e AS (SELECT name, {KEY.format("name")} AS key FROM (VALUES {NAMES}) v(name))
+    SELECT k, t, name, CASE WHEN name IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM q LEFT JOIN e USING (key)""")
 def normalize_entity(r: Roles):
-    """Exact matches of comparable forms; the list of names is a fixed, small table."""
-    known = r.spark.createDataFrame(list(ENTITIES), "key string, name string")
-    return _samples(r).withColumn("key", T.name_key(F.col("t"))).join(F.broadcast(known), "key", "left").select("t", "name", F.when(F.col("name").isNotNull(), 1.0).alias("confidence"))
+    """Exact matches of comparable forms."""
+    return r.remarks.withColumn("key", T.name_key(F.col("t"))).join(F.broadcast(names(r)), "key", "left").select("k", "t", "name", F.when(F.col("name").isNotNull(), 1.0).alias("confidence"))
 
 
 def _cases(rules, default: str | None = None) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in rules) + (f" ELSE '{default}'" if default else "") + " END"
+    """Rules by pattern, or by any of several phrases."""
+    test = lambda p: f"regexp_matches(t, '{p}')" if isinstance(p, str) else "(" + " OR ".join(f"contains(lower(t), '{w}')" for w in p) + ")"
+    return "CASE " + " ".join(f"WHEN {test(p)} THEN '{n}'" for n, p in rules) + (f" ELSE '{default}'" if default else "") + " END"
 
 
-@query(f"SELECT t, {_cases(T.OPINIONS)} AS opinion FROM {VALUES}")
+@query(f"SELECT k, t, {_cases(T.OPINIONS)} AS opinion FROM {VALUES}")
 def extract_opinion(r: Roles):
-    return _samples(r).select("t", T.opinion(F.col("t")).alias("opinion"))
+    return r.remarks.select("k", "t", T.opinion(F.col("t")).alias("opinion"))
+
 
+AMOUNT = f"""round({num(f"nullif(regexp_extract(t, {KES}, 1), '')")} * CASE lower(regexp_extract(t, {KES}, 2)) WHEN 'trillion' THEN 1e12 WHEN 't' THEN 1e12 WHEN 'billion' THEN 1e9 WHEN 'b' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'm' THEN 1e6 WHEN 'thousand' THEN 1e3 WHEN 'k' THEN 1e3 ELSE 1 END, 2)"""
 
-@query(f"SELECT t, {_cases(T.SEVERITY, 'info')} AS severity FROM {VALUES}")
+
+@query(f"SELECT k, t, coalesce({_cases(T.SEVERITY)}, CASE WHEN {AMOUNT} >= 50e6 THEN 'critical' WHEN {AMOUNT} >= 5e6 THEN 'warning' ELSE 'info' END) AS severity FROM {VALUES}")
 def classify_severity(r: Roles):
-    return _samples(r).select("t", T.severity(F.col("t"), F.lit(0.0)).alias("severity"))
+    """By phrases, else by the amount in the text."""
+    return r.remarks.select("k", "t", T.severity(F.col("t"), T.kes_amount(F.col("t"))).alias("severity"))
 
 
-@query(f"SELECT t, {_cases(T.QUERY_TYPES)} AS query_type FROM {VALUES}")
+@query(f"SELECT k, t, {_cases(T.QUERY_TYPES)} AS query_type FROM {VALUES}")
 def classify_query_type(r: Roles):
-    return _samples(r).select("t", T.query_type(F.col("t")).alias("query_type"))
+    return r.remarks.select("k", "t", T.query_type(F.col("t")).alias("query_type"))
 
 
-@query(f"SELECT t, {_cases([T.LENDERS[0], T.LENDERS[1], T.LENDERS[3], T.LENDERS[2]], 'other')} AS kind FROM {VALUES}")
+@query(f"SELECT k, t, {_cases([T.LENDERS[0], T.LENDERS[1], T.LENDERS[3], T.LENDERS[2]], 'other')} AS kind FROM {VALUES}")
 def classify_loan(r: Roles):
-    return _samples(r).select("t", T.lender_kind(F.col("t")).alias("kind"))
+    return r.remarks.select("k", "t", T.lender_kind(F.col("t")).alias("kind"))
 
 
-@query(f"SELECT t, {_cases(T.DOCUMENTS, 'other')} AS kind FROM {VALUES}")
+@query(f"SELECT k, t, {_cases(T.DOCUMENTS, 'other')} AS kind FROM {VALUES}")
 def classify_doc(r: Roles):
-    return _samples(r).select("t", T.document_kind(F.col("t")).alias("kind"))
+    return r.remarks.select("k", "t", T.document_kind(F.col("t")).alias("kind"))
 
 
 STRONG, WEAK = ("the ", "la "), (" of", " en", " der")
@@ -153,11 +178,15 @@ def html_links(r: Roles):
     return r.table("pages").select("page_id", F.size(links).cast("bigint").alias("links"), F.coalesce(F.get(links, 0), F.lit("")).alias("first_link"))
 
 
-@query("""SELECT page_id, CASE WHEN link LIKE 'http%' THEN link WHEN link LIKE '/%' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || link ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' || link END AS resolved FROM (SELECT page_id, url, coalesce(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)[1], '') AS link FROM pages)""")
+SITE = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
+
+
+@query(f"""SELECT page_id, link, CASE WHEN link LIKE 'http%' THEN link WHEN link LIKE '/%' THEN {SITE} || link ELSE {SITE} || '/' || link END AS resolved FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS link FROM pages)""")
 def url_resolve(r: Roles):
-    link = F.coalesce(F.get(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1), 0), F.lit(""))
-    site = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
-    return r.table("pages").select("page_id", F.when(link.startswith("http"), link).when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(site, F.lit("/"), link)).alias("resolved"))
+    """Every link of a page, resolved against its site."""
+    link, site = F.col("link"), F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
+    links = r.table("pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)).alias("link"))
+    return links.select("page_id", "link", F.when(link.startswith("http"), link).when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(site, F.lit("/"), link)).alias("resolved"))
 
 
 @query("SELECT page_id, CAST(10 * CAST(contains(url, '/en/') AS INTEGER) + 10 * CAST(contains(url, 'page=') AS INTEGER) - 15 * CAST(contains(url, 'spam') AS INTEGER) AS INTEGER) AS score FROM pages")
@@ -174,9 +203,9 @@ def search_multi(r: Roles):
 
 @query("""WITH lines AS (SELECT page_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS x FROM (SELECT page_id, string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10)) AS l FROM pages)), h AS (SELECT *, last_value(CASE WHEN regexp_matches(x, '^[A-Z]') THEN x END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS head FROM lines WHERE x <> '') SELECT page_id, count(*) AS lines, count(DISTINCT head) AS heads, count(*) FILTER (WHERE head IS NULL) AS before FROM h GROUP BY 1""")
 def carry_forward_header(r: Roles):
-    """The last header line seen is carried to the lines below it."""
-    from pyspark.sql import Window
-
-    lines = r.table("pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n", -1)).alias("pos", "x")).where("x <> ''")
-    head = F.last(F.when(F.col("x").rlike("^[A-Z]"), F.col("x")), ignorenulls=True).over(Window.partitionBy("page_id").orderBy("pos"))
-    return lines.withColumn("head", head).groupBy("page_id").agg(F.count("*").alias("lines"), F.countDistinct("head").alias("heads"), F.count_if(F.col("head").isNull()).alias("before"))
+    """The last header line seen is carried to the lines below it, in a fold over the page's own lines."""
+    lines = F.filter(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n", -1), lambda x: x != "")
+    p = r.table("pages").select("page_id", lines.alias("l")).where(F.size("l") > 0)
+    is_head = lambda x: x.rlike("^[A-Z]")
+    first = F.array_position(F.transform("l", is_head), True)
+    return p.select("page_id", F.size("l").cast("bigint").alias("lines"), F.size(F.array_distinct(F.filter("l", is_head))).cast("bigint").alias("heads"), F.when(first > 0, first - 1).otherwise(F.size("l")).cast("bigint").alias("before"))

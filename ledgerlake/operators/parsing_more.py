@@ -1,4 +1,4 @@
-"""Further text functions at work, on stated literals."""
+"""Further text functions at work, on the remarks of all orders."""
 
 from __future__ import annotations
 
@@ -8,19 +8,12 @@ from ..functions import text as T
 from ..plans.registry import Roles, query
 from ..sources.roles import share
 from .budget import HEALTH_SQL, health, pct, sums
+from .parsing import NAMES
 
-SAMPLES = (
-    "USD 2 million grant", "KES 3.5 billion paid", "KSh. 750 thousand", "about 1,234 items", "2.5B KES", "40M KES owed", "7 KES", "pending of 12.5 due", "arrears of 45,000 in total", "a sum of 3 million shillings", "inflation rose to 6.3%", "unemployment stood at 5.7 per cent", "inflation of 99%",
-    "Finding.\nManagement response: we will pay\nNEXT SECTION\nmore", "Management Response: noted", "Audit of Nairobi City", "County of Kisumu and Nairobi", "Muranga", "Nairobbi", "Kisimu", "",
-)
-VALUES = "(SELECT unnest([" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in SAMPLES) + "]) AS t)"
+VALUES = "remarks"
 NUMBER = r"'([\d,]*\d(?:\.\d+)?)'"
 
 
-def _samples(r: Roles):
-    return r.spark.createDataFrame([(x,) for x in SAMPLES], "t string")
-
-
 def num(x: str) -> str:
     return f"TRY_CAST(replace({x}, ',', '') AS DOUBLE)"
 
@@ -28,24 +21,24 @@ def num(x: str) -> str:
 PAT = r"'(?i)\b(KES|KSh|USD)\.?\s*([\d,]+(?:\.\d+)?)\s*(billion|million|thousand)?'"
 
 
-@query(f"""SELECT t, round(coalesce({num(f'regexp_extract(t, {PAT}, 2)')} * CASE lower(regexp_extract(t, {PAT}, 3)) WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 ELSE 1 END * CASE WHEN upper(regexp_extract(t, {PAT}, 1)) = 'USD' THEN 129 ELSE 1 END, {num(f'regexp_extract(t, {NUMBER}, 1)')}), 2) AS amount FROM {VALUES}""")
+@query(f"""SELECT k, t, round(coalesce({num(f'regexp_extract(t, {PAT}, 2)')} * CASE lower(regexp_extract(t, {PAT}, 3)) WHEN 'billion' THEN 1e9 WHEN 'million' THEN 1e6 WHEN 'thousand' THEN 1e3 ELSE 1 END * CASE WHEN upper(regexp_extract(t, {PAT}, 1)) = 'USD' THEN 129 ELSE 1 END, {num(f'regexp_extract(t, {NUMBER}, 1)')}), 2) AS amount FROM {VALUES}""")
 def money_normalize(r: Roles):
-    return _samples(r).select("t", T.money_in_kes(F.col("t")).alias("amount"))
+    return r.remarks.select("k", "t", T.money_in_kes(F.col("t")).alias("amount"))
 
 
-@query(f"""SELECT t, round(TRY_CAST(regexp_extract(t, '([\\d.]+)\\s*([BM])\\s*KES', 1) AS DOUBLE) * CASE regexp_extract(t, '([\\d.]+)\\s*([BM])\\s*KES', 2) WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 END, 2) AS amount FROM {VALUES}""")
+@query(f"""SELECT k, t, round(TRY_CAST(regexp_extract(t, '([\\d.]+)\\s*([BM])\\s*KES', 1) AS DOUBLE) * CASE regexp_extract(t, '([\\d.]+)\\s*([BM])\\s*KES', 2) WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 END, 2) AS amount FROM {VALUES}""")
 def amount_before_kes(r: Roles):
-    return _samples(r).select("t", T.amount_before_kes(F.col("t")).alias("amount"))
+    return r.remarks.select("k", "t", T.amount_before_kes(F.col("t")).alias("amount"))
 
 
-@query(f"""SELECT t, round(CASE WHEN contains(near, 'billion') THEN v * 1e9 WHEN contains(near, 'million') THEN v * 1e6 WHEN v < 100 THEN v * 1e9 WHEN v < 1e5 THEN v * 1e6 ELSE v END, 2) AS amount FROM (SELECT t, {num(f'regexp_extract(t, {NUMBER}, 1)')} AS v, lower(regexp_extract(t, '((?:.{{0,30}})\\d(?:.{{0,30}}))', 1)) AS near FROM {VALUES})""")
+@query(f"""SELECT k, t, round(CASE WHEN contains(near, 'billion') THEN v * 1e9 WHEN contains(near, 'million') THEN v * 1e6 WHEN v < 100 THEN v * 1e9 WHEN v < 1e5 THEN v * 1e6 ELSE v END, 2) AS amount FROM (SELECT k, t, {num(f'regexp_extract(t, {NUMBER}, 1)')} AS v, lower(regexp_extract(t, '((?:.{{0,30}})\\d(?:.{{0,30}}))', 1)) AS near FROM {VALUES})""")
 def context_amount(r: Roles):
-    return _samples(r).select("t", T.context_amount(F.col("t")).alias("amount"))
+    return r.remarks.select("k", "t", T.context_amount(F.col("t")).alias("amount"))
 
 
-@query(f"""SELECT t, trim(nullif(regexp_extract(t, '(?s)Management [Rr]esponse:\\s*(.*?)(?:\\n[A-Z][A-Z ]+\\n|$)', 1), '')) AS response FROM {VALUES}""")
+@query(f"""SELECT k, t, trim(nullif(regexp_extract(t, '(?s)Management [Rr]esponse:\\s*(.*?)(?:\\n[A-Z][A-Z ]+\\n|$)', 1), '')) AS response FROM {VALUES}""")
 def extract_responses(r: Roles):
-    return _samples(r).select("t", T.response(F.col("t")).alias("response"))
+    return r.remarks.select("k", "t", T.response(F.col("t")).alias("response"))
 
 
 def _ind(word: str, low: int, high: int) -> str:
@@ -53,39 +46,68 @@ def _ind(word: str, low: int, high: int) -> str:
     return f"CASE WHEN {v} BETWEEN {low} AND {high} THEN {v} END"
 
 
-@query(f"SELECT t, {_ind('inflation', 0, 50)} AS inflation, {_ind('unemployment', 0, 100)} AS unemployment FROM {VALUES}")
+@query(f"SELECT k, t, {_ind('inflation', 0, 50)} AS inflation, {_ind('unemployment', 0, 100)} AS unemployment FROM {VALUES}")
 def indicator_extract(r: Roles):
-    return _samples(r).select("t", T.indicator(F.col("t"), "inflation", 0, 50).alias("inflation"), T.indicator(F.col("t"), "unemployment", 0, 100).alias("unemployment"))
-
+    return r.remarks.select("k", "t", T.indicator(F.col("t"), "inflation", 0, 50).alias("inflation"), T.indicator(F.col("t"), "unemployment", 0, 100).alias("unemployment"))
 
-PLACES = ("Nairobi", "Kisumu", "Mombasa")
 
-
-@query(f"SELECT t, {'CASE ' + ' '.join(f'''WHEN contains(lower(t), '{p.lower()}') THEN '{p}' ''' for p in PLACES) + 'END'} AS entity FROM {VALUES}")
+@query(f"SELECT k, t, {'CASE ' + ' '.join(f"WHEN contains(lower(t), '{p.lower()}') THEN '{p}'" for p in T.COUNTIES) + ' END'} AS entity FROM {VALUES}")
 def infer_entity(r: Roles):
-    """The first name of an ordered list that the text mentions."""
+    """The first name of the gazetteer, in its order, that the text mentions."""
     t = F.lower("t")
-    return _samples(r).select("t", T.cascade([(t.contains(p.lower()), p) for p in PLACES]).alias("entity"))
+    return r.remarks.select("k", "t", T.cascade([(t.contains(p.lower()), p) for p in T.COUNTIES]).alias("entity"))
 
 
-@query(f"""WITH p AS (SELECT unnest({list(PLACES)}) AS name), s AS (SELECT t, name, round(100.0::DOUBLE * (1 - levenshtein(lower(t), lower(name)) / greatest(length(t), length(name), 1)::DOUBLE), 2) AS score FROM {VALUES}, p) SELECT t, max_by(name, score) AS name, max(score) AS score FROM s GROUP BY t HAVING max(score) > 70""")
+@query(f"""WITH s AS (SELECT k, t, name, round(100.0::DOUBLE * (1 - levenshtein(lower(t), lower(name)) / greatest(length(t), length(name), 1)::DOUBLE), 2) AS score FROM remarks, (VALUES {NAMES}) p(name)) SELECT k, t, name, score FROM (SELECT *, row_number() OVER (PARTITION BY k, t ORDER BY score DESC, name) AS n FROM s WHERE score > 70) WHERE n = 1""")
 def normalize_entity_fuzzy(r: Roles):
-    """Nearest name above 70 %; the names are a fixed, small list."""
-    names = r.spark.createDataFrame([(p,) for p in PLACES], "name string")
-    s = _samples(r).crossJoin(F.broadcast(names)).withColumn("score", T.similarity(F.lower("t"), F.lower("name")))
-    return s.groupBy("t").agg(F.max_by("name", "score").alias("name"), F.max("score").alias("score")).where("score > 70")
+    """Nearest name above 70 %, of equals the first by name: a fold over the fixed list, within each row."""
+    scored = F.array(*(F.struct(-T.similarity(F.lower("t"), F.lit(p.lower())), F.lit(p).alias("name")) for p in T.COUNTIES))
+    best = F.array_min(scored)
+    return r.remarks.withColumn("best", best).select("k", "t", F.col("best.name").alias("name"), (-F.col("best.col1")).alias("score")).where("score > 70")
+
+
+CELL = r"trim(regexp_replace({0}, '<[^>]*>', '', 'g'))"
+DEBTS = r"'(?i)(total|external|domestic)\s+(?:public\s+)?debt[:\s]+(?:kes\s+)?(\d+(?:[.,]\d+)?)\s*(trillion|billion|million)'"
+
+
+def _report(r: Roles):
+    """A debt report of each entity as an HTML table and a sentence, from its loans."""
+    s = r.loans.groupBy("entity_id").agg(F.floor(F.sum("principal")).cast("bigint").alias("total"), F.floor(F.sum(F.when(F.col("debt_category").startswith("EXTERNAL"), F.col("principal")))).cast("bigint").alias("external"), F.floor(F.sum(F.when(F.col("debt_category").startswith("DOMESTIC"), F.col("principal")))).cast("bigint").alias("domestic"))
+    row = lambda label, c: F.concat(F.lit(f"<tr><th>{label}</th><td>KES "), F.coalesce(F.col(c), F.lit(0)).cast("string"), F.lit("</td></tr>"))
+    html = F.concat(F.lit("<table><tr><th>Item</th><td>Amount</td></tr>"), row("<b>Total</b> public debt", "total"), row("External debt", "external"), row("Domestic debt", "domestic"), F.lit("</table><p>Total public debt: KES "), F.floor(F.col("total") / 1000000).cast("string"), F.lit(" million</p>"))
+    return s.select("entity_id", html.alias("html"))
+
+
+REPORT = """SELECT entity_id, '<table><tr><th>Item</th><td>Amount</td></tr><tr><th><b>Total</b> public debt</th><td>KES ' || total || '</td></tr><tr><th>External debt</th><td>KES ' || coalesce(external, 0) || '</td></tr><tr><th>Domestic debt</th><td>KES ' || coalesce(domestic, 0) || '</td></tr></table><p>Total public debt: KES ' || CAST(floor(total / 1000000) AS BIGINT) || ' million</p>' AS html
+    FROM (SELECT entity_id, CAST(floor(sum(principal)) AS BIGINT) AS total, CAST(floor(sum(principal) FILTER (WHERE starts_with(debt_category, 'EXTERNAL'))) AS BIGINT) AS external, CAST(floor(sum(principal) FILTER (WHERE starts_with(debt_category, 'DOMESTIC'))) AS BIGINT) AS domestic FROM loans GROUP BY 1)"""
+
+
+@query(rf"""WITH h AS ({REPORT}), x AS (SELECT entity_id, unnest(regexp_extract_all(html, '(?s)<tr>(.*?)</tr>', 1)) AS row FROM h), c AS (SELECT entity_id, lower({CELL.format("regexp_extract(row, '(?s)<th>(.*?)</th>', 1)")}) AS label, TRY_CAST(regexp_replace({CELL.format("regexp_extract(row, '(?s)<td>(.*?)</td>', 1)")}, '[^0-9.]', '', 'g') AS DOUBLE) AS amount FROM x)
+    SELECT entity_id, CASE WHEN contains(label, 'total') AND contains(label, 'debt') THEN 'total' WHEN contains(label, 'external') THEN 'external' ELSE 'domestic' END AS category, amount FROM c WHERE amount IS NOT NULL AND ((contains(label, 'total') AND contains(label, 'debt')) OR contains(label, 'external') OR contains(label, 'domestic'))""")
+def debt_table_extract(r: Roles):
+    """Debt rows of an HTML table: label and amount cells, classed by the label."""
+    cell = lambda c, tag: F.trim(F.regexp_replace(F.regexp_extract(c, f"(?s)<{tag}>(.*?)</{tag}>", 1), "<[^>]*>", ""))
+    rows = _report(r).select("entity_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<tr>(.*?)</tr>"), 1)).alias("row"))
+    c = rows.select("entity_id", F.lower(cell("row", "th")).alias("label"), F.regexp_replace(cell("row", "td"), "[^0-9.]", "").try_cast("double").alias("amount"))
+    label = F.col("label")
+    kind = F.when(label.contains("total") & label.contains("debt"), "total").when(label.contains("external"), "external").when(label.contains("domestic"), "domestic")
+    return c.select("entity_id", kind.alias("category"), "amount").where("amount is not null and category is not null")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS paragraphs, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+@query(rf"""WITH h AS ({REPORT}) SELECT entity_id, lower(regexp_extract(t, {DEBTS}, 1)) AS category, round(TRY_CAST(replace(regexp_extract(t, {DEBTS}, 2), ',', '') AS DOUBLE) * CASE lower(regexp_extract(t, {DEBTS}, 3)) WHEN 'trillion' THEN 1e12 WHEN 'billion' THEN 1e9 ELSE 1e6 END, 2) AS amount FROM (SELECT entity_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS t FROM h) WHERE regexp_matches(t, {DEBTS})""")
 def debt_text_extract(r: Roles):
-    """Fields of a page by patterns."""
-    return r.table("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(<p>)"), 1)).cast("bigint").alias("paragraphs"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    """The first debt figure of a report's text."""
+    pattern = DEBTS.strip("'")
+    t = _report(r).select("entity_id", F.regexp_replace("html", "<[^>]*>", " ").alias("t")).where(F.col("t").rlike(pattern))
+    unit = F.lower(F.regexp_extract("t", pattern, 3))
+    return t.select("entity_id", F.lower(F.regexp_extract("t", pattern, 1)).alias("category"), F.round(T.number(F.regexp_extract("t", pattern, 2)) * F.when(unit == "trillion", 1e12).when(unit == "billion", 1e9).otherwise(1e6), 2).alias("amount"))
 
 
-@query("SELECT source, CASE WHEN n < 45 THEN 'fresh' WHEN n <= 180 THEN 'aging' ELSE 'stale' END AS status FROM (SELECT source, min(n_chars) AS n FROM documents GROUP BY 1)")
+@query("SELECT entity_id, CASE WHEN n < 45 THEN 'fresh' WHEN n <= 180 THEN 'aging' ELSE 'stale' END AS status FROM (SELECT entity_id, date_diff('day', max(issue_date), DATE '2001-12-31') AS n FROM loans WHERE debt_category IS NOT NULL GROUP BY 1)")
 def freshness_status(r: Roles):
-    s = r.table("documents").groupBy("source").agg(F.min("n_chars").alias("n"))
-    return s.select("source", F.when(F.col("n") < 45, "fresh").when(F.col("n") <= 180, "aging").otherwise("stale").alias("status"))
+    """Age in days of the newest loan of each entity at the end of 2001."""
+    s = r.loans.where("debt_category is not null").groupBy("entity_id").agg(F.datediff(F.lit("2001-12-31").cast("date"), F.max("issue_date")).alias("n"))
+    return s.select("entity_id", F.when(F.col("n") < 45, "fresh").when(F.col("n") <= 180, "aging").otherwise("stale").alias("status"))
 
 
 @query(f"SELECT entity_id, {HEALTH_SQL} AS score FROM (SELECT entity_id, {pct('sum(spent)', 'sum(allocated)', 1)} AS u FROM budget_lines GROUP BY 1)")

@@ -18,7 +18,7 @@ def analytics_summary(r: Roles):
 @query(f"SELECT region, count(*) AS findings, {d('sum(amount) FILTER (WHERE severity IN (' + chr(39) + 'critical' + chr(39) + ', ' + chr(39) + 'warning' + chr(39) + '))')} AS serious FROM findings JOIN entities USING (entity_id) GROUP BY 1")
 def county_statistics(r: Roles):
     serious = F.sum(F.when(F.col("severity").isin("critical", "warning"), F.col("amount")))
-    return r.findings.join(F.broadcast(r.entities), "entity_id").groupBy("region").agg(F.count("*").alias("findings"), to_double(serious).alias("serious"))
+    return r.findings.join(r.entities, "entity_id").groupBy("region").agg(F.count("*").alias("findings"), to_double(serious).alias("serious"))
 
 
 @query(f"WITH s AS (SELECT entity_id, sum(amount) FILTER (WHERE follow_up = 'Recurring') AS missing, sum(amount) AS total FROM findings GROUP BY 1) SELECT {d('sum(missing)')} AS missing, count(*) FILTER (WHERE missing > 0) AS affected, round(avg(CAST(missing AS DOUBLE) / CAST(total AS DOUBLE)), 6) AS mean_ratio FROM s")
@@ -131,80 +131,87 @@ def unit_conversion(r: Roles):
     return b.groupBy(F.lower("category").alias("category")).agg(F.round(F.sum("allocated").cast("double") / 1e9, 6).alias("billions"))
 
 
-MAP = '{"Nairobi": {"budget": 10.5, "issues": ["a", "b"]}, "Mombasa": {"budget": 4.0, "issues": []}, "Kisumu": {"budget": null, "issues": ["c"]}}'
 
 
-@query("SELECT * FROM (VALUES ('Nairobi', 10.5::DOUBLE, 2), ('Mombasa', 4.0::DOUBLE, 0), ('Kisumu', NULL, 1)) v(county, budget, issues)")
+@query("SELECT entity, CASE WHEN n > 0 THEN round(CAST(a AS DOUBLE) / 1e6, 2) END AS budget, n AS issues FROM (SELECT entity, sum(amount) AS a, count(DISTINCT query_type) AS n FROM findings JOIN entities USING (entity_id) GROUP BY 1)")
 def json_map_explode(r: Roles):
-    """A JSON map of records as rows."""
-    doc = r.spark.createDataFrame([(MAP,)], "t string").select(F.from_json("t", "map<string, struct<budget: double, issues: array<string>>>").alias("m"))
-    return doc.select(F.explode("m").alias("county", "x")).select("county", "x.budget", F.size("x.issues").alias("issues"))
+    """A JSON map of records, one document a region, as rows again."""
+    f = r.findings.join(r.entities, "entity_id").groupBy("region", "entity").agg(F.round(F.sum("amount").cast("double") / 1e6, 2).alias("budget"), F.collect_set("query_type").alias("issues"))
+    docs = f.groupBy("region").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("entity", F.struct("budget", "issues"))))).alias("t"))
+    rows = docs.select(F.explode(F.from_json("t", "map<string, struct<budget: double, issues: array<string>>>")).alias("entity", "x"))
+    return rows.select("entity", "x.budget", F.size("x.issues").cast("bigint").alias("issues"))
 
 
-WRAPPED = ('{"records": [{"fields": {"k": 1}}, {"fields": {"k": 2}}]}', '[{"k": 3}]', '{"k": 4}')
 
 
-@query("SELECT unnest([1, 2, 3, 4])::BIGINT AS k")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def records_unwrap(r: Roles):
-    """Rows from a wrapped list, a bare list or a single object."""
-    t = r.spark.createDataFrame([(x,) for x in WRAPPED], "t string")
+    """Rows from payloads that are a wrapped list, a bare list or a single object, by the event's type."""
+    kind, x = F.col("event_type"), F.col("props")
+    t = F.when(kind == "click", F.concat(F.lit('{"records": [{"fields": '), x, F.lit("}]}"))).when(kind == "error", F.concat(F.lit("["), x, F.lit("]"))).otherwise(x)
     wrapped = F.from_json("t", "records array<struct<fields: struct<k: bigint>>>")["records"]
     bare = F.when(F.col("t").startswith("["), F.from_json("t", "array<struct<k: bigint>>")).otherwise(F.array(F.from_json("t", "k bigint")))
-    return t.select(F.explode(F.coalesce(F.transform(wrapped, lambda x: x["fields"]), bare)).alias("x")).select("x.k")
+    return r.table("events").select("event_id", t.alias("t")).select("event_id", F.explode(F.coalesce(F.transform(wrapped, lambda y: y["fields"]), bare)).alias("x")).select("event_id", "x.k")
 
 
-HEADERS = (("County|Budget 2022|Spent", "Nairobi|1,200|900;Mombasa|300|(20)"), ("Name|Total", "a|1"), ("County Government|Budget|Note", "Kisumu|55|x"))
 
 
-@query("SELECT * FROM (VALUES (0, 'Nairobi', 'Budget 2022', '1,200'), (0, 'Nairobi', 'Spent', '900'), (0, 'Mombasa', 'Budget 2022', '300'), (0, 'Mombasa', 'Spent', '(20)')) v(table_index, county, header, value)")
+@query(f"SELECT entity_id, header, value FROM (SELECT entity_id, CAST(fy AS VARCHAR) AS header, {d('sum(allocated)')} * 1000 AS value FROM budget_lines GROUP BY 1, 2)")
 def table_melt(r: Roles):
-    """The first table whose headers hold all keywords, as long rows."""
-    t = r.spark.createDataFrame([(i, h.split("|"), [x.split("|") for x in b.split(";")]) for i, (h, b) in enumerate(HEADERS)], "table_index int, headers array<string>, rows array<array<string>>")
-    title = F.lower(F.concat_ws(" ", "headers"))
-    first = t.where(title.contains("county") & title.contains("budget")).orderBy("table_index").limit(1)
-    cells = first.select("table_index", "headers", F.explode("rows").alias("row")).select("table_index", F.col("row")[0].alias("county"), F.posexplode(F.arrays_zip("headers", "row")).alias("pos", "cell"))
-    return cells.where("pos > 0").select("table_index", "county", F.col("cell.headers").alias("header"), F.col("cell.row").alias("value"))
+    """A wide table of entities by years, in thousands, as long rows with the unit applied."""
+    b = r.execution("entity_id", "fy").groupBy("entity_id", "fy").agg(to_double(F.sum("allocated")).alias("a"))
+    wide = b.groupBy("entity_id").agg(F.collect_list(F.col("fy").cast("string")).alias("headers"), F.collect_list("a").alias("cells"))
+    cells = wide.select("entity_id", F.explode(F.arrays_zip("headers", "cells")).alias("c"))
+    return cells.select("entity_id", F.col("c.headers").alias("header"), (F.col("c.cells") * 1000).alias("value"))
 
 
-@query("SELECT 0 AS table_index, 'County|Budget 2022|Spent' AS headers")
+TABLE_HEADERS = "['Item', p_type || ' Budget', CASE WHEN p_size > 25 THEN 'County' ELSE 'Spent' END, p_brand]"
+
+
+def _part_tables(r: Roles):
+    """Each part as a table with headers made of its columns."""
+    return r.table("part").select("p_partkey", F.array(F.lit("Item"), F.concat("p_type", F.lit(" Budget")), F.when(F.col("p_size") > 25, "County").otherwise("Spent"), F.col("p_brand")).alias("headers"))
+
+
+@query(f"SELECT min(p_partkey) AS p_partkey, p_brand FROM (SELECT p_partkey, p_brand, lower(array_to_string({TABLE_HEADERS}, ' ')) AS h FROM part) WHERE contains(h, 'county') AND contains(h, 'budget') GROUP BY p_brand")
 def find_table_by_header(r: Roles):
-    t = r.spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HEADERS)], "table_index int, headers string")
-    low = F.lower("headers")
-    return t.where(low.contains("county") & low.contains("budget")).orderBy("table_index").limit(1)
+    """The first table of each brand whose headers hold all keywords, in any case."""
+    h = F.lower(F.concat_ws(" ", "headers"))
+    found = _part_tables(r).where(h.contains("county") & h.contains("budget"))
+    return found.groupBy(F.get("headers", 3).alias("p_brand")).agg(F.min("p_partkey").alias("p_partkey"))
 
 
-@query("SELECT * FROM (VALUES (0, 'entity', 'amount', 'amount'), (1, 'entity', 'amount', NULL), (2, 'entity', 'amount', NULL)) v(table_index, c0, c1, c2)")
+@query(f"SELECT p_partkey, " + ", ".join(f"CASE WHEN regexp_matches(lower(h[{i + 1}]), 'budget|spent|total') THEN 'amount' WHEN regexp_matches(lower(h[{i + 1}]), 'county|item|name') THEN 'entity' END AS c{i}" for i in range(4)) + f" FROM (SELECT p_partkey, {TABLE_HEADERS} AS h FROM part)")
 def identify_columns(r: Roles):
-    """Column roles from header keywords; the last fitting rule wins."""
-    t = r.spark.createDataFrame([(i, h.split("|")) for i, (h, _) in enumerate(HEADERS)], "table_index int, headers array<string>")
+    """Column roles from header keywords."""
+    role = lambda h: F.when(F.lower(h).rlike("budget|spent|total"), "amount").when(F.lower(h).rlike("county|item|name"), "entity")
+    return _part_tables(r).select("p_partkey", *(role(F.get("headers", i)).alias(f"c{i}") for i in range(4)))
 
-    def role(h):
-        h = F.lower(h)
-        return F.when(h.rlike("budget|spent|total"), "amount").when(h.rlike("county|name"), "entity")
 
-    roles = F.transform("headers", role)
-    return t.select("table_index", *(F.get(roles, i).alias(f"c{i}") for i in range(3)))
+@query("SELECT o_orderkey, l_linenumber, CASE WHEN n > 0 THEN CAST(l_quantity AS BIGINT) END AS quantity FROM (SELECT o_orderkey, l_linenumber, l_quantity, count(l_orderkey) OVER (PARTITION BY o_orderkey) AS n, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_quantity DESC NULLS LAST, l_linenumber) AS k FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey) WHERE k = 1")
+def best_extraction(r: Roles):
+    """Of all tries of each order (its lines) the one of highest confidence (quantity), of equals the first; a stub if none."""
+    tries = r.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.struct("l_quantity", (-F.col("l_linenumber")).alias("first"))).alias("best"))
+    return r.table("orders").select("o_orderkey").join(tries, "o_orderkey", "left").select("o_orderkey", (-F.col("best.first")).alias("l_linenumber"), F.col("best.l_quantity").cast("bigint").alias("quantity"))
 
 
-@query("SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN 'camelot' WHEN n_chars % 3 = 1 THEN 'pdfplumber' ELSE 'tabula' END AS extractor FROM documents")
-def best_extraction(r: Roles):
-    """The extractor of highest confidence; on ties the first in a fixed order."""
-    k = F.col("n_chars") % 3
-    tries = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(n).alias("n"), c.alias("c")) for p, (n, c) in enumerate((("camelot", F.when(k == 0, 0.9).otherwise(0.5)), ("pdfplumber", F.when(k == 1, 0.7).when(k == 0, 0.9).otherwise(0.4)), ("tabula", F.lit(0.6))))))
-    best = F.aggregate(tries, F.get(tries, 0), lambda a, x: F.when(x["c"] > a["c"], x).otherwise(a))
-    return r.table("documents").select("doc_id", best["n"].alias("extractor"))
+def _provenance(r: Roles):
+    """Each finding with its sources as an array of structs: where it came from, and a follow-up if it has one."""
+    follow = F.struct(F.lit("follow_up").alias("source"), F.col("follow_up").alias("note"))
+    return r.findings.select("finding_id", F.concat(F.array(F.struct(F.col("query_type").alias("source"), F.col("status").alias("note"))), F.when(F.col("follow_up").isNotNull(), F.array(follow)).otherwise(F.slice(F.array(follow), 1, 0))).alias("provenance"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages WHERE len(list_filter(string_split(url, '/'), lambda x: x = 'en')) > 0")
+@query("SELECT finding_id, CASE WHEN follow_up IS NOT NULL THEN 2 ELSE 1 END AS sources FROM findings WHERE (query_type = 'purchase' AND status = 'Pending') OR follow_up = 'Recurring'")
 def provenance_exists(r: Roles):
-    """Rows whose array holds a given element."""
-    parts = F.split("url", "/", -1)
-    return r.table("pages").where(F.exists(parts, lambda x: x == "en")).select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("host"))
+    """Rows whose array of structs holds one that fits."""
+    fits = lambda x: ((x["source"] == "purchase") & (x["note"] == "Pending")) | ((x["source"] == "follow_up") & (x["note"] == "Recurring"))
+    return _provenance(r).where(F.exists("provenance", fits)).select("finding_id", F.size("provenance").alias("sources"))
 
 
-@query("SELECT event_id, CAST(list_extract([CAST(json_extract_string(props, '$.k') AS BIGINT), 0], 1) AS BIGINT) AS first_k FROM events")
+@query("SELECT finding_id, coalesce(query_type, CASE WHEN follow_up IS NOT NULL THEN 'follow_up' END) AS first_source FROM findings")
 def provenance_first(r: Roles):
-    return r.table("events").select("event_id", F.get(F.array(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)), 0).alias("first_k"))
+    """The first source that is named."""
+    return _provenance(r).select("finding_id", F.get(F.filter("provenance", lambda x: x["source"].isNotNull()), 0)["source"].alias("first_source"))
 
 
 @query(f"""WITH b AS (SELECT entity_id, sum(allocated) AS a, sum(spent) AS s FROM budget_lines GROUP BY 1), l AS (SELECT entity_id, sum(coalesce(nullif(outstanding, 0), principal)) AS debt FROM loans GROUP BY 1), p AS (SELECT entity_id, people FROM population WHERE year = 2021), f AS (SELECT entity_id, count(*) FILTER (WHERE severity = 'critical') AS critical FROM findings GROUP BY 1),
@@ -223,14 +230,14 @@ def county_comprehensive(r: Roles):
 @query(f"SELECT entity, {d('sum(amount)')} AS amount FROM findings JOIN entities USING (entity_id) WHERE entity_type = 'NATIONAL' AND amount IS NOT NULL GROUP BY 1 ORDER BY sum(amount) DESC, entity LIMIT 3")
 def top_ministries(r: Roles):
     e = r.entities.where("entity_type = 'NATIONAL'")
-    s = r.findings.where("amount is not null").join(F.broadcast(e), "entity_id").groupBy("entity").agg(F.sum("amount").alias("a")).orderBy(F.desc("a"), "entity").limit(3)
+    s = r.findings.where("amount is not null").join(e, "entity_id").groupBy("entity").agg(F.sum("amount").alias("a")).orderBy(F.desc("a"), "entity").limit(3)
     return s.select("entity", to_double(F.col("a")).alias("amount"))
 
 
-@query("SELECT n_nationkey, n_name, coalesce(orders, 0) AS orders, orders IS NOT NULL AS in_file FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS orders FROM customer WHERE c_custkey % 40 = 0 GROUP BY 1) ON c_nationkey = n_nationkey")
+@query("SELECT n_nationkey, n_name, coalesce(orders, 0) AS orders, orders IS NOT NULL AS in_file FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS orders FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey")
 def cob_merge(r: Roles):
-    """Entities with a flag for those a second file mentions."""
-    seen = r.table("customer").where("c_custkey % 40 = 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("orders"))
+    """Entities with a flag for those a second file (the large accounts of one segment) mentions."""
+    seen = r.table("customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("orders"))
     return r.table("nation").select("n_nationkey", "n_name").join(seen, "n_nationkey", "left").select("n_nationkey", "n_name", F.coalesce("orders", F.lit(0)).alias("orders"), F.col("orders").isNotNull().alias("in_file"))
 
 
@@ -255,16 +262,38 @@ def county_table(r: Roles):
 
 @query("SELECT kind, o_orderkey FROM (SELECT o_orderpriority AS kind, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS k FROM orders) WHERE k <= CASE kind WHEN '1-URGENT' THEN 10 WHEN '2-HIGH' THEN 3 ELSE 5 END")
 def treasury_batch(r: Roles):
-    """A different number of newest documents from each class."""
+    """A different number of newest documents from each class; the literal bound lets every task keep ten rows a class."""
     w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_orderdate"), "o_orderkey")
-    k = r.table("orders").select(F.col("o_orderpriority").alias("kind"), "o_orderkey", F.row_number().over(w).alias("k"))
+    k = r.table("orders").select(F.col("o_orderpriority").alias("kind"), "o_orderkey", F.row_number().over(w).alias("k")).where("k <= 10")
     return k.where(F.col("k") <= F.when(F.col("kind") == "1-URGENT", 10).when(F.col("kind") == "2-HIGH", 3).otherwise(5)).select("kind", "o_orderkey")
 
 
-@query()
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user' ORDER BY md5('7:' || conv_id || ':' || turn), conv_id, turn LIMIT 20")
 def question_sample(r: Roles):
-    """A seeded random sample of questions (sampling is the feature; rows differ between engines)."""
-    return r.table("conversations").where("role = 'user'").orderBy(F.rand(7)).limit(20).select("conv_id", "turn")
+    """A seeded random sample of questions: the least hashes of their keys (sampling is the feature)."""
+    h = F.md5(F.concat(F.lit("7:"), F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).cast("binary"))
+    return r.table("conversations").where("role = 'user'").orderBy(h, "conv_id", "turn").limit(20).select("conv_id", "turn")
+
+
+@query("SELECT role, count(*) AS answers, count(*) FILTER (WHERE length(text) > 40) AS correct, CAST(sum(CASE WHEN length(text) > 40 THEN 10 * least(turn + 1, 5) ELSE 0 END) AS BIGINT) AS points FROM conversations GROUP BY 1")
+def answer_points(r: Roles):
+    """Ten points by difficulty (a turn's place) for each correct (long enough) answer."""
+    right = F.length("text") > 40
+    return r.table("conversations").groupBy("role").agg(F.count("*").alias("answers"), F.count_if(right).alias("correct"), F.sum(F.when(right, 10 * F.least(F.col("turn") + 1, F.lit(5))).otherwise(0)).cast("bigint").alias("points"))
+
+
+@query("SELECT loan_id, CASE WHEN n >= 1000 THEN CAST(n // 1000 AS VARCHAR) || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS amount, CAST(interest_rate AS VARCHAR) || '%' AS rate, strftime(issue_date, '%d %b %Y') AS issued FROM (SELECT *, CAST(floor(principal) AS BIGINT) AS n FROM loans)")
+def formatted_loans(r: Roles):
+    """Amounts with grouped digits, rates in percent and dates in words."""
+    return r.loans.select("loan_id", F.format_number(F.floor("principal").cast("bigint"), 0).alias("amount"), F.concat(F.col("interest_rate").cast("string"), F.lit("%")).alias("rate"), F.date_format("issue_date", "dd MMM yyyy").alias("issued"))
+
+
+@query(f"SELECT entity_id, u AS utilization, CASE WHEN u >= 70 THEN 'A' WHEN u >= 55 THEN 'B' WHEN u >= 40 THEN 'C' WHEN u >= 20 THEN 'D' ELSE 'D-' END AS grade FROM (SELECT entity_id, {pct('sum(committed)', 'sum(allocated)', 1)} AS u FROM budget_lines GROUP BY 1)")
+def display_grade(r: Roles):
+    """The coarser ladder of grades that pages show, over committed shares."""
+    b = r.execution("entity_id").groupBy("entity_id").agg(F.sum("committed").alias("c"), F.sum("allocated").alias("a"))
+    u = share(F.col("c"), F.col("a"), 1)
+    return b.select("entity_id", u.alias("utilization"), F.when(u >= 70, "A").when(u >= 55, "B").when(u >= 40, "C").when(u >= 20, "D").otherwise("D-").alias("grade"))
 
 
 @query("SELECT min(doc_id) AS doc_id, source, n_chars FROM documents GROUP BY source, n_chars, md5(text)")
@@ -297,9 +326,9 @@ def verify_latest(r: Roles):
     return last.join(r.table("documents").select("doc_id", "source"), "doc_id", "left").select("entity_id", "finding_id", "source")
 
 
-@query("SELECT source, count(*) AS n, max(doc_id) AS newest FROM documents WHERE doc_id % 2 = 0 GROUP BY 1 UNION ALL SELECT 'pages', count(*), max(page_id) FROM pages")
+@query("SELECT source, count(*) AS n, max(doc_id) AS newest FROM documents GROUP BY 1 UNION ALL SELECT 'pages', count(*), max(page_id) FROM pages")
 def pipeline_counts(r: Roles):
-    a = r.table("documents").where("doc_id % 2 = 0").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("newest"))
+    a = r.table("documents").groupBy("source").agg(F.count("*").alias("n"), F.max("doc_id").alias("newest"))
     return a.unionByName(r.table("pages").agg(F.count("*").alias("n"), F.max("page_id").alias("newest")).select(F.lit("pages").alias("source"), "n", "newest"))
 
 
@@ -308,7 +337,14 @@ def metric_extract(r: Roles):
     return r.table("documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\d+)"), 1)).cast("bigint").alias("numbers"), F.coalesce(F.regexp_extract("text", r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double"), F.lit(-1.0)).alias("first_pct"))
 
 
-@query("SELECT page_id, array_to_string(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10))[1:20], '|') AS section FROM pages")
+@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), m AS (SELECT doc_id, l, list_transform(l, lambda x: contains(lower(x), 'the')) AS hit FROM l), p AS (SELECT doc_id, l, hit, list_position(hit, true) AS a FROM m WHERE list_contains(hit, true)),
+    e AS (SELECT doc_id, l, hit, a, len(l) AS n, coalesce((SELECT min(i) FROM (SELECT unnest(range(a + 20, len(l) + 1)) AS i) WHERE NOT hit[i]), len(l) + 1) AS z FROM p) SELECT doc_id, array_to_string(l[a:z - 1], chr(10)) AS section FROM e""")
 def entity_section(r: Roles):
-    """The first twenty lines of a page's text (a report of fixed length)."""
-    return r.table("pages").select("page_id", F.array_join(F.slice(F.split(F.regexp_replace("html", "<[^>]*>", "\n"), "\n", -1), 1, 20), "|").alias("section"))
+    """Twenty lines from the first mention, and on while each further line still mentions it."""
+    l = F.split("text", "\n", -1)
+    d = r.table("documents").select("doc_id", l.alias("l"), F.transform(l, lambda x: F.lower(x).contains("the")).alias("hit"))
+    d = d.withColumn("a", F.array_position("hit", True)).where("a > 0")
+    rest = F.slice("hit", F.col("a").cast("int") + 20, F.size("hit"))
+    more = F.array_position(rest, False)
+    take = 20 + F.when(more > 0, more - 1).otherwise(F.size(rest))
+    return d.select("doc_id", F.array_join(F.slice("l", F.col("a").cast("int"), take.cast("int")), "\n").alias("section"))
\ No newline at end of file

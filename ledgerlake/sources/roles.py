@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import COUNTIES
+
 MONEY = "decimal(20,4)"
 
 
@@ -133,7 +135,33 @@ def gdp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c.select("c_custkey", "c_nationkey"), o["o_custkey"] == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("entity_id"), F.year("o_orderdate").alias("year"), q.alias("quarter")).agg(F.sum(money(F.col("o_totalprice"))).alias("gdp"))
 
 
-ROLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entities, budget_lines, findings, loans, bills, population, gdp)}
+#: Sentences of the remarks; {n} and {g} are an amount, plain and grouped, {y} and {z} a year and the next one's last two
+#: digits, {m} a month, {d} a day, {s} seconds since 1970, {c} an entity name, {p} a number of percent.
+REMARKS = (
+    "KES {g} million was an unsupported payment of {c}", "Ksh. {p}.5 billion irregular expenditure in FY{y}/{z}", "KES {g}", "no amount in {y}/{y}", "KES {p}.5B", "KES {n}M", "{p}%", "N/A", "({g}.5)", "−{n}", "{p},5", "{g}", "{y}-Q3", "{y}-{m}", "{y}", "{d}", "{s}", "{d}T08:30:00",
+    "{c} City County", "{c} county", "{c}", "Health & Sanitation of {c}", "Disclaimer of Opinion for {c}", "an adverse opinion was issued for {y}", "Unqualified opinion on {c}", "Qualified opinion, KES {n} unaccounted", "fraud in the procurement process of tender {n}", "late submission of the payroll of {c}", "stalled project, contrary to the plan of {y}",
+    "World Bank IDA", "Government of China", "Treasury Bond {y}", "Eurobond {y}", "Audit Report {y}", "Budget Estimates {y}/{z}", "Debt review", "", "USD {p} million grant", "KSh. {n} thousand", "about {g} items", "{p}.5B KES", "{p}M KES owed", "7 KES", "pending of {p}.5 due", "arrears of {g} in total", "a sum of {p} million shillings",
+    "inflation rose to {p}.3%", "unemployment stood at {p}.7 per cent", "Finding.\nManagement response: we will pay {n}\nNEXT SECTION\nmore", "Management Response: noted in {y}", "Audit of {c} City", "County of Kisumu and {c}", "weak controls over the cash book", "bank reconciliation of {c} below target", "ghost worker in {c}", "missing asset, idle assets worth {g}", "own-source revenue of {p}", "nil", "Kshs {n}", "-",
+)
+
+
+def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, t): a remark in words on every order, with its amount, dates and an entity name."""
+    o, n, day = table(spark, sf_dir, "orders"), F.floor("o_totalprice").cast("bigint"), F.col("o_orderdate").cast("date")
+    k = F.col("o_orderkey")
+    pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+    text = pick(REMARKS, k)
+    grouped = F.when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise(n.cast("string"))
+    values = {
+        "n": n.cast("string"), "g": grouped, "y": F.date_format(day, "yyyy"), "z": F.lpad(F.pmod(F.year(day) + 1, F.lit(100)).cast("string"), 2, "0"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "yyyy-MM-dd"),
+        "s": F.unix_seconds(day.cast("timestamp")).cast("string"), "c": pick(COUNTIES, F.col("o_custkey")), "p": (n % 60 + 1).cast("string"),
+    }
+    for name, v in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), v)
+    return o.select(k.alias("k"), text.alias("t"))
+
+
+ROLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entities, budget_lines, findings, loans, bills, population, gdp, remarks)}
 
 FY = "CAST(year({0}) - CASE WHEN month({0}) < 7 THEN 1 ELSE 0 END AS INTEGER)"
 ROLE_SQL = {
@@ -163,6 +191,26 @@ ROLE_SQL = {
 }
 
 
+def _quoted(values) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in values) + "]"
+
+
+def _remarks_sql() -> str:
+    n, day = "CAST(floor(o_totalprice) AS BIGINT)", "CAST(o_orderdate AS DATE)"
+    text = f"{_quoted(REMARKS)}[CAST(o_orderkey % {len(REMARKS)} + 1 AS INTEGER)]"
+    values = {
+        "n": f"CAST({n} AS VARCHAR)", "g": f"CASE WHEN {n} >= 1000 THEN CAST({n} // 1000 AS VARCHAR) || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END",
+        "y": f"strftime({day}, '%Y')", "z": f"lpad(CAST((year({day}) + 1) % 100 AS VARCHAR), 2, '0')", "m": f"strftime({day}, '%m')", "d": f"strftime({day}, '%Y-%m-%d')",
+        "s": f"CAST(CAST(epoch({day}) AS BIGINT) AS VARCHAR)", "c": f"{_quoted(COUNTIES)}[CAST(o_custkey % {len(COUNTIES)} + 1 AS INTEGER)]", "p": f"CAST({n} % 60 + 1 AS VARCHAR)",
+    }
+    for name, v in values.items():
+        text = f"replace({text}, '{{{name}}}', {v})"
+    return f"SELECT o_orderkey AS k, {text} AS t FROM orders"
+
+
+ROLE_SQL["remarks"] = _remarks_sql()
+
+
 def with_roles(sql: str) -> str:
     """Prefix ``sql`` with the roles it names."""
     import re

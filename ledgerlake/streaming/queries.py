@@ -43,9 +43,9 @@ def stream_upsert(r: Roles):
     return upserted(_events(r).select("user_id", "event_id", "value"), ["user_id"], "event_id")
 
 
-@query("SELECT event_id, c_custkey FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'error' AND value > 50 AND c_custkey % 2 = 1")
+@query("SELECT event_id, c_custkey FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'error' AND value > 50 AND c_acctbal >= 0")
 def stream_alerts(r: Roles):
     """A stream joined with the static table of watchers."""
-    watchers = r.table("customer").where("c_custkey % 2 = 1").select("c_custkey")
+    watchers = r.table("customer").where("c_acctbal >= 0").select("c_custkey")
     e = _events(r).where("event_type = 'error' and value > 50").select("event_id", F.col("user_id").alias("c_custkey"))
     return appended(e.join(watchers, "c_custkey").select("event_id", "c_custkey"))
