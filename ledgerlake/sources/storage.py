@@ -9,9 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.  Only where it names none (tests), a local folder is made and set."""
+    """The session's ``spark.checkpoint.dir``.  Only in local mode without one (tests), a local folder is made and set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerlake-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
