@@ -4,7 +4,7 @@ Documents are put in one total order (doc_id, then a hash of the text), tokenise
 0..n-1 of the whole token stream, so neither the input's files nor the number of partitions have a say in what a sequence
 holds.  A Feistel network keyed by ``key`` permutes 0..n-1, cycle-walking keeps the image inside that range, and the image
 is the sequence's global slot.  A shard is a range of ``shard_size`` slots; only the last may hold fewer.  One shuffle
-brings each shard's pieces to the task that writes it with a fixed stride and renames it into place.  A reader finds slot
+brings each shard's pieces to the task that puts them in place, writes the shard with a fixed stride and renames it.  A reader finds slot
 s in shard ``s // shard_size`` at record ``s % shard_size``, and resumes anywhere.
 
 Scale: the order is a range partitioning on (doc_id, text hash), which also splits an id that holds a third of all rows;
@@ -37,6 +37,8 @@ ROUNDS = 6
 #: Sequences in a shard: 16 MB of two-byte ids.
 SHARD_SIZE = 4096
 ID_TYPE = "<u2"
+#: Ids that a task holds before it sends them on, sorted by shard and compressed together.
+HELD_BYTES = 32 << 20
 
 
 def feistel(x: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -65,7 +67,7 @@ def _compress(batches):
 
 
 def stream(docs: DataFrame, seq_len: int, tokenizer: str, end_id: int, id_type: str) -> DataFrame:
-    """(part, start, n, z): the token stream of each part of the ordered documents, in compressed blocks of ``seq_len``."""
+    """(part, start, ids): the token stream of each part of the ordered documents, in blocks of ``seq_len`` ids."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     order = ["none", "doc", "h", "tie"]
@@ -85,9 +87,8 @@ def stream(docs: DataFrame, seq_len: int, tokenizer: str, end_id: int, id_type:
         def blocks(ids: np.ndarray):
             nonlocal at
             starts = range(0, len(ids), seq_len)
-            z = [codec.compress(ids[a : a + seq_len].tobytes(), asbytes=True) for a in starts]
-            n = [min(seq_len, len(ids) - a) for a in starts]
-            out = pa.record_batch([pa.array([part] * len(n), pa.int32()), pa.array([at + a for a in starts], pa.int64()), pa.array(n, pa.int32()), pa.array(z, pa.binary())], names=["part", "start", "n", "z"])
+            raw = [ids[a : a + seq_len].tobytes() for a in starts]
+            out = pa.record_batch([pa.array([part] * len(raw), pa.int32()), pa.array([at + a for a in starts], pa.int64()), pa.array(raw, pa.binary())], names=["part", "start", "ids"])
             at += len(ids)
             return out
 
@@ -105,7 +106,7 @@ def stream(docs: DataFrame, seq_len: int, tokenizer: str, end_id: int, id_type:
         if len(rest):
             yield blocks(rest)
 
-    return ordered.mapInArrow(work, "part int, start long, n int, z binary")
+    return ordered.mapInArrow(work, "part int, start long, ids binary")
 
 
 def _store(uri: str):
@@ -122,81 +123,85 @@ def write(
     spark = docs.sparkSession
     prepare(spark)
     blocks, blocks_path = materialise(stream(docs, seq_len, tokenizer, end_id, id_type), "tokens")
-    sums = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).collect())  # a number a partition
+    width = np.dtype(id_type).itemsize
+    sums = sorted((r["part"], r["n"] // width) for r in blocks.groupBy("part").agg(F.sum(F.length("ids")).alias("n")).collect())  # a number a partition
     size = sum(n for _, n in sums)
     count = -(-size // seq_len)
     begin = np.zeros(1 + max((p for p, _ in sums), default=0), np.int64)
     begin[[p for p, _ in sums]] = np.cumsum([0, *(n for _, n in sums)])[:-1]
     shared = spark.sparkContext.broadcast(begin)
-    width = np.dtype(id_type).itemsize
     stride = width * seq_len
 
+    def packed(held: list) -> pa.RecordBatch:
+        """Pieces (slot, sequence, place, ids), as one compressed row a shard."""
+        codec = pa.Codec("zstd", 3)
+        by_shard: dict[int, list] = {}
+        for x in held:
+            by_shard.setdefault(int(x[0]) // shard_size, []).append(x)
+        cols = [pa.array([[int(x[i]) for x in v] for v in by_shard.values()], pa.list_(pa.int64())) for i in range(3)]
+        sizes = pa.array([[len(x[3]) for x in v] for v in by_shard.values()], pa.list_(pa.int64()))
+        z = pa.array([codec.compress(np.concatenate([x[3] for x in v]).tobytes(), asbytes=True) for v in by_shard.values()], pa.binary())
+        return pa.record_batch([pa.array(list(by_shard), pa.int32()), *cols, sizes, z], names=["shard", "slots", "sequences", "at", "n", "z"])
+
     def pieces(batches):
         """Each block falls into one or two sequences of the stream."""
-        codec = pa.Codec("zstd", 3)
+        held, size_ = [], 0
         for b in batches:
             g = shared.value[b.column(0).to_numpy()] + b.column(1).to_numpy()
-            n = b.column(2).to_numpy().astype(np.int64)
             seq, at = g // seq_len, g % seq_len
-            head = np.minimum(n, seq_len - at)
-            rows: list[list] = [[], [], [], []]
-            for i, z in enumerate(b.column(3)):
-                if head[i] == n[i]:
-                    cut = [(seq[i], at[i], n[i], z.as_py())]
-                else:
-                    raw = codec.decompress(z.as_py(), int(n[i]) * width, asbytes=True)
-                    k = int(head[i]) * width
-                    cut = [(seq[i], at[i], head[i], codec.compress(raw[:k], asbytes=True)), (seq[i] + 1, 0, n[i] - head[i], codec.compress(raw[k:], asbytes=True))]
-                for row in cut:
-                    for x, v in zip(rows, row, strict=True):
-                        x.append(v)
-            s = np.array(rows[0], np.int64)
-            slot = feistel(s, count, key).astype(np.int64)
-            yield pa.record_batch([pa.array((slot // shard_size).astype(np.int32)), pa.array(slot), pa.array(s), *(pa.array(np.array(x, np.int32)) for x in rows[1:3]), pa.array(rows[3], pa.binary())], names=["shard", "slot", "sequence", "at", "n", "z"])
+            slot, after = (feistel(np.minimum(x, count - 1), count, key).astype(np.int64) for x in (seq, seq + 1))
+            for i, raw in enumerate(b.column(2).to_pylist()):
+                ids = np.frombuffer(raw, id_type)
+                head = min(len(ids), seq_len - int(at[i]))
+                held.append((slot[i], seq[i], at[i], ids[:head]))
+                if head < len(ids):
+                    held.append((after[i], seq[i] + 1, 0, ids[head:]))
+                size_ += len(raw)
+            if size_ >= HELD_BYTES:
+                yield packed(held)
+                held, size_ = [], 0
+        if held:
+            yield packed(held)
 
     shards = max(1, -(-count // shard_size))
-    dealt = blocks.mapInArrow(pieces, "shard int, slot long, sequence long, at int, n int, z binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "at")
+    dealt = blocks.mapInArrow(pieces, "shard int, slots array<long>, sequences array<long>, at array<long>, n array<long>, z binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
     def work(batches):
+        """Put the pieces of a shard, which has a fixed size, in their places, and write it."""
         fs, folder = _store(uri)
-        codec = pa.Codec("zstd", 3)
+        codec = pa.Codec("zstd")
         fs.create_dir(folder, recursive=True)
-        names = ["slot", "sequence", "shard", "byte_offset", "n_tokens", "ids_crc32"]
-        file, temp, open_ = None, "", None  # the sequence that still grows: (shard, slot, sequence, ids)
-
-        def record():
-            shard, slot, sequence, raw = open_
-            full = bytes(raw).ljust(stride, b"\0") if not end_id else bytes(raw) + np.full(seq_len - len(raw) // width, end_id, id_type).tobytes()
-            file.write(full)
-            return slot, sequence, shard, slot % shard_size * stride, len(raw) // width, zlib.crc32(full)
-
-        def done():
-            file.close()
-            path = f"{folder}/shard-{open_[0]:08d}.bin"
+        now = ids = tokens_ = sequence = None
+
+        def done() -> pa.RecordBatch:
+            n = len(tokens_)
+            temp, path = f"{folder}/.shard-{now:08d}-{uuid.uuid4().hex}", f"{folder}/shard-{now:08d}.bin"
+            with fs.open_output_stream(temp) as out:
+                out.write(ids.tobytes())
             if fs.get_file_info(path).is_file:  # of a lost attempt, with the same bytes
                 fs.delete_file(path)
             fs.move(temp, path)
+            at = np.arange(n, dtype=np.int64)
+            crc = [zlib.crc32(ids[i].tobytes()) for i in range(n)]
+            return pa.record_batch([pa.array(now * shard_size + at), pa.array(sequence), pa.array(np.full(n, now, np.int32)), pa.array(at * stride), pa.array(tokens_), pa.array(crc, pa.int64())], names=["slot", "sequence", "shard", "byte_offset", "n_tokens", "ids_crc32"])
 
         for b in batches:
-            rows = []
-            for shard, slot, sequence, n, z in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), strict=True):
-                if open_ is None or slot != open_[1]:
-                    if open_ is not None:
-                        rows.append(record())
-                    if open_ is None or shard != open_[0]:
-                        if open_ is not None:
-                            done()
-                        temp = f"{folder}/.shard-{shard:08d}-{uuid.uuid4().hex}"
-                        file = fs.open_output_stream(temp)
-                    open_ = (shard, slot, sequence, bytearray())
-                open_[3].extend(codec.decompress(z, n * width, asbytes=True))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, TYPES, strict=True)], names=names)
-        if open_ is not None:
-            last = record()
-            done()
-            yield pa.record_batch([pa.array([x], t) for x, t in zip(last, TYPES, strict=True)], names=names)
-
-    TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            for shard, slots, sequences, places, sizes, z in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield done()
+                    now, n = shard, min(shard_size, count - shard * shard_size)
+                    ids, tokens_, sequence = np.full((n, seq_len), end_id, id_type), np.zeros(n, np.int64), np.zeros(n, np.int64)
+                raw, k = np.frombuffer(codec.decompress(z, sum(sizes) * width, asbytes=True), id_type), 0
+                for slot, seq, at, size_ in zip(slots, sequences, places, sizes, strict=True):
+                    i = slot - shard * shard_size
+                    ids[i, at : at + size_] = raw[k : k + size_]
+                    tokens_[i] += size_
+                    sequence[i] = seq
+                    k += size_
+        if now is not None:
+            yield done()
+
     found, _ = materialise(dealt.mapInArrow(work, "slot long, sequence long, shard int, byte_offset long, n_tokens long, ids_crc32 long"), "slots")
     remove(spark, blocks_path)
     return found
