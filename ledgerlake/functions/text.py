@@ -36,7 +36,7 @@ def suffix_amount(text: Column) -> Column:
     """``KES 2.5B``: by the last letter; what isn't a number is 0."""
     digits = F.regexp_replace(F.upper(text), r"[^0-9.]", "").try_cast("double")
     last = F.upper(F.substring(F.trim(text), -1, 1))
-    return F.coalesce(F.round(digits * cascade([(last == "T", F.lit(1e12)), (last == "B", F.lit(1e9)), (last == "M", F.lit(1e6)), (last == "K", F.lit(1e3))], F.lit(1.0)), 2), F.lit(0.0))
+    return F.coalesce(digits * cascade([(last == "T", F.lit(1e12)), (last == "B", F.lit(1e9)), (last == "M", F.lit(1e6)), (last == "K", F.lit(1e3))], F.lit(1.0)), F.lit(0.0))
 
 
 def plain_kes(text: Column) -> Column:

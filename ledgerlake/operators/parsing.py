@@ -23,7 +23,7 @@ def kes_amount(r: Roles):
     return r.remarks.select("k", "t", T.kes_amount(F.col("t")).alias("amount"))
 
 
-@query(f"""SELECT k, t, coalesce(round(TRY_CAST(regexp_replace(upper(t), '[^0-9.]', '', 'g') AS DOUBLE) * CASE upper(right(trim(t), 1)) WHEN 'T' THEN 1e12 WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 WHEN 'K' THEN 1e3 ELSE 1 END, 2), 0) AS amount FROM {VALUES}""")
+@query(f"""SELECT k, t, coalesce(TRY_CAST(regexp_replace(upper(t), '[^0-9.]', '', 'g') AS DOUBLE) * CASE upper(right(trim(t), 1)) WHEN 'T' THEN 1e12 WHEN 'B' THEN 1e9 WHEN 'M' THEN 1e6 WHEN 'K' THEN 1e3 ELSE 1 END, 0) AS amount FROM {VALUES}""")
 def suffix_amount(r: Roles):
     return r.remarks.select("k", "t", T.suffix_amount(F.col("t")).alias("amount"))
 
