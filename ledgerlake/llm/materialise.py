@@ -60,7 +60,7 @@ def feistel(x: np.ndarray, size: int, key: int, rounds: int = ROUNDS) -> np.ndar
 
 
 def _compress(batches):
-    codec = pa.Codec("zstd", 6)
+    codec = pa.Codec("zstd", 1)
     for b in batches:
         raw = [t.encode() for t in b.column(4).to_pylist()]
         yield pa.record_batch([*(b.column(i) for i in range(4)), pa.array([len(t) for t in raw], pa.int32()), pa.array([codec.compress(t, asbytes=True) for t in raw], pa.binary())], names=["none", "doc", "h", "tie", "size", "z"])
