@@ -46,11 +46,12 @@ def _own(src: str, key: str) -> str:
 
 OP5 = rf"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES {_RULES}) v(verdict, h, p)),
-l AS (SELECT page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, replace(coalesce(nullif(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1), '')), '&amp;', '&') AS link FROM pages),
-x AS (SELECT *, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link WHEN link <> '' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || link END AS target FROM l),
-p AS (SELECT row_number() OVER () AS row, page_id, host, path, {_NODE.format("url")} AS node, {_NODE.format("target")} AS goal FROM x),
+l AS MATERIALIZED (SELECT row_number() OVER () AS row, page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, [regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)] AS links FROM pages),
+x AS (SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link WHEN link <> '' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || link END AS target FROM (SELECT url, path, replace(unnest(links), '&amp;', '&') AS link FROM l)),
+p AS (SELECT row, page_id, host, path, {_NODE.format("url")} AS node FROM l),
+g AS (SELECT {_NODE.format("url")} AS node, {_NODE.format("target")} AS goal FROM x),
 own AS ({_own("p", "row")}),
-e AS (SELECT DISTINCT node AS a, goal AS b FROM p WHERE node <> goal UNION SELECT DISTINCT goal, node FROM p WHERE node <> goal),
+e AS (SELECT DISTINCT node AS a, goal AS b FROM g WHERE node <> goal UNION SELECT DISTINCT goal, node FROM g WHERE node <> goal),
 reach AS (SELECT a, a AS b FROM e UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
 n AS (SELECT DISTINCT a AS node, {_HOST.format("a")} AS host, {_PATH.format("a")} AS path FROM e),
 ruled AS ({_own("n", "node")}),
