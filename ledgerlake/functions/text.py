@@ -119,6 +119,45 @@ COUNTIES = (
 )
 
 
+#: Known names with their canonical form, in the order in which equal matches are decided.
+COUNTY_NAMES = (
+    ("mombasa", "Mombasa County"), ("kwale", "Kwale County"), ("kilifi", "Kilifi County"), ("tana river", "Tana River County"), ("lamu", "Lamu County"), ("taita taveta", "Taita-Taveta County"),
+    ("garissa", "Garissa County"), ("wajir", "Wajir County"), ("mandera", "Mandera County"), ("marsabit", "Marsabit County"), ("isiolo", "Isiolo County"), ("meru", "Meru County"),
+    ("tharaka nithi", "Tharaka-Nithi County"), ("embu", "Embu County"), ("kitui", "Kitui County"), ("machakos", "Machakos County"), ("makueni", "Makueni County"), ("nyandarua", "Nyandarua County"),
+    ("nyeri", "Nyeri County"), ("kirinyaga", "Kirinyaga County"), ("muranga", "Murang'a County"), ("kiambu", "Kiambu County"), ("turkana", "Turkana County"), ("west pokot", "West Pokot County"),
+    ("samburu", "Samburu County"), ("trans nzoia", "Trans-Nzoia County"), ("uasin gishu", "Uasin Gishu County"), ("elgeyo marakwet", "Elgeyo-Marakwet County"), ("nandi", "Nandi County"), ("baringo", "Baringo County"),
+    ("laikipia", "Laikipia County"), ("nakuru", "Nakuru County"), ("narok", "Narok County"), ("kajiado", "Kajiado County"), ("kericho", "Kericho County"), ("bomet", "Bomet County"), ("kakamega", "Kakamega County"),
+    ("vihiga", "Vihiga County"), ("bungoma", "Bungoma County"), ("busia", "Busia County"), ("siaya", "Siaya County"), ("kisumu", "Kisumu County"), ("homa bay", "Homa Bay County"), ("homabay", "Homa Bay County"),
+    ("migori", "Migori County"), ("kisii", "Kisii County"), ("nyamira", "Nyamira County"), ("nairobi", "Nairobi County"),
+)
+MINISTRY_NAMES = (
+    ("health", "Ministry of Health"), ("education", "Ministry of Education"), ("treasury", "National Treasury"), ("defense", "Ministry of Defense"), ("interior", "Ministry of Interior and National Administration"),
+    ("transport", "Ministry of Transport and Infrastructure"), ("agriculture", "Ministry of Agriculture and Livestock Development"),
+)
+AGENCY_NAMES = (("kra", "Kenya Revenue Authority"), ("kenha", "Kenya National Highways Authority"), ("nema", "National Environment Management Authority"))
+LENDERS = (
+    ("external_multilateral", ("world bank", "imf", "afdb", "eib", "ifad", "ifc")),
+    ("external_bilateral", ("china", "japan", "france", "germany", "united states", "korea", "india", "belgium", "uk", "italy")),
+    ("external_commercial", ("eurobond", "syndicated", "commercial")),
+    ("domestic_bonds", ("treasury bond", "infrastructure bond", "green bond", "m-akiba", "retail bond")),
+    ("domestic_bills", ("treasury bill", "t-bill", "91-day", "182-day", "364-day")),
+    ("domestic_overdraft", ("central bank", "cbk", "overdraft")),
+    ("pending_bills", ("pending bill", "arrears")),
+    ("county_guaranteed", ("county", "nairobi", "mombasa", "kisumu", "nakuru")),
+)
+LENDER_TYPES = (("Multilateral", ("world bank", "imf", "african development", "adb")), ("Bilateral", ("china", "france", "japan", "uk", "usa")), ("Commercial", ("bond", "eurobond", "commercial")))
+BILL_TYPES = (("salary", ("salary", "wage")), ("pension", ("pension",)), ("statutory", ("statutory",)), ("court_awards", ("court", "award")))
+DOCUMENTS = (("audit", ("audit", "auditor")), ("budget", ("budget", "allocation")), ("report", ("implementation", "review", "expenditure")), ("loan", ("debt", "loan", "borrowing")))
+OPINION_WORDS = (("Unqualified", ("unqualified",)), ("Qualified", ("qualified",)), ("Adverse", ("adverse",)), ("Disclaimer of Opinion", ("disclaimer of opinion",)))
+
+GAZETTEER = [(key, name, kind) for kind, names in (("county", COUNTY_NAMES), ("ministry", MINISTRY_NAMES), ("agency", AGENCY_NAMES)) for key, name in names]
+
+
+def phrase_class(text: Column, classes, default: str | None = None) -> Column:
+    """The first class of which the text holds a phrase, in any case."""
+    return cascade([(holds_any(text, w), n) for n, w in classes], default)
+
+
 def opinion(text: Column) -> Column:
     return cascade([(text.rlike(p), n) for n, p in OPINIONS])
 
@@ -134,22 +173,37 @@ def severity(text: Column, amount: Column) -> Column:
 
 
 def query_type(text: Column) -> Column:
-    return cascade([(holds_any(text, w), n) for n, w in QUERY_TYPES])
+    return phrase_class(text, QUERY_TYPES)
 
 
-LENDERS = (("multilateral", r"(?i)world bank|ida|imf|adb|afdb"), ("bilateral", r"(?i)china|japan|france|government of"), ("commercial", r"(?i)eurobond|bank|syndicat"), ("domestic", r"(?i)treasury (?:bond|bill)"))
+def lender_kind(text: Column) -> Column:
+    """One of eight kinds of loan by the lender's name."""
+    return phrase_class(text, LENDERS, "other")
 
 
-def lender_kind(text: Column) -> Column:
-    order = [LENDERS[0], LENDERS[1], LENDERS[3], LENDERS[2]]
-    return cascade([(text.rlike(p), n) for n, p in order], "other")
+def lender_type(text: Column) -> Column:
+    """The coarser classes of debt reports."""
+    return phrase_class(text, LENDER_TYPES, "Other")
 
 
-DOCUMENTS = (("audit", r"(?i)audit"), ("budget", r"(?i)budget|estimates"), ("report", r"(?i)report|review"), ("loan", r"(?i)loan|debt"))
+def bill_kind(text: Column) -> Column:
+    return phrase_class(text, BILL_TYPES, "supplier_arrears")
 
 
 def document_kind(title: Column) -> Column:
-    return cascade([(title.rlike(p), n) for n, p in DOCUMENTS], "other")
+    return phrase_class(title, DOCUMENTS, "other")
+
+
+def opinion_after_heading(text: Column) -> Column:
+    """The first of the words, in their order, in the 200 characters after the first "Opinion" that so many follow."""
+    near = F.regexp_extract(text, r"(?is)opinion(.{200})", 1)
+    return F.coalesce(F.when(near != "", phrase_class(near, OPINION_WORDS)), F.lit("Unknown"))
+
+
+def recommendation(text: Column) -> Column:
+    """What follows ``Recommendation:`` in the last line."""
+    found = F.regexp_extract(text, r"(?i)recommendation[:-]\s*(.+)\z", 1)
+    return F.when(found != "", F.trim(found))
 
 
 def relevance(text: Column, strong: tuple[str, ...], weak: tuple[str, ...]) -> Column:
@@ -193,9 +247,13 @@ def indicator(text: Column, word: str, low: float, high: float) -> Column:
     return F.when((v >= low) & (v <= high), v)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Levenshtein similarity in percent of the longer text."""
-    return F.round(100.0 * (1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))), 2)
+def similarity(text: Column, name: str, least: int = 70) -> Column:
+    """Levenshtein similarity to ``name`` in percent of the longer one, null where it can't exceed ``least``.
+
+    A text that similar is at most ``100 / least`` times as long as the name, so the distance is computed up to a bound.
+    """
+    d = F.levenshtein(text, F.lit(name), len(name) * (100 - least) // least + 1)
+    return F.when(d >= 0, F.round(100.0 * (1 - d / F.greatest(F.length(text), F.lit(len(name)))), 2))
 
 
 def strict_amount(text: Column) -> Column:

@@ -95,20 +95,20 @@ def slugify(r: Roles):
     return r.remarks.select("k", "t", T.slug(F.col("t")).alias("slug"))
 
 
-NAMES = ", ".join("('" + x + "')" for x in T.COUNTIES)
+NAMES = ", ".join(f"({i}, '{key}', '{name.replace(chr(39), chr(39) * 2)}', '{kind}')" for i, (key, name, kind) in enumerate(T.GAZETTEER))
 KEY = r"trim(regexp_replace(regexp_replace(replace(regexp_replace(lower(trim({0})), '[‘’''`´]', '', 'g'), '-', ' '), '\s+county$', ''), '\s+', ' ', 'g'))"
 
 
 def names(r: Roles) -> DataFrame:
-    """The gazetteer: a fixed list of 45 names, with their comparable forms."""
-    return r.spark.createDataFrame([(x,) for x in T.COUNTIES], "name string").withColumn("key", T.name_key(F.col("name")))
+    """The gazetteer: a fixed list of some sixty names in comparable form, with their canonical names."""
+    return r.spark.createDataFrame(T.GAZETTEER, "key string, name string, kind string")
 
 
-@query(f"""WITH q AS (SELECT k, t, {KEY.format("t")} AS key FROM {VALUES}), e AS (SELECT name, {KEY.format("name")} AS key FROM (VALUES {NAMES}) v(name))
-    SELECT k, t, name, CASE WHEN name IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM q LEFT JOIN e USING (key)""")
+@query(f"""WITH q AS (SELECT k, t, {KEY.format("t")} AS key FROM {VALUES}), e AS (SELECT * FROM (VALUES {NAMES}) v(i, key, name, kind))
+    SELECT k, t, name, kind, CASE WHEN name IS NOT NULL THEN 1.0::DOUBLE END AS confidence FROM q LEFT JOIN e USING (key)""")
 def normalize_entity(r: Roles):
     """Exact matches of comparable forms."""
-    return r.remarks.withColumn("key", T.name_key(F.col("t"))).join(F.broadcast(names(r)), "key", "left").select("k", "t", "name", F.when(F.col("name").isNotNull(), 1.0).alias("confidence"))
+    return r.remarks.withColumn("key", T.name_key(F.col("t"))).join(F.broadcast(names(r)), "key", "left").select("k", "t", "name", "kind", F.when(F.col("name").isNotNull(), 1.0).alias("confidence"))
 
 
 def _cases(rules, default: str | None = None) -> str:
@@ -136,11 +136,32 @@ def classify_query_type(r: Roles):
     return r.remarks.select("k", "t", T.query_type(F.col("t")).alias("query_type"))
 
 
-@query(f"SELECT k, t, {_cases([T.LENDERS[0], T.LENDERS[1], T.LENDERS[3], T.LENDERS[2]], 'other')} AS kind FROM {VALUES}")
+@query(f"SELECT k, t, {_cases(T.LENDERS, 'other')} AS kind FROM {VALUES}")
 def classify_loan(r: Roles):
     return r.remarks.select("k", "t", T.lender_kind(F.col("t")).alias("kind"))
 
 
+@query(f"SELECT k, t, {_cases(T.LENDER_TYPES, 'Other')} AS kind FROM {VALUES}")
+def classify_lender(r: Roles):
+    return r.remarks.select("k", "t", T.lender_type(F.col("t")).alias("kind"))
+
+
+@query(f"SELECT k, t, {_cases(T.BILL_TYPES, 'supplier_arrears')} AS kind FROM {VALUES}")
+def classify_bill(r: Roles):
+    return r.remarks.select("k", "t", T.bill_kind(F.col("t")).alias("kind"))
+
+
+@query(f"SELECT k, report, coalesce({_cases(T.OPINION_WORDS)}, 'Unknown') AS opinion FROM (SELECT k, t AS report, regexp_extract(t, '(?is)opinion(.{{200}})', 1) AS t FROM {VALUES})")
+def opinion_section(r: Roles):
+    """The opinion named after the heading, by the other of the two parsers."""
+    return r.remarks.select("k", F.col("t").alias("report"), T.opinion_after_heading(F.col("t")).alias("opinion"))
+
+
+@query(rf"SELECT k, t, trim(nullif(regexp_extract(t, '(?i)recommendation[:-]\s*(.+)\z', 1), '')) AS recommendation FROM {VALUES}")
+def extract_recommendation(r: Roles):
+    return r.remarks.select("k", "t", T.recommendation(F.col("t")).alias("recommendation"))
+
+
 @query(f"SELECT k, t, {_cases(T.DOCUMENTS, 'other')} AS kind FROM {VALUES}")
 def classify_doc(r: Roles):
     return r.remarks.select("k", "t", T.document_kind(F.col("t")).alias("kind"))

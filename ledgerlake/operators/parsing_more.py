@@ -51,19 +51,31 @@ def indicator_extract(r: Roles):
     return r.remarks.select("k", "t", T.indicator(F.col("t"), "inflation", 0, 50).alias("inflation"), T.indicator(F.col("t"), "unemployment", 0, 100).alias("unemployment"))
 
 
-@query(f"SELECT k, t, {'CASE ' + ' '.join(f"WHEN contains(lower(t), '{p.lower()}') THEN '{p}'" for p in T.COUNTIES) + ' END'} AS entity FROM {VALUES}")
+def _first_county(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({x}), '{p.lower()}') THEN '{p} County'" for p in T.COUNTIES) + " END"
+
+
+@query(f"SELECT k, t, coalesce(a, b) AS entity, CASE WHEN a IS NOT NULL THEN 0.9::DOUBLE WHEN b IS NOT NULL THEN 0.6::DOUBLE END AS confidence FROM (SELECT k, t, {_first_county("string_split(t, chr(10))[1]")} AS a, {_first_county('t')} AS b FROM {VALUES})")
 def infer_entity(r: Roles):
-    """The first name of the gazetteer, in its order, that the text mentions."""
-    t = F.lower("t")
-    return r.remarks.select("k", "t", T.cascade([(t.contains(p.lower()), p) for p in T.COUNTIES]).alias("entity"))
+    """The first name of the list, in its order, that the title (the first line) mentions, else the page."""
+    first = lambda c: T.cascade([(F.lower(c).contains(p.lower()), f"{p} County") for p in T.COUNTIES])
+    title, page = F.col("title"), F.col("page")
+    found = r.remarks.select("k", "t", first(F.get(F.split("t", "\n", -1), 0)).alias("title"), first(F.col("t")).alias("page"))
+    return found.select("k", "t", F.coalesce(title, page).alias("entity"), F.when(title.isNotNull(), 0.9).when(page.isNotNull(), 0.6).alias("confidence"))
+
+
+def _similar(x: str) -> str:
+    return f"round(100.0::DOUBLE * (1 - levenshtein(lower(trim(t)), {x}) / greatest(length(trim(t)), length({x}))::DOUBLE), 2)"
 
 
-@query(f"""WITH s AS (SELECT k, t, name, round(100.0::DOUBLE * (1 - levenshtein(lower(t), lower(name)) / greatest(length(t), length(name), 1)::DOUBLE), 2) AS score FROM remarks, (VALUES {NAMES}) p(name)) SELECT k, t, name, score FROM (SELECT *, row_number() OVER (PARTITION BY k, t ORDER BY score DESC, name) AS n FROM s WHERE score > 70) WHERE n = 1""")
+@query(f"""WITH s AS (SELECT k, t, i, name, kind, greatest({_similar("lower(name)")}, {_similar("key")}) AS score FROM remarks, (VALUES {NAMES}) p(i, key, name, kind)) SELECT k, t, name, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY k, t ORDER BY score DESC, i) AS n FROM s WHERE score > 70) WHERE n = 1""")
 def normalize_entity_fuzzy(r: Roles):
-    """Nearest name above 70 %, of equals the first by name: a fold over the fixed list, within each row."""
-    scored = F.array(*(F.struct(-T.similarity(F.lower("t"), F.lit(p.lower())), F.lit(p).alias("name")) for p in T.COUNTIES))
-    best = F.array_min(scored)
-    return r.remarks.withColumn("best", best).select("k", "t", F.col("best.name").alias("name"), (-F.col("best.col1")).alias("score")).where("score > 70")
+    """Nearest name above 70 %, by its canonical form or its key, of equals the first of the list: a fold within each row."""
+    t = F.lower(F.trim("t"))
+    score = lambda key, name: F.greatest(T.similarity(t, name.lower()), T.similarity(t, key))
+    scored = F.array(*(F.struct((-score(key, name)).alias("less"), F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(kind).alias("kind")) for i, (key, name, kind) in enumerate(T.GAZETTEER)))
+    best = F.array_min(F.filter(scored, lambda x: x["less"] < -70))
+    return r.remarks.withColumn("best", best).where("best is not null").select("k", "t", F.col("best.name").alias("name"), F.col("best.kind").alias("kind"), (-F.col("best.less")).alias("score"))
 
 
 CELL = r"trim(regexp_replace({0}, '<[^>]*>', '', 'g'))"

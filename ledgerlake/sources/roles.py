@@ -142,6 +142,9 @@ REMARKS = (
     "{c} City County", "{c} county", "{c}", "Health & Sanitation of {c}", "Disclaimer of Opinion for {c}", "an adverse opinion was issued for {y}", "Unqualified opinion on {c}", "Qualified opinion, KES {n} unaccounted", "fraud in the procurement process of tender {n}", "late submission of the payroll of {c}", "stalled project, contrary to the plan of {y}",
     "World Bank IDA", "Government of China", "Treasury Bond {y}", "Eurobond {y}", "Audit Report {y}", "Budget Estimates {y}/{z}", "Debt review", "", "USD {p} million grant", "KSh. {n} thousand", "about {g} items", "{p}.5B KES", "{p}M KES owed", "7 KES", "pending of {p}.5 due", "arrears of {g} in total", "a sum of {p} million shillings",
     "inflation rose to {p}.3%", "unemployment stood at {p}.7 per cent", "Finding.\nManagement response: we will pay {n}\nNEXT SECTION\nmore", "Management Response: noted in {y}", "Audit of {c} City", "County of Kisumu and {c}", "weak controls over the cash book", "bank reconciliation of {c} below target", "ghost worker in {c}", "missing asset, idle assets worth {g}", "own-source revenue of {p}", "nil", "Kshs {n}", "-",
+    "Finding.\nThe accounts of {c} for {y}", "Central Bank overdraft", "Treasury Bill, 91-day, of {y}", "salary arrears of {c}", "pension dues of {n}", "court award of KES {n}", "Kwale County", "MURANG'A county", "Nairobbi", "Ministry of Helth", "treasury", "kenha", "Recommendation: recover {n} from the officers",
+    "Auditor's opinion. In our view the accounts of {c} for the year {y} give a qualified picture: KES {n} was paid without vouchers, the register of assets was not kept, the balances of the banks could not be traced to the cash book, and bills of {p} days were left out.",
+    "Opinion: as in {y}.", "Audit opinion. The accounts of {c} for the year {y} were laid before us late; KES {n} was paid without vouchers, the register of assets was not kept, balances of the banks could not be traced to the cash book, and more bills of {p} days were left out. Adverse.",
 )
 
 

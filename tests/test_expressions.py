@@ -28,7 +28,10 @@ def one(spark, value, f):
         (T.period_date, "2022-Q3", datetime.date(2022, 7, 1)), (T.period_date, "2021-07", datetime.date(2021, 7, 1)), (T.period_date, "2020", datetime.date(2020, 1, 1)), (T.period_date, "x", None),
         (T.slug, "Health & Sanitation", "health-and-sanitation"), (T.name_key, "MURANG'A county", "muranga"), (T.name_key, "Trans-Nzoia  County", "trans nzoia"),
         (T.opinion, "Disclaimer of Opinion", "Disclaimer"), (T.opinion, "an adverse opinion", "Adverse"), (T.opinion, "Unqualified opinion", "Unqualified"), (T.opinion, "qualified opinion", "Qualified"), (T.opinion, "none", None),
-        (T.query_type, "tender irregular", "Procurement"), (T.query_type, "ghost worker on the payroll", "Payroll/HR"), (T.query_type, "unaccounted assets", "Financial Irregularity"), (T.query_type, "Contrary to the plan", "Non-Compliance"), (T.query_type, "nothing", None), (T.strict_amount, "KES 2.5B", 2.5e9), (T.strict_amount, "KES 1,200", 1200.0), (T.strict_amount, "1.5 bn", 0.0), (T.bill_amount, "Ksh. 1,200.5", 1200.5), (T.bill_amount, "nil", None), (T.bill_amount, "-", None), (T.flexible_time, "2021-07", datetime.datetime(2021, 7, 1)), (T.flexible_time, "2021-07-02T08:30:00", datetime.datetime(2021, 7, 2, 8, 30)), (T.flexible_time, "0086400000", datetime.datetime(1972, 9, 27)), (T.flexible_time, "soon", None), (T.document_kind, "Budget estimates", "budget"), (T.lender_kind, "Treasury Bond", "domestic"), (T.lender_kind, "Eurobond", "commercial"),
+        (T.query_type, "tender irregular", "Procurement"), (T.query_type, "ghost worker on the payroll", "Payroll/HR"), (T.query_type, "unaccounted assets", "Financial Irregularity"), (T.query_type, "Contrary to the plan", "Non-Compliance"), (T.query_type, "nothing", None), (T.strict_amount, "KES 2.5B", 2.5e9), (T.strict_amount, "KES 1,200", 1200.0), (T.strict_amount, "1.5 bn", 0.0), (T.bill_amount, "Ksh. 1,200.5", 1200.5), (T.bill_amount, "nil", None), (T.bill_amount, "-", None), (T.flexible_time, "2021-07", datetime.datetime(2021, 7, 1)), (T.flexible_time, "2021-07-02T08:30:00", datetime.datetime(2021, 7, 2, 8, 30)), (T.flexible_time, "0086400000", datetime.datetime(1972, 9, 27)), (T.flexible_time, "soon", None), (T.document_kind, "Budget estimates", "budget"), (T.document_kind, "Expenditure of 2020", "report"), (T.document_kind, "Auditor on loans", "audit"),
+        (T.lender_kind, "Treasury Bond", "domestic_bonds"), (T.lender_kind, "Eurobond", "external_commercial"), (T.lender_kind, "Central Bank", "domestic_overdraft"), (T.lender_kind, "x", "other"), (T.lender_type, "World Bank", "Multilateral"), (T.lender_type, "Green Bond", "Commercial"), (T.lender_type, "x", "Other"),
+        (T.bill_kind, "Court award", "court_awards"), (T.bill_kind, "x", "supplier_arrears"), (T.opinion_after_heading, "Opinion: qualified", "Unknown"), (T.opinion_after_heading, "OPINION\nUnqualified" + " x" * 100, "Unqualified"), (T.opinion_after_heading, "opinion" + " x" * 100 + " adverse", "Unknown"),
+        (T.recommendation, "Recommendation: recover it ", "recover it"), (T.recommendation, "nothing", None), (lambda c: T.similarity(c, "nairobi"), "nairobbi", 87.5), (lambda c: T.similarity(c, "nairobi"), "kwale", None),
     ],
 )
 def test_text(spark, f, text, want):
