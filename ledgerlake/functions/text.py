@@ -150,6 +150,11 @@ BILL_TYPES = (("salary", ("salary", "wage")), ("pension", ("pension",)), ("statu
 DOCUMENTS = (("audit", ("audit", "auditor")), ("budget", ("budget", "allocation")), ("report", ("implementation", "review", "expenditure")), ("loan", ("debt", "loan", "borrowing")))
 OPINION_WORDS = (("Unqualified", ("unqualified",)), ("Qualified", ("qualified",)), ("Adverse", ("adverse",)), ("Disclaimer of Opinion", ("disclaimer of opinion",)))
 
+CANDIDATE_GOOD = ("report", "budget", "implementation", "birr", "county", "national", "fy", "financial", "annual")
+CANDIDATE_BAD = ("logo", "branding", "letterhead", "template", "guideline")
+RELEVANT_HIGH = ("cbirr", "budget implementation", "county", "absorption")
+RELEVANT_MEDIUM = ("quarterly", "review", "performance", "budget")
+
 GAZETTEER = [(key, name, kind) for kind, names in (("county", COUNTY_NAMES), ("ministry", MINISTRY_NAMES), ("agency", AGENCY_NAMES)) for key, name in names]
 
 
@@ -211,6 +216,13 @@ def relevance(text: Column, strong: tuple[str, ...], weak: tuple[str, ...]) -> C
     return reduce(lambda a, b: a + b, [F.when(t.contains(w), k).otherwise(0) for ws, k in ((strong, 10), (weak, 5)) for w in ws])
 
 
+def candidate_score(url: Column, title: Column) -> Column:
+    """How much a file looks like a report: ten for each good term of either, less fifteen for a bad one, a bonus for its path and kind."""
+    u, t = F.lower(F.coalesce(url, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
+    points = [F.when(u.contains(w) | t.contains(w), k).otherwise(0) for ws, k in ((CANDIDATE_GOOD, 10), (CANDIDATE_BAD, -15)) for w in ws]
+    return reduce(lambda a, b: a + b, points) + F.when(u.contains("/wp-content/uploads/"), 8).otherwise(0) + F.when(u.rlike(r"\.pdf($|\?)"), 5).otherwise(0)
+
+
 def money_in_kes(text: Column, usd_rate: float = 129.0) -> Column:
     """Amount in shillings of a KES or USD figure with an optional word for its size; a bare number as it is."""
     pattern = r"(?i)\b(KES|KSh|USD)\.?\s*([\d,]+(?:\.\d+)?)\s*(billion|million|thousand)?"

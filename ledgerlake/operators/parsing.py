@@ -167,12 +167,13 @@ def classify_doc(r: Roles):
     return r.remarks.select("k", "t", T.document_kind(F.col("t")).alias("kind"))
 
 
-STRONG, WEAK = ("the ", "la "), (" of", " en", " der")
+def _points(terms, x: str) -> str:
+    return " + ".join(f"CASE WHEN contains({x}, '{w}') THEN {k} ELSE 0 END" for ws, k in terms for w in ws)
 
 
-@query("SELECT doc_id, CAST(" + " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {k} ELSE 0 END" for ws, k in ((STRONG, 10), (WEAK, 5)) for w in ws) + " AS INTEGER) AS score FROM documents")
+@query(f"SELECT k, t, CAST({_points(((T.RELEVANT_HIGH, 10), (T.RELEVANT_MEDIUM, 5)), 'lower(t)')} AS INTEGER) AS score FROM {VALUES}")
 def relevance_score(r: Roles):
-    return r.table("documents").select("doc_id", T.relevance(F.col("text"), STRONG, WEAK).alias("score"))
+    return r.remarks.select("k", "t", T.relevance(F.col("t"), T.RELEVANT_HIGH, T.RELEVANT_MEDIUM).alias("score"))
 
 
 @query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]e|copyright|rights'))) AS n_lines FROM documents")
@@ -210,10 +211,28 @@ def url_resolve(r: Roles):
     return links.select("page_id", "link", F.when(link.startswith("http"), link).when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(site, F.lit("/"), link)).alias("resolved"))
 
 
-@query("SELECT page_id, CAST(10 * CAST(contains(url, '/en/') AS INTEGER) + 10 * CAST(contains(url, 'page=') AS INTEGER) - 15 * CAST(contains(url, 'spam') AS INTEGER) AS INTEGER) AS score FROM pages")
+FILE = "CASE WHEN regexp_matches(t, '[0-9]') THEN '/wp-content/uploads/' || k || '.PDF?v=1' ELSE '/pages/' || k || '/Logo' END"
+
+
+def _files(r: Roles) -> DataFrame:
+    """A link for each remark: a file if the remark holds a number, else a page."""
+    k = F.col("k").cast("string")
+    url = F.when(F.col("t").rlike("[0-9]"), F.concat(F.lit("/wp-content/uploads/"), k, F.lit(".PDF?v=1"))).otherwise(F.concat(F.lit("/pages/"), k, F.lit("/Logo")))
+    return r.remarks.withColumn("url", url)
+
+
+@query(f"SELECT k, url, CAST({_points(((T.CANDIDATE_GOOD, 10), (T.CANDIDATE_BAD, -15)), 'lower(both_)')} + CASE WHEN contains(lower(url), '/wp-content/uploads/') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(lower(url), '\\.pdf($|\\?)') THEN 5 ELSE 0 END AS INTEGER) AS score FROM (SELECT k, url, url || chr(10) || t AS both_ FROM (SELECT k, t, {FILE} AS url FROM {VALUES}))")
 def candidate_score(r: Roles):
-    u = F.col("url")
-    return r.table("pages").select("page_id", (F.when(u.contains("/en/"), 10).otherwise(0) + F.when(u.contains("page="), 10).otherwise(0) - F.when(u.contains("spam"), 15).otherwise(0)).alias("score"))
+    return _files(r).select("k", "url", T.candidate_score(F.col("url"), F.col("t")).alias("score"))
+
+
+@query(f"""SELECT page_id, links, chosen, CASE WHEN chosen LIKE 'http%' THEN chosen WHEN chosen LIKE '/%' THEN {SITE} || chosen ELSE {SITE} || '/' || chosen END AS resolved FROM (SELECT page_id, url, len(l) AS links, coalesce(list_filter(l, lambda x: contains(lower(x), 'tion') OR contains(lower(x), 'mente'))[1], l[1]) AS chosen FROM (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1) AS l FROM pages)) WHERE links > 0""")
+def preferred_link(r: Roles):
+    """The first link of a page with a keyword, else its first, resolved against its site."""
+    links, site, chosen = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1), F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1), F.col("chosen")
+    fits = lambda x: F.lower(x).contains("tion") | F.lower(x).contains("mente")
+    p = r.table("pages").select("page_id", "url", links.alias("l")).where(F.size("l") > 0).withColumn("chosen", F.coalesce(F.get(F.filter("l", fits), 0), F.get("l", 0)))
+    return p.select("page_id", F.size("l").cast("bigint").alias("links"), "chosen", F.when(chosen.startswith("http"), chosen).when(chosen.startswith("/"), F.concat(site, chosen)).otherwise(F.concat(site, F.lit("/"), chosen)).alias("resolved"))
 
 
 @query("SELECT doc_id, text FROM documents WHERE text ILIKE '%license%' OR source ILIKE 'SRC1' ORDER BY doc_id LIMIT 10")

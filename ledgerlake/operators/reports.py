@@ -56,6 +56,13 @@ def report_search(r: Roles):
     return r.table("pages").where(F.col("url").ilike("%/EN/%") & F.col("url").ilike("%example%")).orderBy(F.desc("page_id")).limit(25).select("page_id", "url")
 
 
+@query("SELECT o_orderkey, o_orderpriority AS agency, o_orderstatus AS kind, CAST(year(o_orderdate) AS INTEGER) AS year FROM orders ORDER BY agency, kind, year DESC")
+def reports_export(r: Roles):
+    """All reports in the order of an export (three keys): a range partitioning and a sort, for ``files.write_json`` or ``write_csv``."""
+    rows = r.table("orders").select("o_orderkey", F.col("o_orderpriority").alias("agency"), F.col("o_orderstatus").alias("kind"), F.year("o_orderdate").alias("year"))
+    return rows.orderBy("agency", "kind", F.desc("year"))
+
+
 @query("SELECT source FROM (SELECT DISTINCT source FROM documents) WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 4000)")
 def missing_reports(r: Roles):
     docs = r.table("documents")

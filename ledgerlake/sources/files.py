@@ -14,11 +14,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document per file; a missing path is an empty table of the same schema."""
-    if not exists(spark, path):
+def read_json(spark: SparkSession, path: str, schema: str, *alternatives: str) -> DataFrame:
+    """One JSON document per file, from the first of the paths that exists; an empty table of the same schema without any."""
+    found = next((p for p in (path, *alternatives) if exists(spark, p)), None)
+    if found is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", True).json(found)
 
 
 def read_json_map(spark: SparkSession, path: str, field: str, value: str, key: str = "name") -> DataFrame:
@@ -46,6 +47,11 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Comma-separated text with a header; files follow each other in the order of a sorted ``df``."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

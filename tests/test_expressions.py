@@ -49,6 +49,12 @@ def test_health(spark, u, score, letter):
     assert (r["h"], r["g"]) == (score, letter)
 
 
+@pytest.mark.parametrize(("url", "title", "want"), [("/wp-content/uploads/Budget.pdf?x", "Annual report", 43), ("/logo.png", "County logo", -5), (None, None, 0), ("/a.pdf/b", "", 0)])
+def test_candidate_score(spark, url, title, want):
+    df = spark.createDataFrame([(url, title)], "u string, t string")
+    assert df.select(T.candidate_score(F.col("u"), F.col("t")).alias("v")).first()["v"] == want
+
+
 def test_fiscal_year(spark):
     days = [(datetime.date(2024, 6, 30), "FY2023/24"), (datetime.date(2024, 7, 1), "FY2024/25"), (datetime.date(1999, 12, 1), "FY1999/00")]
     got = spark.createDataFrame(days, "d date, want string").select("want", fy_label(fy_start(F.col("d"))).alias("got")).collect()

@@ -36,3 +36,17 @@ def test_append_is_idempotent(spark, tmp_path):
     more = spark.createDataFrame([(2, "x"), (3, "y")], "k int, t string")
     assert [r["k"] for r in files.append_new(more, path, ["k"]).collect()] == [3]
     assert sorted(r["k"] for r in spark.read.parquet(path).collect()) == [1, 2, 3]
+
+
+def test_alternative_paths(spark, tmp_path):
+    (tmp_path / "b.json").write_text(json.dumps({"k": 7}))
+    a, b, c = (str(tmp_path / f"{x}.json") for x in "abc")
+    assert [r["k"] for r in files.read_json(spark, a, "k bigint", c, b).collect()] == [7]
+    assert files.read_json(spark, a, "k bigint", c).count() == 0
+
+
+def test_csv_export_keeps_the_order(spark, tmp_path):
+    df = spark.createDataFrame([(i % 3, i, f"a,{i}") for i in range(50)], "k int, n int, t string").repartition(4)
+    files.write_csv(df.orderBy("k", "n"), str(tmp_path / "t"))
+    lines = [x for p in sorted((tmp_path / "t").glob("part-*.csv")) for x in p.read_text().splitlines()[1:]]
+    assert lines == [f'{k},{n},"a,{n}"' for k, n in sorted((i % 3, i) for i in range(50))]
