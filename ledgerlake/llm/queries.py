@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import new_path
-from . import decontaminate, html_extract, langid, materialise, oracles, packing, quality, simhash, suffix_dedup, token_rollup, url_filters
+from . import decontaminate, filter_audit, hard_negatives, html_extract, langid, materialise, ngram_join, oracles, packing, quality, simhash, suffix_dedup, token_rollup, url_filters
 from .common import materialise as written
 
 
@@ -76,6 +76,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
+def op12_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_near_dedup,
         op9_token_id_output,
         op10_html_extraction,
+        op11_filter_interaction_audit,
+        op12_ngram_jaccard_join,
+        op13_hard_negative_mining,
     )
 }
 ORACLE_SQL = oracles.ORACLE_SQL
