@@ -1,8 +1,9 @@
 """Jaccard join on sets of word n-grams by a prefix tree.
 
 All n-grams have one global order: by how often their slot of a fixed count table occurs in the corpus, then by hash, so
-n-grams that many texts share come last.  Two sets that link share one of their first n - ceil(0.9 n) + 1 n-grams in that
-order, so only sets that meet there are compared.  A parity bit map of each set (its Hamming distance never exceeds the size of
+n-grams that many texts share come last.  Two sets that link share one of their first p = n - ceil(0.9 n) + 1 n-grams in that
+order, and s + 1 of their first p + s; so a set may leave s of those out, if all sets choose by one rule.  Those that
+most sets have, by an exact count, are left out, and only sets that meet in one of the others are compared.  A parity bit map of each set (its Hamming distance never exceeds the size of
 the symmetric difference) takes members without a possible partner from small groups.  In the task, the groups of a run are one
 trie over their ordered sets, paths compressed.  Sets are probed level by level: the overlap with a shared path is counted once
 for all sets below it, and a subtree goes when what is left of the probe or of its longest set can't reach the overlap that its
@@ -36,7 +37,7 @@ SHARE = (90, 100)
 SLOTS = 1 << 20
 SLOT_ROWS = 64
 SKETCH = 512
-CAP = 1 << 21
+CAP = 1 << 20
 SMALL = 256
 STARS = 8
 SEEDS = 64
@@ -54,8 +55,18 @@ def need(total):
     return -(-SHARE[0] * total // (SHARE[0] + SHARE[1]))
 
 
+def least(n: int) -> int:
+    """Size of the smallest set that can link with one of ``n``."""
+    return -(-SHARE[0] * n // SHARE[1])
+
+
+def spare(n: int) -> int:
+    """How many n-grams a set of ``n`` takes beyond its prefix."""
+    return (n - least(n) + 1) // 2
+
+
 def prefix(n: int) -> int:
-    return n + (-SHARE[0] * n // SHARE[1]) + 1 if n else 0
+    return n - least(n) + 1 + spare(n) if n else 0
 
 
 def slot(v: np.ndarray) -> np.ndarray:
@@ -107,7 +118,8 @@ def slot_ranks(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(ranks):
-    """doc_id, text, size of the set, 128 bits that are equal for equal sets, parity bits, and the first n-grams."""
+    """doc_id, text, size of the set, how many of its n-grams may be left out, 128 bits that are equal for equal sets, parity
+    bits, and the first n-grams."""
 
     def work(batches):
         rank = ranks.value
@@ -122,8 +134,8 @@ def _sets(ranks):
                 same = to_signed(np.array(same, np.uint64).reshape(-1, 2).T.copy())
                 at = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(to_signed(np.concatenate(keys))))
-                columns = [b.column(0).slice(x, z - x), b.column(1).slice(x, z - x), pa.array(size, pa.int64()), pa.array(same[0]), pa.array(same[1]), pa.array(bits, pa.binary()), lists]
-                yield pa.record_batch(columns, names=["doc_id", "text", "size", "a", "b", "bits", "keys"])
+                columns = [b.column(0).slice(x, z - x), b.column(1).slice(x, z - x), pa.array(size, pa.int64()), pa.array([spare(least(n)) for n in size], pa.int32()), pa.array(same[0]), pa.array(same[1]), pa.array(bits, pa.binary()), lists]
+                yield pa.record_batch(columns, names=["doc_id", "text", "size", "spare", "a", "b", "bits", "keys"])
 
     return work
 
@@ -332,7 +344,7 @@ def _deal(node, parts, salt: int = 0):
 
 
 class Join:
-    """The join over a written table of sets (place, text, size, a, b, bits, keys), one node for equal sets."""
+    """The join over a written table of sets (place, text, size, spare, a, b, bits, keys), one node for equal sets."""
 
     def __init__(self, sets: DataFrame, nodes: DataFrame, ranks, cap: int) -> None:
         self.spark, self.nodes, self.ranks, self.cap = sets.sparkSession, nodes, ranks, cap
@@ -342,7 +354,9 @@ class Join:
         """(key, node, size) of the members of all groups that may hold a link."""
         tables = self.nodes.select(F.explode("keys").alias("key"), "node")
         groups = tables.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        met = tables.join(groups.hint("merge"), "key").join(self.nodes.select("node", "size", "bits").hint("merge"), "node").select("key", "n", "node", "size", "bits")
+        shared = tables.join(groups.hint("merge"), "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("met"))
+        rare = F.slice("met", F.lit(1), F.greatest(F.size("met") - F.col("spare"), F.lit(0)))  # n-grams of one set come before all
+        met = shared.join(self.nodes.select("node", "size", "spare", "bits").hint("merge"), "node").select("node", "size", "bits", F.explode(rare).alias("k")).select("k.key", "k.n", "node", "size", "bits")
         met, path = materialise(met, "met")
         few = met.where(F.col("n") <= SMALL).select("key", "node", "size", "bits").repartition("key").sortWithinPartitions("key").mapInArrow(_possible, "key long, node long, size long")
         kept, _ = materialise(few.unionByName(met.where(F.col("n") > SMALL).select("key", "node", "size")), "members")
@@ -391,10 +405,10 @@ def join(docs: DataFrame, cap: int = CAP) -> DataFrame:
     prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranks = spark.sparkContext.broadcast(slot_ranks(rows.select("text")))
-    sets = rows.mapInArrow(_sets(ranks), "doc_id long, text string, size long, a long, b long, bits binary, keys array<long>")
+    sets = rows.mapInArrow(_sets(ranks), "doc_id long, text string, size long, spare int, a long, b long, bits binary, keys array<long>")
     sets, _ = materialise(sets.select("*", F.monotonically_increasing_id().alias("place")), "sets")
     ids, _ = materialise(sets.where("size > 0").groupBy("a", "b").agg(F.min("place").alias("node"), F.min("doc_id").alias("first")), "nodes")
-    nodes, _ = materialise(sets.select(F.col("place").alias("node"), "size", "bits", "keys").join(ids.select("node").hint("merge"), "node", "left_semi"), "keys")
+    nodes, _ = materialise(sets.select(F.col("place").alias("node"), "size", "spare", "bits", "keys").join(ids.select("node").hint("merge"), "node", "left_semi"), "keys")
     roots, _ = materialise(components(Join(sets, nodes, ranks, cap).links()), "roots")
     named = ids.join(roots.hint("merge"), "node", "left").select("a", "b", "first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
