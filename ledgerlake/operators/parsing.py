@@ -188,12 +188,6 @@ def issue_sentences(r: Roles):
     return r.table("documents").select("doc_id", F.array_join(F.slice(F.filter(F.split("text", r"\.", -1), lambda x: F.lower(x).contains(" the ")), 1, 5), "|").alias("sentences"))
 
 
-@query("SELECT source, count(*) FILTER (WHERE contains(lower(text), ' and ')) AS mentions, count(*) AS docs, round(100.0::DOUBLE * count(*) FILTER (WHERE contains(lower(text), ' and ')) / count(*), 1) AS coverage FROM documents GROUP BY 1")
-def mention_coverage(r: Roles):
-    hit = F.count_if(F.lower("text").contains(" and "))
-    return r.table("documents").groupBy("source").agg(hit.alias("mentions"), F.count("*").alias("docs"), F.round(100.0 * hit / F.count("*"), 1).alias("coverage"))
-
-
 @query("SELECT page_id, len(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS links, coalesce(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)[1], '') AS first_link FROM pages")
 def html_links(r: Roles):
     links = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), 1)

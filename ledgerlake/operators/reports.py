@@ -342,16 +342,3 @@ def pipeline_counts(r: Roles):
 @query("SELECT doc_id, len(regexp_extract_all(text, '\\d+')) AS numbers, CAST(coalesce(TRY_CAST(regexp_extract(text, '(\\d+(?:\\.\\d+)?)\\s*%', 1) AS DOUBLE), -1) AS DOUBLE) AS first_pct FROM documents")
 def metric_extract(r: Roles):
     return r.table("documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(\d+)"), 1)).cast("bigint").alias("numbers"), F.coalesce(F.regexp_extract("text", r"(\d+(?:\.\d+)?)\s*%", 1).try_cast("double"), F.lit(-1.0)).alias("first_pct"))
-
-
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), m AS (SELECT doc_id, l, list_transform(l, lambda x: contains(lower(x), 'the')) AS hit FROM l), p AS (SELECT doc_id, l, hit, list_position(hit, true) AS a FROM m WHERE list_contains(hit, true)),
-    e AS (SELECT doc_id, l, hit, a, len(l) AS n, coalesce((SELECT min(i) FROM (SELECT unnest(range(a + 20, len(l) + 1)) AS i) WHERE NOT hit[i]), len(l) + 1) AS z FROM p) SELECT doc_id, array_to_string(l[a:z - 1], chr(10)) AS section FROM e""")
-def entity_section(r: Roles):
-    """Twenty lines from the first mention, and on while each further line still mentions it."""
-    l = F.split("text", "\n", -1)
-    d = r.table("documents").select("doc_id", l.alias("l"), F.transform(l, lambda x: F.lower(x).contains("the")).alias("hit"))
-    d = d.withColumn("a", F.array_position("hit", True)).where("a > 0")
-    rest = F.slice("hit", F.col("a").cast("int") + 20, F.size("hit"))
-    more = F.array_position(rest, False)
-    take = 20 + F.when(more > 0, more - 1).otherwise(F.size(rest))
-    return d.select("doc_id", F.array_join(F.slice("l", F.col("a").cast("int"), take.cast("int")), "\n").alias("section"))
\ No newline at end of file

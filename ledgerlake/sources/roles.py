@@ -223,4 +223,6 @@ def with_roles(sql: str) -> str:
     if not ctes:
         return sql
     s = sql.lstrip()
+    if s[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join(ctes)}, {s[15:].lstrip()}"
     return f"WITH {', '.join(ctes)}, {s[4:].lstrip()}" if s[:5].upper() == "WITH " else f"WITH {', '.join(ctes)} {s}"
