@@ -176,12 +176,6 @@ def relevance_score(r: Roles):
     return r.remarks.select("k", "t", T.relevance(F.col("t"), T.RELEVANT_HIGH, T.RELEVANT_MEDIUM).alias("score"))
 
 
-@query("SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '(?i)licen[cs]e|copyright|rights'))) AS n_lines FROM documents")
-def finding_lines(r: Roles):
-    """Lines of whole texts that carry a cue word."""
-    return r.table("documents").select("doc_id", F.size(F.filter(F.split("text", "\n", -1), lambda x: x.rlike("(?i)licen[cs]e|copyright|rights"))).cast("bigint").alias("n_lines"))
-
-
 @query("SELECT doc_id, array_to_string(list_filter(string_split(text, '.'), lambda x: contains(lower(x), ' the '))[1:5], '|') AS sentences FROM documents")
 def issue_sentences(r: Roles):
     """The first five sentences with a keyword (a top-k report)."""

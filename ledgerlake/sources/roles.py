@@ -148,12 +148,30 @@ REMARKS = (
 )
 
 
+#: Statements of a statistics office, some with figures that no country has.
+SURVEYS = (
+    "Total population: {p}.6 million people were counted in the census of {y}", "A population of {p},564,296 persons was enumerated, as the bureau says", "The population was estimated at {p}.2 in mn at the end of {m} {y}, says the bureau", "census: total: {p},123,456 households and all", "population: {p}.5 million", "Some {p}.4 million people live in the counties that the survey of {y} reached\nin all",
+    "GDP: KSh {p}.5 trillion in current prices", "Gross domestic product of Ksh. {g} billion", "GDP stood at KSh. {g}.25 million; the economy grew by {p}.1%", "GDP of {p}00 billion", "The economy expanded to KSh {p}.25 tn in {y}", "GDP growth: rate of {p}.9%", "growth of {p} per cent", "real GDP growth: {p}.4%", "GDP was {p},500,000,000,000",
+    "inflation: rate: was {p}.3%", "overall inflation averaged {p}.7%", "CPI inflation of {p}.1%", "Consumer price index {p}.0%", "inflation rose to {p}.3%", "unemployment rate: stood at {p}.7%", "unemployment was at {p}%", "{p}.5% unemployment", "poverty rate: is {p}.2%", "{p}% of the population living below poverty", "{p}.1% live in poverty", "poverty incidence {p}.6%", "no figures", "",
+)
+
+
+def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, t): a statement of a statistics office for every order."""
+    return filled(spark, sf_dir, SURVEYS)
+
+
 def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k, t): a remark in words on every order, with its amount, dates and an entity name."""
+    return filled(spark, sf_dir, REMARKS)
+
+
+def filled(spark: SparkSession, sf_dir: str, sentences: tuple[str, ...]) -> DataFrame:
+    """One of the sentences for every order, with the order's values in its places."""
     o, n, day = table(spark, sf_dir, "orders"), F.floor("o_totalprice").cast("bigint"), F.col("o_orderdate").cast("date")
     k = F.col("o_orderkey")
     pick = lambda values, by: F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
-    text = pick(REMARKS, k)
+    text = pick(sentences, k)
     grouped = F.when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise(n.cast("string"))
     values = {
         "n": n.cast("string"), "g": grouped, "y": F.date_format(day, "yyyy"), "z": F.lpad(F.pmod(F.year(day) + 1, F.lit(100)).cast("string"), 2, "0"), "m": F.date_format(day, "MM"), "d": F.date_format(day, "yyyy-MM-dd"),
@@ -164,7 +182,7 @@ def remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(k.alias("k"), text.alias("t"))
 
 
-ROLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entities, budget_lines, findings, loans, bills, population, gdp, remarks)}
+ROLES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (entities, budget_lines, findings, loans, bills, population, gdp, remarks, surveys)}
 
 FY = "CAST(year({0}) - CASE WHEN month({0}) < 7 THEN 1 ELSE 0 END AS INTEGER)"
 ROLE_SQL = {
@@ -198,9 +216,9 @@ def _quoted(values) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in values) + "]"
 
 
-def _remarks_sql() -> str:
+def _filled_sql(sentences: tuple[str, ...]) -> str:
     n, day = "CAST(floor(o_totalprice) AS BIGINT)", "CAST(o_orderdate AS DATE)"
-    text = f"{_quoted(REMARKS)}[CAST(o_orderkey % {len(REMARKS)} + 1 AS INTEGER)]"
+    text = f"{_quoted(sentences)}[CAST(o_orderkey % {len(sentences)} + 1 AS INTEGER)]"
     values = {
         "n": f"CAST({n} AS VARCHAR)", "g": f"CASE WHEN {n} >= 1000 THEN CAST({n} // 1000 AS VARCHAR) || ',' || lpad(CAST({n} % 1000 AS VARCHAR), 3, '0') ELSE CAST({n} AS VARCHAR) END",
         "y": f"strftime({day}, '%Y')", "z": f"lpad(CAST((year({day}) + 1) % 100 AS VARCHAR), 2, '0')", "m": f"strftime({day}, '%m')", "d": f"strftime({day}, '%Y-%m-%d')",
@@ -211,7 +229,7 @@ def _remarks_sql() -> str:
     return f"SELECT o_orderkey AS k, {text} AS t FROM orders"
 
 
-ROLE_SQL["remarks"] = _remarks_sql()
+ROLE_SQL["remarks"], ROLE_SQL["surveys"] = _filled_sql(REMARKS), _filled_sql(SURVEYS)
 
 
 def with_roles(sql: str) -> str:
