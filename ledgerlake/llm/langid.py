@@ -122,14 +122,15 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     """Centroids, their languages, IDF and rejection bounds, from labelled ``docs`` (doc_id, text, lang) given."""
     spark = docs.sparkSession
     known = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").count()
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = known.withColumn("h", F.xxhash64("doc_id", "text"))  # by content: an id that many rows share is no draw
+    sizes = drawn.select("lang", "h").distinct().groupBy("lang").count()
     share, _ = materialise(sizes.select("lang", (2.0 * per_language / F.col("count")).alias("share")), "shares")
     if share.count() <= BROADCAST_LANGUAGES:
         share = F.broadcast(share)
-    few = known.select("lang", "text", u.alias("u"), "doc_id").join(share, "lang").where("u < share")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", F.hash("text")))
-    sample, _ = materialise(few.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text").repartition(8), "langs")
+    few = drawn.select("lang", "text", "h", (F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)).alias("u")).join(share, "lang").where("u < share")
+    once = few.withColumn("copy", F.row_number().over(Window.partitionBy("lang", "h").orderBy("u"))).where("copy = 1")  # equal rows go in the first task
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("u", "h"))
+    sample, _ = materialise(once.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "text").repartition(8), "langs")
 
     def frequencies(batches):
         total, n = np.zeros(DIMENSIONS), 0
