@@ -219,19 +219,22 @@ def slots(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
 
 
 def place(pieces: DataFrame, seq_len: int = SEQ_LEN, group: int = GROUP) -> DataFrame:
-    """Add sequence_id and offset to a materialised table of pieces, ranked in groups of about ``group`` rows."""
+    """Add sequence_id and offset to a materialised table of pieces, ranked in groups of about ``group`` rows.
+
+    Groups go by ``row``, an identity of each piece, so that equal pieces are dealt to all of them.
+    """
     spark = pieces.sparkSession
     hist = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most seq_len rows
     buckets = max(LEAST_BUCKETS, 1 + max(hist.values(), default=0) // group)
     table = slots(plan(hist, seq_len))
     shared = spark.sparkContext.broadcast(table)  # bounded by the patterns over seq_len lengths
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     before = (
         keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
         .select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     )
-    within = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = keyed.withColumn("nth", F.row_number().over(within)).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
 
     def work(batches):
@@ -250,5 +253,5 @@ def place(pieces: DataFrame, seq_len: int = SEQ_LEN, group: int = GROUP) -> Data
 def pack(docs: DataFrame, seq_len: int = SEQ_LEN, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:
     """Pack ``docs`` (doc_id, text): one row per piece with its sequence and place.  Texts are tokenised once."""
     prepare(docs.sparkSession)
-    pieces, _ = materialise(tokenise(docs, seq_len, tokenizer, end_id), "pieces")
+    pieces, _ = materialise(tokenise(docs, seq_len, tokenizer, end_id).select("*", F.monotonically_increasing_id().alias("row")), "pieces")
     return place(pieces, seq_len)
