@@ -7,8 +7,8 @@ saves rows; a full table would pass all of them), the rest are joined on fingerp
 whole window by a 128-bit hash of the window's words.  A window names the set of its items, and a document's sets are
 united, so a window that many documents and many items share still costs each document one row.
 
-Results for unusual input: null texts and texts without words have no hits; items without id or without words are no
-items; rows that repeat an item id count as one item; repeated document rows are judged one by one; an empty benchmark
+Results for unusual input: null texts and texts without words have no hits; items without words are no items; what
+items without id hold is hit, but they are neither counted nor named; rows that repeat an item id count as one item; repeated document rows are judged one by one; an empty benchmark
 leaves every document clean; other columns are ignored.
 """
 
@@ -73,7 +73,7 @@ def _item_windows(batches):
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     return items.mapInArrow(_item_windows, "item_id string, size int, fingerprint long, whole_a long, whole_b long").distinct()
 
 

@@ -2,12 +2,12 @@
 
 All n-grams have one global order: by how often their slot of a fixed count table occurs in the corpus, then by hash, so
 n-grams that many texts share come last.  Two sets that link share one of their first p = n - ceil(0.9 n) + 1 n-grams in that
-order, and s + 1 of their first p + s; so a set may leave s of those out, if all sets choose by one rule.  Those that
-most sets have, by an exact count, are left out, and only sets that meet in one of the others are compared.  A parity bit map of each set (its Hamming distance never exceeds the size of
-the symmetric difference) takes members without a possible partner from small groups.  In the task, the groups of a run are one
-trie over their ordered sets, paths compressed.  Sets are probed level by level: the overlap with a shared path is counted once
-for all sets below it, and a subtree goes when what is left of the probe or of its longest set can't reach the overlap that its
-shortest set needs, or when all its sets are linked already.
+order, and s + 1 of their first p + s; so a set may leave s of those out, if all sets choose by one rule.  Those that most
+sets have, by an exact count, are left out, and only sets that meet in one of the others are compared.  A parity bit map of
+each set (its Hamming distance never exceeds the size of the symmetric difference) takes members without a possible partner
+from small groups.  In the task, the groups of a run are one trie over their ordered sets, paths compressed.  Sets are probed
+level by level: the overlap with a shared path is counted once for all sets below it, and a subtree goes when what is left of
+the probe or of its longest set can't reach the overlap that its shortest set needs, or when all its sets are linked already.
 
 Scale: equal sets are one node.  The count table has ``SLOTS`` slots at any size: it costs 4 MB to broadcast, and n-grams
 whose count stands out from the noise of a slot, the root of its load, sort last.  A group of over ``CAP`` n-grams is dealt

@@ -18,18 +18,18 @@ def decontaminate(docs, items):
     windows = defaultdict(set)
     for i, x in items:
         w = ITEM_WORD.findall((x or "").translate(ASCII))
-        if i is None or not w:
+        if not w:
             continue
         m = min(10, len(w))
         for k in range(len(w) - m + 1):
-            windows[tuple(w[k : k + m])].add(str(i))
+            windows[tuple(w[k : k + m])] |= set() if i is None else {str(i)}
     sizes = {len(k) for k in windows}
     out = {}
     for n, (_, x) in enumerate(docs):
         w, hit, ids = ITEM_WORD.findall((x or "").translate(ASCII)), set(), set()
         for m in sizes:
             for k in range(len(w) - m + 1):
-                if z := windows.get(tuple(w[k : k + m])):
+                if (z := windows.get(tuple(w[k : k + m]))) is not None:
                     hit |= set(range(k, k + m))
                     ids |= z
         out[n] = (len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,10 +50,34 @@ def test_packing_packs_each_row_of_an_id(odd):
 def test_decontamination_judges_each_row_of_an_id(spark, odd):
     items = spark.createDataFrame([(1, "one two three", 9), (1, "one two three", 9), (2, LONG[5000:5400], 9), (None, "one two", 9), (3, None, 9)], "item_id long, text string, row int")
     got = found(decontaminate.decontaminate(odd, items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    want = brute.decontaminate([(i, t) for i, t in ROWS], [(1, "one two three"), (2, LONG[5000:5400])])
+    want = brute.decontaminate([(i, t) for i, t in ROWS], [(1, "one two three"), (2, LONG[5000:5400]), (None, "one two")])
     assert got == sorted(((i, *want[n]) for n, (i, _) in enumerate(ROWS)), key=str)
 
 
+def test_a_leak_without_a_name_is_hit(spark):
+    docs = table(spark, [(1, "here is a text of eleven words that nobody named at all today"), (2, "clean")])
+    items = spark.createDataFrame([(None, "A text of eleven words that nobody named at all"), (7, "other words")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (10, 0, True), 2: (0, 0, False)}
+
+
+@pytest.mark.parametrize("ids", ["one", "equal rows"])
+def test_no_language_is_lost_to_repeated_ids(spark, ids):
+    """One id on every row, and a language that is one row many times over, with a sample smaller than either."""
+    learnt = next(i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1)
+    alphabets = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    r = random.Random(5)
+    text = lambda a: " ".join("".join(r.choice(a) for _ in range(r.randint(2, 7))) for _ in range(40))
+    rows = [(learnt, t, g) for g, a in alphabets.items() for t in ([text(a)] * 60 if ids == "equal rows" and g == "bb" else [text(a) for _ in range(60)])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), per_language=5, centroids=2)
+    assert set(model["langs"]) == set(alphabets)
+
+
+def test_equal_rows_are_dealt_to_all_buckets(spark):
+    pieces = packing.pack(table(spark, [(None, "same")] * 3000))
+    assert pieces.count() == 3000 and pieces.select("sequence_id", "offset").distinct().count() == 3000
+
+
 def test_languages_of_each_row(spark, odd):
     got = found(langid.identify(odd), "doc_id", "lang_pred", "score")
     assert got == sorted(((i, "und", 0.0) for i, _ in ROWS), key=str)  # no row has a language to learn from
