@@ -151,7 +151,7 @@ def test_decontamination_of_a_window_that_many_items_hold(spark):
     want = brute.decontaminate(given, items)
     got = sorted((r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.decontaminate(df, bench).collect())
     assert got == sorted(want.values()) and sum(w[2] == 80 for w in want.values()) == 61
-    windows, sets = decontaminate.item_sets(decontaminate.item_windows(bench))
+    windows, sets = decontaminate.item_sets(decontaminate.item_places(bench))
     shared = [r for r in sets.collect() if len(r["ids"]) == 80]
     assert len(shared) == 1 and windows.where(windows["of"] == shared[0]["of"]).count() == 1
 
