@@ -47,5 +47,5 @@ def test_registered(spark, sf):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()) == sorted(f"op{i}" for i in range(1, 11))
+    assert "pipeline" in names and sorted(n.split("_")[0] for n in names if n[:2] == "op" and n[2].isdigit()) == sorted(f"op{i}" for i in range(1, 14))
     assert corpus_pipeline.run(spark, sf).count() > 0
