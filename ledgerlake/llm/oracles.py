@@ -44,10 +44,47 @@ def _own(src: str, key: str) -> str:
     return f"SELECT {key}, arg_max(struct_pack(verdict := v.verdict, rule := v.h || v.p), len(v.h || v.p)) AS own FROM {src} JOIN rules v ON (host = v.h OR ends_with(host, '.' || v.h)) AND starts_with(path, v.p) GROUP BY {key}"
 
 
+_W = r"[ \t\n\f\r]"
+_INERT = r"(?is)<!--(?:-?>|.*?(?:--!?>|\z))" + "".join(rf"|<{t}[ \t\n\f\r/>].*?(?:</{t}[ \t\n\f\r/>]|\z)" for t in ("script", "style", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"))
+_TAGS = rf"""(?is)(<(?:link|meta|base)(?:[ \t\n\f\r/](?:[^>=]|={_W}*"[^"]*"|={_W}*''[^'']*''|={_W}*[^ \t\n\f\r"''>])*(?:={_W}*)?)?>)|<(?:link|meta|base)[ \t\n\f\r/>].*"""
+_PAIRS = rf"""(?s)[^ \t\n\f\r/>=]+(?:{_W}*={_W}*(?:"[^"]*"|''[^'']*''|[^ \t\n\f\r>]*))?"""
+
+
+def _attribute(name: str) -> str:
+    """The first attribute of that name in the list ``pairs``, unquoted, its references resolved."""
+    first = rf"regexp_extract(list_filter(pairs, lambda q: lower(regexp_extract(q, '^[^ \t\n\f\r=]+')) = '{name}')[1], '(?s)^[^ \t\n\f\r=]+{_W}*={_W}*(.*)$', 1)"
+    bare = f"""list_transform([{first}], lambda v: CASE WHEN v[1] = '"' OR v[1] = '''' THEN substr(v, 2, len(v) - 2) ELSE v END)[1]"""
+    code = "list_transform([CAST(CASE WHEN regexp_matches(r, '(?i)^&#x[0-9a-f]+') THEN '0x' || regexp_extract(r, '(?i)^&#x([0-9a-f]+)', 1) WHEN regexp_matches(r, '^&#[0-9]') THEN regexp_extract(r, '[0-9]+') END AS INT)], lambda c: CASE WHEN c < 1 OR c > 1114111 OR c BETWEEN 55296 AND 57343 THEN chr(65533) ELSE chr(c) END)[1]"
+    one = f"""CASE lower(r) WHEN '&amp;' THEN '&' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' WHEN '&quot;' THEN '"' WHEN '&apos;' THEN '''' ELSE coalesce({code}, r) END"""
+    parts = "regexp_extract_all(v, '(?is)&(?:#[0-9]{1,7};?|#x[0-9a-f]{1,6};?|(?:amp|lt|gt|quot|apos);)|[^&]+|&')"
+    return f"list_transform([{bare}], lambda v: CASE WHEN v = '' THEN v ELSE array_to_string(list_transform({parts}, lambda r: {one}), '') END)[1]"
+
+
+def _plain(url: str) -> str:
+    """The url with the path that a browser would ask for."""
+    path = "regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+    kept = f"list_reduce(list_transform(string_split({path}, '/')[2:], lambda s: [s]), lambda k, s: CASE regexp_replace(s[1], '(?i)%2e', '.', 'g') WHEN '.' THEN k WHEN '..' THEN k[1:len(k) - 1] ELSE k || s END, CAST([] AS VARCHAR[]))"
+    clean = rf"CASE WHEN regexp_matches({path}, '(?i)/(\.|%2e)(\.|%2e)?(/|$)') THEN list_transform([{kept}], lambda k: '/' || array_to_string(k, '/') || CASE WHEN len(k) > 0 AND regexp_matches({path}, '(?i)/(\.|%2e)(\.|%2e)?$') THEN '/' ELSE '' END)[1] WHEN {path} = '' THEN '/' ELSE {path} END"
+    return f"list_transform([{url}], lambda u: CASE WHEN contains(u, '://') THEN regexp_extract(u, '(?s)^.*?://[^/?#]*') || {clean} || regexp_extract(u, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) END)[1]"
+
+
+def _absolute(link: str, base: str) -> str:
+    to = rf"regexp_replace(regexp_replace({link}, '[\t\n\r]', '', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
+    site, path = f"regexp_extract({base}, '(?s)^.*?://[^/?#]*')", _PATH.format(base)
+    whole = rf"""CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN t WHEN t = '' OR regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN NULL WHEN starts_with(t, '//') THEN regexp_extract({base}, '(?s)^(.*?)://', 1) || ':' || t
+  WHEN starts_with(t, '/') THEN {site} || t WHEN starts_with(t, '?') THEN {site} || {path} || t WHEN starts_with(t, '#') THEN regexp_extract({base}, '(?s)^[^#]*') ELSE {site} || coalesce(nullif(regexp_replace({path}, '[^/]*$', ''), ''), '/') || t END"""
+    return _plain(f"list_transform([{to}], lambda t: {whole})[1]")
+
+
 OP5 = rf"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES {_RULES}) v(verdict, h, p)),
-l AS MATERIALIZED (SELECT row_number() OVER () AS row, page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, [regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)] AS links FROM pages),
-x AS (SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?)://', 1) || ':' || link WHEN starts_with(link, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || link WHEN link <> '' THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_replace(path, '[^/]*$', ''), ''), '/') || link END AS target FROM (SELECT url, path, replace(unnest(links), '&amp;', '&') AS link FROM l)),
+l AS MATERIALIZED (SELECT row_number() OVER () AS row, page_id, url, {_HOST.format("url")} AS host, {_PATH.format("url")} AS path, list_filter(regexp_extract_all(regexp_replace(html, '{_INERT}', ' ', 'g'), '{_TAGS}', 1), lambda x: x <> '') AS tags FROM pages),
+t AS (SELECT row, url, i, lower(tags[i][2:5]) AS tag, regexp_extract_all(tags[i][6:], '{_PAIRS}') AS pairs FROM (SELECT row, url, tags, unnest(range(1, len(tags) + 1)) AS i FROM l)),
+v AS (SELECT row, url, i, tag, {_attribute("href")} AS href, {_attribute("rel")} AS rel, {_attribute("http-equiv")} AS equiv, regexp_extract({_attribute("content")}, '(?is)^{_W}*(?:[0-9]+[0-9.]*|\.[0-9.]*){_W}*[;, \t\n\f\r]{_W}*(?:url{_W}*={_W}*)?(.*)$', 1) AS rest FROM t),
+z AS (SELECT row, arg_min(href, i) AS base FROM v WHERE tag = 'base' AND href IS NOT NULL GROUP BY 1),
+y AS (SELECT v.row, url, coalesce({_absolute("base", "url")}, url) AS base, CASE WHEN tag = 'link' THEN href WHEN rest[1] = '"' OR rest[1] = '''' THEN string_split(rest[2:], rest[1])[1] ELSE rest END AS link
+  FROM v LEFT JOIN z USING (row) WHERE tag = 'link' AND list_contains(regexp_split_to_array(lower(rel), '{_W}+'), 'canonical') OR tag = 'meta' AND lower(equiv) = 'refresh'),
+x AS (SELECT url, {_absolute("link", "base")} AS target FROM y UNION ALL SELECT url, {_plain("url")} FROM l),
 p AS (SELECT row, page_id, host, path, {_NODE.format("url")} AS node FROM l),
 g AS (SELECT {_NODE.format("url")} AS node, {_NODE.format("target")} AS goal FROM x),
 own AS ({_own("p", "row")}),
