@@ -8,8 +8,10 @@ the sums of all committed rows; since they only add, the order of batches doesn'
 ``compact`` writes a list of the committed ids first, folds exactly the batches of that list into a snapshot, and then
 publishes it by a file ``snapshots/<number>``, again created only where none is.  A batch committed in between isn't on
 the list and counts on top of the snapshot; of two compactions at once, one is published and the other discards its work.
-Lists of ids are tables, joined by Spark; the driver holds none.  ``vacuum`` deletes what is folded or was never committed,
-while no reader or writer is at work.
+Lists of ids are tables, joined by Spark; the driver holds none.  The snapshot keeps the ids of all that it folds, so
+``vacuum``, while no reader or writer is at work, folds what is left and then deletes the folders of batches and commits as
+a whole; a batch that is replayed after that is still known.  Only snapshots are listed by name, one for each compaction
+since the last ``vacuum``.
 
 The store must be a file system whose creation of a file fails if the file exists (HDFS, local; not every object store).
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import _fs, prepare
+from .common import _fs, exists, prepare, remove
 
 KEYS = ["source", "lang", "version"]
 DELTA = "source string, lang string, version string, docs long, tokens long"
@@ -96,21 +98,25 @@ def _file_name() -> F.Column:
 def commit(spark: SparkSession, store: str, batch_id: str, changes: DataFrame) -> bool:
     """Commit a batch once.  False if it was there already."""
     mark = f"{store}/commits/{_name(batch_id)}"
-    fs, p = _fs(spark, mark)
-    if fs.exists(p):
+    if exists(spark, mark) or _folded(spark, store, batch_id):
         return False
     folder = uuid.uuid4().hex
-    deltas(changes).coalesce(1).write.parquet(f"{store}/data/{folder}")  # a row a group
+    deltas(changes).write.parquet(f"{store}/data/{folder}")  # a row a group
     if _create(spark, mark, folder):
         return True
-    _, q = _fs(spark, f"{store}/data/{folder}")
-    fs.delete(q, True)
+    remove(spark, f"{store}/data/{folder}")
     return False
 
 
+def _folded(spark: SparkSession, store: str, batch_id: str) -> bool:
+    """Whether the newest snapshot holds the batch."""
+    at = _snapshot(spark, store)
+    return at is not None and not spark.read.parquet(f"{at}/ids").where(F.col("id") == batch_id).isEmpty()
+
+
 def committed(spark: SparkSession, store: str) -> DataFrame:
-    """(id, folder) of all committed batches."""
-    if not _children(spark, f"{store}/commits"):
+    """(id, folder) of the batches that were committed since the last ``vacuum``."""
+    if not exists(spark, f"{store}/commits"):
         return spark.createDataFrame([], "id string, folder string")
     return spark.read.text(f"{store}/commits").select(_file_name().alias("id"), F.col("value").alias("folder"))
 
@@ -127,7 +133,7 @@ def _snapshot(spark: SparkSession, store: str) -> str | None:
 
 def _batches(spark: SparkSession, store: str, ids: DataFrame) -> DataFrame:
     """Rows of the batches in ``ids`` (id, folder)."""
-    if not _children(spark, f"{store}/data"):
+    if not exists(spark, f"{store}/data"):
         return spark.createDataFrame([], DELTA)
     rows = spark.read.schema(DELTA).option("recursiveFileLookup", True).parquet(f"{store}/data")
     rows = rows.select(*rows.columns, F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder"))
@@ -150,9 +156,13 @@ def totals(spark: SparkSession, store: str) -> DataFrame:
 
 def compact(spark: SparkSession, store: str) -> bool:
     """Fold the batches committed so far into a snapshot.  False if another compaction was published meanwhile."""
-    number, at = len(_snapshots(spark, store)), _snapshot(spark, store)
+    found, at = _snapshots(spark, store), _snapshot(spark, store)
+    number = int(found[-1]) + 1 if found else 0
     to = f"{store}/folded/{uuid.uuid4().hex}"
-    committed(spark, store).write.parquet(f"{to}/ids")  # from here on this list decides, not the folder
+    ids = committed(spark, store)
+    if at:
+        ids = ids.unionByName(spark.read.parquet(f"{at}/ids")).distinct()
+    ids.sort("id").write.parquet(f"{to}/ids")  # from here on this list decides, not the folder
     ids = spark.read.parquet(f"{to}/ids")
     if at:
         rows = _batches(spark, store, ids.join(spark.read.parquet(f"{at}/ids"), "id", "left_anti")).unionByName(spark.read.schema(DELTA).parquet(f"{at}/totals"))
@@ -161,23 +171,18 @@ def compact(spark: SparkSession, store: str) -> bool:
     _sum(rows).write.parquet(f"{to}/totals")
     if _create(spark, f"{store}/snapshots/{number:09d}", to.rsplit("/", 1)[1]):
         return True
-    fs, p = _fs(spark, to)
-    fs.delete(p, True)
+    remove(spark, to)
     return False
 
 
 def vacuum(spark: SparkSession, store: str) -> None:
-    """Delete batch folders that the newest snapshot holds or that were never committed, and older snapshots' folders.
+    """Fold all committed batches, then delete their folders, those never committed, and all older snapshots.
 
-    Only while nothing reads or commits: a writer's folder isn't committed until its file is there.
+    Only while nothing reads or commits: a writer's folder isn't committed until its file is there.  If it is interrupted
+    anywhere, totals stay right: whatever is left of a folded batch is on the snapshot's list.
     """
-    at = _snapshot(spark, store)
-    if not at:
-        return
-    open_ = committed(spark, store).join(spark.read.parquet(f"{at}/ids"), "id", "left_anti")
-    keep = {r["folder"] for r in open_.select("folder").collect()}  # batches since the last compaction
-    for part, kept in (("data", keep), ("folded", {at.rsplit("/", 1)[1]})):
-        for name in _children(spark, f"{store}/{part}"):
-            if name not in kept:
-                fs, p = _fs(spark, f"{store}/{part}/{name}")
-                fs.delete(p, True)
+    compact(spark, store)
+    remove(spark, f"{store}/data", f"{store}/commits")
+    newest, at = _snapshots(spark, store)[-1], _snapshot(spark, store)
+    remove(spark, *(f"{store}/folded/{x}" for x in _children(spark, f"{store}/folded") if x != at.rsplit("/", 1)[1]))
+    remove(spark, *(f"{store}/snapshots/{x}" for x in _snapshots(spark, store) if x != newest))
