@@ -116,6 +116,33 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
+def publish(fs, temp: str, path: str, raw: bytes) -> None:
+    """Make ``path`` a file of these bytes without a moment in which it is missing or partial.
+
+    What another attempt published stays if it holds the same bytes; else a rename takes its place.
+    """
+
+    def there() -> bool:
+        if not fs.get_file_info(path).is_file:
+            return False
+        with fs.open_input_file(path) as src:
+            return src.read() == raw
+
+    if there():
+        return
+    with fs.open_output_stream(temp) as out:
+        out.write(raw)
+    try:
+        fs.move(temp, path)
+    except OSError:  # a store whose renames don't replace: another attempt was first, or an older run's file is there
+        if there():
+            return
+        if not fs.get_file_info(path).is_file:
+            raise
+        fs.delete_file(path)
+        fs.move(temp, path)
+
+
 def write(
     docs: DataFrame, uri: str, seq_len: int = SEQ_LEN, key: int = KEY, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, shard_size: int = SHARD_SIZE, id_type: str = ID_TYPE
 ) -> DataFrame:
@@ -163,24 +190,19 @@ def write(
         if held:
             yield packed(held)
 
-    shards = max(1, -(-count // shard_size))
+    shards, attempts = max(1, -(-count // shard_size)), f".attempts-{uuid.uuid4().hex}"
     dealt = blocks.mapInArrow(pieces, "shard int, slots array<long>, sequences array<long>, at array<long>, n array<long>, z binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
 
     def work(batches):
         """Put the pieces of a shard, which has a fixed size, in their places, and write it."""
         fs, folder = _store(uri)
         codec = pa.Codec("zstd")
-        fs.create_dir(folder, recursive=True)
+        fs.create_dir(f"{folder}/{attempts}", recursive=True)
         now = ids = tokens_ = sequence = None
 
         def done() -> pa.RecordBatch:
             n = len(tokens_)
-            temp, path = f"{folder}/.shard-{now:08d}-{uuid.uuid4().hex}", f"{folder}/shard-{now:08d}.bin"
-            with fs.open_output_stream(temp) as out:
-                out.write(ids.tobytes())
-            if fs.get_file_info(path).is_file:  # of a lost attempt, with the same bytes
-                fs.delete_file(path)
-            fs.move(temp, path)
+            publish(fs, f"{folder}/{attempts}/{now:08d}-{uuid.uuid4().hex}", f"{folder}/shard-{now:08d}.bin", ids.tobytes())
             at = np.arange(n, dtype=np.int64)
             crc = [zlib.crc32(ids[i].tobytes()) for i in range(n)]
             return pa.record_batch([pa.array(now * shard_size + at), pa.array(sequence), pa.array(np.full(n, now, np.int32)), pa.array(at * stride), pa.array(tokens_), pa.array(crc, pa.int64())], names=["slot", "sequence", "shard", "byte_offset", "n_tokens", "ids_crc32"])
@@ -203,6 +225,9 @@ def write(
             yield done()
 
     found, _ = materialise(dealt.mapInArrow(work, "slot long, sequence long, shard int, byte_offset long, n_tokens long, ids_crc32 long"), "slots")
+    fs, folder = _store(uri)
+    if fs.get_file_info(f"{folder}/{attempts}").type.name == "Directory":
+        fs.delete_dir(f"{folder}/{attempts}")  # what lost attempts left
     remove(spark, blocks_path)
     return found
 
