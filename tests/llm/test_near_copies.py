@@ -58,13 +58,13 @@ def edited_texts() -> dict:
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize("block", [near_copies.BLOCK, 2])
-def test_recall_and_precision_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block, cap", [(near_copies.BLOCK, near_copies.CAP), (2, near_copies.CAP), (near_copies.BLOCK, 700)])
+def test_recall_and_precision_against_all_pairs(spark, block, cap):
     texts = edited_texts()
     pairs = jaccard_pairs(texts)
     assert len(pairs) > 200 and any(texts[i] and texts[j] and texts[i].lower() != texts[j].lower() for i, j in pairs)
     rows, _ = materialise(spark.createDataFrame([(i, i, t) for i, t in texts.items()], "place long, doc_id long, text string").repartition(5), "test_rows")
-    got = {r["place"] for r in near_copies.survivors(rows, block).collect()}
+    got = {r["place"] for r in near_copies.survivors(rows, block, cap).collect()}
     assert got == {i for i, k in least(texts, pairs).items() if i == k}
 
 
