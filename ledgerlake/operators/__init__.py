@@ -2,6 +2,6 @@
 
 from ..plans.registry import ORACLE_SQL, QUERIES
 from ..streaming import queries as streaming
-from . import audit, budget, debt, economic, ingest, mentions, names, nested, parsers, parsing, parsing_more, reports, tables
+from . import audit, budget, debt, economic, ingest, lookups, mentions, names, nested, parsers, parsing, parsing_more, reports, tables
 
-__all__ = ["ORACLE_SQL", "QUERIES", "audit", "budget", "debt", "economic", "ingest", "mentions", "names", "nested", "parsers", "parsing", "parsing_more", "reports", "streaming", "tables"]
+__all__ = ["ORACLE_SQL", "QUERIES", "audit", "budget", "debt", "economic", "ingest", "lookups", "mentions", "names", "nested", "parsers", "parsing", "parsing_more", "reports", "streaming", "tables"]
