@@ -1,11 +1,11 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from the SimHash of the shingles, in the covering tables of ``simhash`` (every pair within ``RADIUS`` bits
-meets in one).  A pair at 0.8 differs in about 10 of 64 bits, though: radius 4 finds 8 % of such pairs, and radius 12, which
-finds 96 %, takes 8191 tables.  So min-wise samples of the same shingles complete the candidates: ``BANDS`` keys of ``ROWS``
-minima each, of which a pair at 0.8 shares none with probability (1 - 0.8**4)**24, about 3 in a million, and more similar
-pairs less often.  Every candidate is decided by the exact similarity of both sets of 64-bit shingle hashes, and components
-are taken over the pairs that pass.
+The method is that of ``simhash``, on five words: fingerprints of 64 bits, covering tables, comparison of the bits, components
+of what differs in ``RADIUS`` bits or fewer.  The members of such a class are then compared exactly.  A pair at 0.8 differs in
+about 10 of 64 bits, though: radius 4 finds 8 % of such pairs, and radius 12, which finds 96 %, takes 8191 tables.  So min-wise
+samples of the same shingles complete the candidates: ``BANDS`` keys of ``ROWS`` minima each, of which a pair at 0.8 shares
+none with probability (1 - 0.8**4)**24, about 3 in a million, and more similar pairs less often.  Every candidate is decided
+by the exact similarity of both sets of 64-bit shingle hashes, and components are taken over the pairs that pass.
 
 Scale: texts with equal shingles are one node; joins with candidates are merges at any size, as both sides grow with the
 documents.  Buckets with the same members are decided once.  Members stream into the task that holds their bucket, which
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import ODD, ODD2, U, chunks, gram_hash, materialise, mix, prepare, remove, runs, span_hash, to_signed
 from .components import components
 from .simhash import RADIUS, masks
+from .simhash import links as within_radius
 
 SHINGLE = 5
 BANDS = 24
@@ -69,17 +70,23 @@ def shingles(bounds: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarr
 _MASKS = np.array(masks(RADIUS), np.uint64)
 
 
-def covering_keys(v: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Key of each covering table for the SimHash of each text; ``at`` is the first of its shingles ``v``."""
+def fingerprints(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash of each text: bits set in over half of its shingles; ``at`` is the first of its shingles ``v``."""
     size = np.diff(np.append(at, len(v)))
     fp = np.zeros(len(at), np.uint64)
     for b in range(64):
         fp |= (2 * np.add.reduceat((v >> U(b)) & U(1), at) > size).astype(np.uint64) << U(b)
+    return fp
+
+
+def covering_keys(v: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Key of each text in each covering table, as ``simhash.links`` deals fingerprints; the tests look at single tables by it."""
+    fp = fingerprints(v, at)
     return mix((fp[:, None] & _MASKS[None, :]) * ODD2[2] + np.arange(BANDS, BANDS + len(_MASKS), dtype=np.uint64) * ODD2[1])
 
 
 def _samples(batches):
-    """place, number of shingles, 128 bits that are equal for equal ones, and the keys of the bands and of the covering tables."""
+    """place, number of shingles, SimHash, 128 bits that are equal for equal ones, and the keys of the bands."""
     for b in batches:
         places = b.column(0)
         for x, z, bounds, data in chunks(b.column(1)):
@@ -91,10 +98,9 @@ def _samples(batches):
                 for j in range(t * ROWS, (t + 1) * ROWS):
                     keys[:, t] = mix(keys[:, t] * ODD2[0] + np.minimum.reduceat((v ^ _FLIP[j]) * _TIMES[j], at))
                 keys[:, t] = mix(keys[:, t] + U(t) * ODD2[1])
-            keys = np.concatenate([covering_keys(v, at), keys], 1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(z - x + 1) * keys.shape[1], pa.int32()), pa.array(to_signed(keys.ravel())))
             size = pa.array(np.diff(np.append(at, len(v))))
-            yield pa.record_batch([places.slice(x, z - x), size, *(pa.array(to_signed(s)) for s in same), lists], names=["place", "size", "a", "b", "keys"])
+            yield pa.record_batch([places.slice(x, z - x), size, *(pa.array(to_signed(s)) for s in (fingerprints(v, at), *same)), lists], names=["place", "size", "fp", "a", "b", "keys"])
 
 
 def _stars(nodes: list[int], sets: list[np.ndarray], seeds: list[bool]) -> tuple[np.ndarray, np.ndarray]:
@@ -201,9 +207,17 @@ def _outside(crowded: DataFrame, first: DataFrame, own, block: int, cap: int) ->
     return asked.unionByName(every).select(F.xxhash64("key", "share", "part").alias("unit"), "node", "seed")
 
 
+def classes(nodes: DataFrame) -> DataFrame:
+    """(node, size, class) of the nodes (node, size, fp): one class for all that fingerprints within the radius connect."""
+    roots, _ = materialise(components(within_radius(nodes.select("fp").distinct())), "simhash_roots")
+    named = nodes.select("node", "size", "fp").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return named.select("node", "size", F.coalesce("root", "fp").alias("class"))
+
+
 def links(rows: DataFrame, nodes: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
-    """Pairs (u, v) of nodes that connect all near copies; rows: (place, text), nodes: (node, size, keys)."""
-    tables = nodes.select("node", "size", F.explode("keys").alias("key"))
+    """Pairs (u, v) of nodes that connect all near copies; rows: (place, text), nodes: (node, size, fp, keys)."""
+    alike, alike_path = materialise(classes(nodes).select("node", "size", F.xxhash64(F.lit("class"), "class").alias("key")), "classes")
+    tables = alike.unionByName(nodes.select("node", "size", F.explode("keys").alias("key")))
     buckets = tables.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all"), F.sum("size").alias("weight")).where("n > 1")
     once = buckets.groupBy("n", "lo", "hi", "all").agg(F.min("key").alias("key"), F.min("weight").alias("weight"))
     chosen, chosen_path = materialise(once.select("key", _parts(F.col("n"), F.col("weight"), block, cap).alias("parts")), "buckets")
@@ -220,7 +234,7 @@ def links(rows: DataFrame, nodes: DataFrame, block: int = BLOCK, cap: int = CAP)
         parts = crowded.select("key", own.alias("part"), "node").unionByName(shared.select("key", "part", "node"))
         first = _within(texts, units.unionByName(parts.select(F.xxhash64("key", "part").alias("unit"), "node", seed)))
         found = first.unionByName(_within(texts, _outside(crowded, first, own, block, cap)))
-    remove(rows.sparkSession, chosen_path, members_path)
+    remove(rows.sparkSession, chosen_path, members_path, alike_path)
     return found
 
 
@@ -232,9 +246,9 @@ def survivors(rows: DataFrame, block: int = BLOCK, cap: int = CAP) -> DataFrame:
     prepare(rows.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = rows.select("place", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    sampled, _ = materialise(rows.select("place", "text").mapInArrow(_samples, "place long, size long, a long, b long, keys array<long>"), "samples")
+    sampled, _ = materialise(rows.select("place", "text").mapInArrow(_samples, "place long, size long, fp long, a long, b long, keys array<long>"), "samples")
     ids, _ = materialise(sampled.groupBy("a", "b").agg(F.min("place").alias("node")), "nodes")
-    nodes, _ = materialise(sampled.select(F.col("place").alias("node"), "size", "keys").join(ids.select("node"), "node", "left_semi"), "keys")
+    nodes, _ = materialise(sampled.select(F.col("place").alias("node"), "size", "fp", "keys").join(ids.select("node"), "node", "left_semi"), "keys")
     roots, _ = materialise(components(links(rows, nodes, block, cap)), "roots")
     named = sampled.select("place", "a", "b").join(ids, ["a", "b"]).join(roots, "node", "left").select("place", F.coalesce("root", "node").alias("root"))
     order = rows.select("place", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
