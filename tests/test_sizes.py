@@ -48,3 +48,8 @@ def test_texts_are_not_sent_to_tasks(spark, sf, name, column):
 
 def test_entity_mentions_by_row(spark, tmp_path):
     same_as_sql(spark, tmp_path, "entity_mentions")
+
+
+def test_mention_coverage(spark, sf, tmp_path):
+    assert not sent(QUERIES["mention_coverage"](spark, sf), "o_orderkey")
+    same_as_sql(spark, tmp_path, "mention_coverage")
