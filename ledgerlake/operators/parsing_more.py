@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -70,12 +71,36 @@ def _similar(x: str) -> str:
 
 @query(f"""WITH s AS (SELECT k, t, i, name, kind, greatest({_similar("lower(name)")}, {_similar("key")}) AS score FROM remarks, (VALUES {NAMES}) p(i, key, name, kind)) SELECT k, t, name, kind, score FROM (SELECT *, row_number() OVER (PARTITION BY k, t ORDER BY score DESC, i) AS n FROM s WHERE score > 70) WHERE n = 1""")
 def normalize_entity_fuzzy(r: Roles):
-    """Nearest name above 70 %, by its canonical form or its key, of equals the first of the list: a fold within each row."""
-    t = F.lower(F.trim("t"))
-    score = lambda key, name: F.greatest(T.similarity(t, name.lower()), T.similarity(t, key))
-    scored = F.array(*(F.struct((-score(key, name)).alias("less"), F.lit(i).alias("i"), F.lit(name).alias("name"), F.lit(kind).alias("kind")) for i, (key, name, kind) in enumerate(T.GAZETTEER)))
-    best = F.array_min(F.filter(scored, lambda x: x["less"] < -70))
-    return r.remarks.withColumn("best", best).where("best is not null").select("k", "t", F.col("best.name").alias("name"), F.col("best.kind").alias("kind"), (-F.col("best.less")).alias("score"))
+    """Nearest name above 70 %, by its canonical form or its key, of equals the first of the list."""
+    return nearest_names(r.remarks, T.GAZETTEER, 70)
+
+
+def nearest_names(raw: DataFrame, names: list[tuple[str, str, str]], least: int) -> DataFrame:
+    """(k, t, name, kind, score) of texts (k, t) with a name (key, name, kind) whose Levenshtein similarity exceeds ``least`` percent.
+
+    The list of names goes to every task.  An edit changes a length by one and takes one letter out of a set of letters at most, so
+    lengths and letters tell most pairs apart before their distance is computed, up to the bound that the similarity sets.
+    """
+    forms = [(i, b, name, kind) for i, (key, name, kind) in enumerate(names) for b in sorted({name.lower(), key})]
+    letters = sorted({c for _, b, *_ in forms for c in b})
+    bits = F.array(*(F.struct(F.lit(x).alias("letter"), F.lit(1 << i).cast("long").alias("bit")) for i, x in enumerate(letters)))
+    mask = lambda c: F.aggregate(bits, F.lit(0).cast("long"), lambda m, x: F.when(F.contains(c, x["letter"]), m.bitwiseOR(x["bit"])).otherwise(m))
+    a, b, longest = F.col("a"), F.col("b"), F.greatest("len_a", "len_b")
+    few = lambda n: 100 * n <= (100 - least) * longest
+    lengths = F.sequence(F.lit(1), F.floor(100 * F.length("b") / least).cast("int"))
+    known = raw.sparkSession.createDataFrame(forms, "i int, b string, name string, kind string").select("*", F.length("b").alias("len_b"), mask(b).alias("in_b"), F.explode(lengths).alias("len_a"))
+    known = known.where(few(F.abs(F.col("len_a") - F.col("len_b"))))
+    low = raw.select("k", "t", F.coalesce(F.lower(F.trim("t")), F.lit("")).alias("a"))
+    others = F.length(F.translate("a", "".join(letters), ""))
+    texts = low.select("k", "t", "a", F.length("a").alias("len_a"), mask(a).alias("in_a"), others.alias("others"))
+    lost = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(y)))
+    near = few(F.col("others") + lost("in_a", "in_b")) & few(lost("in_b", "in_a"))
+    room = F.floor(longest * (100 - least) / 100).cast("int")
+    d = F.when(near, F.call_function("levenshtein", a, b, room))  # -1 beyond the room
+    d = texts.join(F.broadcast(known), "len_a").select("k", "t", "i", "name", "kind", longest.alias("longest"), d.alias("d")).where("d >= 0")
+    scored = d.select("k", "t", "i", "name", "kind", F.round(100.0 * (1 - F.col("d") / F.col("longest")), 2).alias("score")).where(F.col("score") > least)
+    best = scored.groupBy("k", "t").agg(F.min(F.struct((-F.col("score")).alias("less"), "i", "name", "kind")).alias("best"))
+    return best.select("k", "t", "best.name", "best.kind", (-F.col("best.less")).alias("score"))
 
 
 CELL = r"trim(regexp_replace({0}, '<[^>]*>', '', 'g'))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from itertools import takewhile
 
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 
 from ledgerlake.operators import ORACLE_SQL, QUERIES
+from ledgerlake.operators.parsing_more import nearest_names
 
 
 def sent(df, column):
@@ -59,3 +61,40 @@ def test_mentions_listed_with_repeated_keys(spark, sf, tmp_path):
     """A key that two orders have lists what both mention, repeats included."""
     assert not sent(QUERIES["mentions_listed"](spark, sf), "o_orderkey")
     same_as_sql(spark, tmp_path, "mentions_listed")
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_names(spark, sf, tmp_path):
+    """Few pairs have their distance computed, where 116 were for each row; rows of the same key and text give one."""
+    plan = QUERIES["normalize_entity_fuzzy"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(") <= 3
+    same_as_sql(spark, tmp_path, "normalize_entity_fuzzy")
+
+
+@pytest.mark.parametrize("least", [70, 50])
+def test_no_near_name_is_missed(spark, least):
+    r = random.Random(least)
+    names = [("ab", "Ab", "x"), ("abc", "Abd", "x"), ("a", "B", "y"), ("homa bay", "Homa-Bay County", "y"), ("homabay", "Homa-Bay County", "z"), ("ministry of livestock and fisheries", "Livestock", "z"), ("aaaaaaa", "aaaaaa", "z")]
+    texts = ["", "  ", None, "x" * 200, "a", "B", "ab", "HOMA BAY", "−homa bay", "homa🙂bay", "aaaaaaaaaa", "aaaa"]
+    for _ in range(300):
+        t = list(r.choice(names)[r.randint(0, 1)])
+        for _ in range(r.randint(0, len(t) // 2)):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.randint(0, 1)] = r.choice(["", "a", "y", "7", " ", "É", "b"])
+        texts.append("".join(t))
+    want = {}
+    for k, t in enumerate(texts):
+        a = (t or "").strip(" ").lower()
+        found = [(-max(round(100 * (1 - distance(a, b) / max(len(a), len(b))), 2) for b in (name.lower(), key)), i, name, kind) for i, (key, name, kind) in enumerate(names)]
+        if t is not None and -min(found)[0] > least:
+            want[k] = (t, *min(found)[2:], -min(found)[0])
+    rows = nearest_names(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), names, least).collect()
+    assert {x["k"]: tuple(x)[1:] for x in rows} == want and len(rows) == len(want) > 100
