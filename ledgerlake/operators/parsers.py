@@ -3,6 +3,9 @@ of the management, signed currency amounts, fiscal periods with their days, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,11 @@ RATES = {
     "poverty": (100, (r"poverty[:\s]+(?:rate[:\s]+)?(?:was|is|stood\s+at)?[:\s]*([0-9]+\.?[0-9]*)%", r"([0-9]+\.?[0-9]*)%\s+(?:of\s+(?:the\s+)?population\s+)?(?:live|living)\s+(?:below|in)\s+poverty", r"poverty\s+(?:incidence|level)[:\s]+([0-9]+\.?[0-9]*)%")),
 }
 
+#: A text without these in lower case (one of them) has no match of the pattern at the same place above.
+POPULATION_WORDS = ("population", ",", "population", "million", "census|enumeration")
+GDP_WORDS = ("gdp|gross", "gdp|gross", "gdp", "economy")
+RATE_WORDS = {"inflation": ("inflation", "inflation", "inflation", "consumer"), "unemployment": ("unemployment",) * 3, "poverty": ("poverty",) * 3}
+
 
 def flat(text: Column) -> Column:
     """White space as single spaces."""
@@ -105,36 +113,61 @@ def fiscal_period(text: Column) -> Column:
     return F.transform(found, row)
 
 
+def sane(values: list[Column], low: float, high: float) -> Column:
+    """The first of the values that is within bounds; each is computed once."""
+    return F.get(F.filter(F.array(*values), lambda v: v.between(low, high)), 0)
+
+
+def seek(text: Column, low: Column, words: str, pattern: str) -> Column:
+    """What the group of the first match holds; a text without any of the words, lower cased in ``low``, isn't searched."""
+    return F.when(reduce(lambda x, y: x | y, (low.contains(w) for w in words.split("|"))), F.regexp_extract(text, "(?i)" + pattern, 1))
+
+
+def scale_near(text: Column, pattern: str, n: int, scale: Callable[[Column], Column]) -> Column:
+    """``scale`` of the first match with up to ``n`` characters before and after it, in lower case, found in one go through the text."""
+    whole = f"(?is)^(.*?)((?:{pattern}).{{0,{n}}})"
+    near = F.lower(F.concat(F.right(F.regexp_extract(text, whole, 1), F.lit(n)), F.regexp_extract(text, whole, 2)))
+    return F.get(F.transform(F.array(near), scale), 0)
+
+
 def population(text: Column) -> Column:
     """People in a text of 50 characters or more, between 10 and 100 millions."""
-    t = flat(text)
+    return people_in(text, flat(text), F.lower(flat(text)))
+
 
-    def read(p: str) -> Column:
-        near = F.lower(F.regexp_extract(t, around(p, 100), 0))
-        n = F.floor(T.number(F.regexp_extract(t, around(p, 100), 1)) * F.when(near.contains("million") | near.contains(" m ") | near.contains("mn"), 1e6).otherwise(1.0))
-        return F.when(n.between(10_000_000, 100_000_000), n)
+def people_in(text: Column, t: Column, low: Column) -> Column:
+    scale = lambda near: F.when(near.contains("million") | near.contains(" m ") | near.contains("mn"), 1e6).otherwise(1.0)
 
-    return F.when(F.length(text) >= 50, F.coalesce(*(read(p) for p in POPULATION)))
+    def read(p: str, words: str) -> Column:
+        v = T.number(seek(t, low, words, p))
+        return F.when(v.isNotNull(), F.floor(v * scale_near(t, p, 100, scale)))
+
+    return F.when(F.length(text) >= 50, sane([read(p, w) for p, w in zip(POPULATION, POPULATION_WORDS, strict=True)], 10_000_000, 100_000_000))
 
 
 def gdp(text: Column) -> Column:
     """Gross domestic product between 1 and 50 trillions."""
-    t = flat(text)
+    return gdp_in(flat(text), F.lower(flat(text)))
+
 
-    def read(p: str) -> Column:
-        near = F.lower(F.regexp_extract(t, around(p, 50), 0))
-        has = lambda *words: near.rlike("|".join(words))
-        v = F.round(T.number(F.regexp_extract(t, around(p, 50), 1)) * F.when(has("trillion", " tn", " t "), 1e12).when(has("billion", " bn", " b "), 1e9).when(has("million"), 1e6).otherwise(1.0), 2)
-        return F.when(v.between(1e12, 50e12), v)
+def gdp_in(t: Column, low: Column) -> Column:
+    scale = lambda near: F.when(near.rlike("trillion| tn| t "), 1e12).when(near.rlike("billion| bn| b "), 1e9).when(near.contains("million"), 1e6).otherwise(1.0)
 
-    return F.coalesce(*(read(p) for p in GDP))
+    def read(p: str, words: str) -> Column:
+        v = T.number(seek(t, low, words, p))
+        return F.when(v.isNotNull(), F.round(v * scale_near(t, p, 50, scale), 2))
+
+    return sane([read(p, w) for p, w in zip(GDP, GDP_WORDS, strict=True)], 1e12, 50e12)
 
 
 def rate(text: Column, name: str) -> Column:
     """The first rate of a name that is within its bounds."""
+    return rate_in(flat(text), F.lower(flat(text)), name)
+
+
+def rate_in(t: Column, low: Column, name: str) -> Column:
     most, patterns = RATES[name]
-    v = [F.regexp_extract(flat(text), "(?i)" + p, 1).try_cast("double") for p in patterns]
-    return F.coalesce(*(F.when(x.between(0, most), x) for x in v))
+    return sane([seek(t, low, w, p).try_cast("double") for p, w in zip(patterns, RATE_WORDS[name], strict=True)], 0, most)
 
 
 def _num(x: str) -> str:
@@ -214,8 +247,9 @@ _RATES = ", ".join(f"coalesce({', '.join(f"CASE WHEN TRY_CAST(regexp_extract(x,
 @query(rf"SELECT k, CASE WHEN len(t) >= 50 THEN {_PEOPLE} END AS population, {_GDP} AS gdp, {_RATES} FROM (SELECT k, t, regexp_replace(t, '\s+', ' ', 'g') AS x FROM surveys)")
 def macro_indicators(r: Roles):
     """Population, product and three rates of each statement, where they are sane."""
-    t = F.col("t")
-    return r.surveys.select("k", population(t).alias("population"), gdp(t).alias("gdp"), *(rate(t, n).alias(n) for n in RATES))
+    x = r.surveys.select("k", "t", flat(F.col("t")).alias("x")).select("k", "t", "x", F.lower("x").alias("low"))
+    t, low = F.col("x"), F.col("low")
+    return x.select("k", people_in(F.col("t"), t, low).alias("population"), gdp_in(t, low).alias("gdp"), *(rate_in(t, low, n).alias(n) for n in RATES))
 
 
 _BRACKET = "CASE WHEN {0} < 500000 THEN '<500k' WHEN {0} < 1000000 THEN '500k-1M' WHEN {0} < 2000000 THEN '1M-2M' ELSE '>2M' END"
